@@ -57,14 +57,14 @@ def between_lines(
     """
     cells = (
         points.select(*on, F.col(line).cast("long").alias("_l"))
-        .withColumn("lv", F.explode(F.sequence(F.lit(0), F.lit(LINE_LEVELS))))
-        .select(*on, "lv", F.expr("shiftright(_l, lv)").alias("id"))
+        .withColumn("_lv", F.explode(F.sequence(F.lit(0), F.lit(LINE_LEVELS))))
+        .select(*on, "_lv", F.expr("shiftright(_l, _lv)").alias("_id"))
         .distinct()
     )
     spans = pairs.where(F.col(lo) <= F.col(hi)).select(*dict.fromkeys([*pair_id, *on]), F.explode(_cover(lo, hi)).alias("_c"))
     hit = (
-        spans.select(*dict.fromkeys([*pair_id, *on]), "_c.lv", "_c.id")
-        .join(cells, [*on, "lv", "id"], "left_semi")
+        spans.select(*dict.fromkeys([*pair_id, *on]), F.col("_c.lv").alias("_lv"), F.col("_c.id").alias("_id"))
+        .join(cells, [*on, "_lv", "_id"], "left_semi")
         .select(*pair_id)
         .distinct()
     )

@@ -124,3 +124,21 @@ def sink_by_hierarchy(nodes: DataFrame, type_parents: DataFrame, rules: DataFram
     hits = prefix_matches(names, rules.where("rule_type = 'sink'").select("symbol"), "candidate")
     found = names.join(hits.select(F.col("_symbol").alias("candidate")).distinct(), "candidate", "left_semi")
     return nodes.join(found.select("resolved_type", "method_name").distinct(), ["resolved_type", "method_name"], "left_semi")
+
+
+def contains_first(df: DataFrame, rules: DataFrame, cols: list[str], text: str, needle: str = "symbol") -> DataFrame:
+    """Add `cols` of the rule with the smallest ordinal that occurs anywhere in the text.
+
+    Distinct texts are cut at every position into pieces as long as some rule, and the pieces meet
+    the rules by equality.
+    """
+    lengths = [r[0] for r in rules.select(F.length(needle)).where(F.length(needle) > 0).distinct().orderBy(1).collect()]
+    found = df.select(F.col(text).alias("_text")).where(F.col("_text").isNotNull()).distinct()
+    pieces = found.withColumn("_n", F.explode(F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n <= F.length("_text"))))
+    pieces = pieces.select(
+        "_text", F.explode(F.expr("transform(sequence(1, length(_text) - _n + 1), i -> substring(_text, i, _n))")).alias("_piece")
+    ).distinct()
+    hits = pieces.join(rules.select(F.col(needle).alias("_piece"), "ordinal", *cols), "_piece")
+    picked = hits.groupBy("_text").agg(F.min_by(F.struct(*cols), "ordinal").alias("_r"))
+    out = df.join(picked.withColumnRenamed("_text", text), text, "left")
+    return out.select(*[F.col(c) for c in df.columns], *[F.col(f"_r.{c}").alias(c) for c in cols])
