@@ -322,7 +322,15 @@ def enrich_return_flows(facts: Facts) -> DataFrame:
 
 
 def taint_candidates(nodes: DataFrame) -> DataFrame:
-    """(M, source, sink): every source with every sink of its method, the question's own definition."""
-    src = nodes.where("is_known_source").select(*M, F.col("node_id").alias("source"))
-    snk = nodes.where("is_known_sink").select(*M, F.col("node_id").alias("sink"))
-    return src.join(snk, M)
+    """(M, node_id, role): sources and sinks of the methods that have both. Every source of a method
+    pairs with every sink of it; the pairs are left implied, so a hot method stays linear."""
+    per = nodes.groupBy(*M).agg(F.bool_or("is_known_source").alias("_s"), F.bool_or("is_known_sink").alias("_k"))
+    return nodes.join(per.where("_s and _k"), M, "left_semi").select(
+        *M, "node_id", F.explode(F.array_compact(F.array(
+            F.when(F.col("is_known_source"), "source"), F.when(F.col("is_known_sink"), "sink")))).alias("role"))
+
+
+def candidate_counts(nodes: DataFrame) -> DataFrame:
+    """Per method with both roles: sources, sinks and implied pairs."""
+    per = nodes.groupBy(*M).agg(F.count_if("is_known_source").alias("n_sources"), F.count_if("is_known_sink").alias("n_sinks"))
+    return per.withColumn("n_pairs", F.col("n_sources") * F.col("n_sinks")).where("n_pairs > 0")
