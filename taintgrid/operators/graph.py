@@ -319,24 +319,22 @@ def all_paths_hit(edges: DataFrame, pairs: DataFrame, marked: DataFrame, keys: l
     False without a path. One loop walks two copies of the graph: `clean` rows have met no marked
     node yet. The pair is hit when the target is reached, but never clean.
     """
-    edges = checkpoint(edges.select(*keys, "src", "dst").distinct())
     marks = marked.select(*keys, "node").distinct().withColumn("_m", F.lit(True))
-    marks = checkpoint(marks)
-
-    def mark(df: DataFrame) -> DataFrame:
-        return df.join(marks, [*keys, "node"], "left").select(
-            *keys, "source", "node", (F.col("clean") & F.col("_m").isNull()).alias("clean")
-        )
-
-    starts = pairs.select(*keys, "source").distinct().withColumn("node", F.col("source")).withColumn("clean", F.lit(True))
+    # each edge knows whether its end is marked, so a round is one join with the edges
+    edges = checkpoint(
+        edges.select(*keys, "src", "dst").distinct()
+        .join(marks.withColumnRenamed("node", "dst"), [*keys, "dst"], "left")
+        .select(*keys, "src", "dst", F.col("_m").isNull().alias("open"))
+    )
+    starts = pairs.select(*keys, "source").distinct().withColumn("node", F.col("source")).join(marks, [*keys, "node"], "left")
     ident = [*keys, "source", "node", "clean"]
-    frontier = checkpoint(mark(starts).select(*ident))
+    frontier = checkpoint(starts.withColumn("clean", F.col("_m").isNull()).select(*ident))
     seen = [frontier]
     for _ in range(MAX_ROUNDS):
-        step = mark(
+        step = (
             frontier.select(*keys, "source", "clean", F.col("node").alias("src")).join(edges, [*keys, "src"])
-            .select(*keys, "source", F.col("dst").alias("node"), "clean").distinct()
-        ).select(*ident).distinct()
+            .select(*keys, "source", F.col("dst").alias("node"), (F.col("clean") & F.col("open")).alias("clean")).distinct()
+        )
         for part in seen:
             step = step.join(part, ident, "left_anti")
         frontier = checkpoint(step)

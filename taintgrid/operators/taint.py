@@ -14,7 +14,7 @@ from taintgrid.operators.calls import resolve_all, resolve_calls
 from taintgrid.operators.graph import _first_paths, all_paths_hit, closure
 from taintgrid.operators.lines import between_lines, near_lines
 from taintgrid.operators.prefix import contains_first, prefix_first
-from taintgrid.session import KEYS, checkpoint
+from taintgrid.session import KEYS, checkpoint, top_n
 
 # --- fixed values -------------------------------------------------------------------------
 BODY_READERS = ["readrequestbody", "readbody", "getrequestbody"]
@@ -287,14 +287,13 @@ def string_injection(facts: Facts, sink_kinds: DataFrame) -> DataFrame:
 
 def dedupe_taint(findings: DataFrame) -> DataFrame:
     """The best confidence per (source, sink); on ties the earlier phase."""
-    order = F.struct(C.confidence_rank(), F.col("phase"))
-    rest = [c for c in findings.columns if c not in (*KEYS, "source_node_id", "sink_node_id")]
-    best = findings.groupBy(*KEYS, "source_node_id", "sink_node_id").agg(F.min_by(F.struct(*rest), order).alias("_b"))
-    return best.select(*KEYS, "source_node_id", "sink_node_id", "_b.*")
+    order = [C.confidence_rank(), F.col("phase")]
+    return top_n(findings, [*KEYS, "source_node_id", "sink_node_id"], order, 1).drop("rn")
 
 
 def taint_findings(facts: Facts, rules: DataFrame, sink_kinds: DataFrame) -> DataFrame:
     """All taint findings: inside methods, between methods, string building; deduplicated."""
+    facts = {**facts, "nodes": checkpoint(facts["nodes"])}
     returns = checkpoint(tainted_returns(facts))
     edges = checkpoint(build_dfg(facts))
     seeds = checkpoint(taint_seeds(facts, rules, tainted_callee_params(facts, returns)))

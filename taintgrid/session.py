@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -22,27 +23,33 @@ def get_session(app: str = "taintgrid", cores: int | str = "*", shuffle_partitio
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "16g")
-        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
+        .config("spark.sql.parquet.compression.codec", "zstd")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
 
-def _ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names; make a private one only where none is named."""
+def _stage_folder(spark: SparkSession) -> str:
+    """A folder of this application inside the shared folder the cluster names in
+    spark.checkpoint.dir; a private one only where none is named, as in tests."""
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is not None:
-        return
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="taintgrid-checkpoint-"))
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not named:
+        named = tempfile.mkdtemp(prefix="spark-taintgrid-")
+        spark.conf.set("spark.checkpoint.dir", named)
+    return f"{named.rstrip('/')}/taintgrid-{sc.applicationId}"
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Write df to the checkpoint folder and return a frame that reads it: lineage is cut, and a
-    lost executor costs a re-read, not a re-run of the loop."""
-    _ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write df to the checkpoint folder and return a frame that reads it.
+
+    Lineage is cut, a lost executor costs a re-read and not a re-run of the loop, and later joins
+    see the true size of the written table when they choose between broadcast and shuffle.
+    """
+    path = f"{_stage_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def ranked(df: DataFrame, keys: list[str], order: list[str | Column], name: str = "rn") -> DataFrame:
