@@ -206,6 +206,7 @@ def step_ctes(*extra: str) -> str:
 
 # --- Spark side -------------------------------------------------------------------------
 
+
 _memo: dict[tuple, object] = {}
 
 
