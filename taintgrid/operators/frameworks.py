@@ -10,7 +10,7 @@ from taintgrid.operators.build import M, Facts, method_nodes, methods_with_class
 from taintgrid.operators.lines import near_lines
 from taintgrid.operators.patterns import _low, _per_method, annotations
 from taintgrid.operators.prefix import contains_first, prefix_first
-from taintgrid.session import KEYS, top_n
+from taintgrid.session import KEYS, checkpoint, top_n
 from taintgrid.sources.facts import match_packages
 
 # --- fixed values -------------------------------------------------------------------------
@@ -486,7 +486,7 @@ def gate_rules(findings: DataFrame, detected: DataFrame) -> DataFrame:
 
 def framework_findings(facts: Facts, detected: DataFrame | None = None) -> DataFrame:
     """All framework findings, gated by the frameworks of each scan, with the primary framework."""
-    detected = detect_frameworks(facts) if detected is None else detected
+    detected = checkpoint(detect_frameworks(facts)) if detected is None else detected
     out = None
     for rule in RULE_FUNCTIONS.values():
         part = rule(facts).select(*FINDING)

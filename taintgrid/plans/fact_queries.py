@@ -79,7 +79,7 @@ def prj_symbols(spark, d):
 SELECT assignment_id, CASE WHEN starts_with(target_name, '__interpolated') OR starts_with(target_name, '__string_concat') THEN 'STRING_BUILD'
   WHEN starts_with(target_name, '__collection') THEN 'COLLECTION' ELSE 'ASSIGNMENT' END AS kind,
   len(list_filter(regexp_extract_all(regexp_replace(source_text, '"(?:[^"\\\\]|\\\\.)*"', 'LITERAL', 'g'), '\\b[a-zA-Z_][a-zA-Z0-9_]*\\b'),
-    x -> x NOT IN ('LITERAL','var','string','int','bool','new','return','null','true','false','using','this','if','else','ToString','String'))) > 0 AS has_variable,
+    lambda x: x NOT IN ('LITERAL','var','string','int','bool','new','return','null','true','false','using','this','if','else','ToString','String'))) > 0 AS has_variable,
   starts_with(source_text, '$"') OR (regexp_matches(source_text, '"[^"]*"') AND contains(source_text, '+')) AS is_concat FROM f_assign""")
 def prj_string_builds(spark, d):
     return facts(spark, d)["assignments"].select(
@@ -238,13 +238,13 @@ def join_calls(spark, d):
     return call_edges(f["nodes"], f["methods"]).groupBy("method_id", F.col("callee_method_id").alias("callee")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@case("join_calls_suffix", fact_ctes(f"""named AS (SELECT m.*, c.name AS class_name FROM f_methods m JOIN f_classes c ON c.project_id = m.project_id AND c.class_id = m.class_id)""") + """
-SELECT s.project_id, s.symbol, arg_min(m.method_id, m.ordinal) AS callee FROM (SELECT DISTINCT project_id, 'App.' || c.name || '.Op' || CAST(c.ordinal % 40 AS STRING) AS symbol FROM f_classes c) s
+@case("join_calls_suffix", fact_ctes("named AS (SELECT m.*, c.name AS class_name FROM f_methods m JOIN f_classes c ON c.project_id = m.project_id AND c.class_id = m.class_id)") + """
+SELECT s.project_id, s.symbol, arg_min(m.method_id, m.ordinal) AS callee FROM (SELECT DISTINCT project_id, full_symbol AS symbol FROM f_nodes) s
 JOIN named m ON m.project_id = s.project_id AND ends_with(s.symbol, m.class_name || '.' || m.name) GROUP BY 1, 2""")
 def join_calls_suffix(spark, d):
     f = facts(spark, d)
-    nodes = f["classes"].select(*KEYS, F.concat(F.lit("App."), "name", F.lit(".Op"), (F.col("ordinal") % 40).cast("string")).alias("resolved_symbol"))
-    return resolve_calls(nodes, B.methods_with_class(f), "suffix").select("project_id", F.col("resolved_symbol").alias("symbol"), F.col("callee_method_id").alias("callee"))
+    called = resolve_calls(f["nodes"], B.methods_with_class(f), "suffix")
+    return called.select("project_id", F.col("resolved_symbol").alias("symbol"), F.col("callee_method_id").alias("callee"))
 
 
 @case("join_near_lines", fact_ctes() + f"""

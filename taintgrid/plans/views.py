@@ -108,7 +108,8 @@ SELECT m.project_id, m.scan_id, l.l_orderkey * 100 + l.pos AS ordinal, m.method_
   CAST(round(l.l_discount * 100) AS INT) AS disc, CAST(round(l.l_tax * 100) AS INT) AS tax,
   'n' || CAST(l.l_orderkey AS STRING) || '_' || CAST(l.pos AS STRING) AS node_id,
   CAST(m.line_start + l.pos * 3 AS INT) AS line, c.k, c.txt,
-  CASE WHEN c.k = 7 THEN c.base_symbol || CAST(l.l_suppkey % 20 AS STRING) ELSE c.base_symbol END AS symbol,
+  CASE WHEN c.k = 7 AND l.l_suppkey % 2 = 0 THEN 'App.Svc' || CAST(m.o_custkey AS STRING) || '.' || m.name
+    WHEN c.k = 7 THEN c.base_symbol || CAST(l.l_suppkey % 20 AS STRING) ELSE c.base_symbol END AS symbol,
   CASE WHEN l.l_returnflag = 'R' AND l.l_linestatus = 'F' THEN 'ObjectCreationExpression'
     WHEN l.l_returnflag = 'N' AND l.l_quantity > 44 THEN 'ReturnStatement' ELSE 'InvocationExpression' END AS kind
 FROM li l JOIN f_methods m ON m.o_orderkey = l.l_orderkey JOIN calls c ON c.k = l.l_partkey % 30""",
