@@ -212,9 +212,9 @@ def parse_batch(replies: DataFrame, routed: DataFrame, column: str = "reply") ->
         F.when(F.col("_a").isNull(), "keep").otherwise(F.col("_mode")).alias("verdict_source"))
 
 
-def reply_is_valid(kind: str = "verdict", column: str = "reply") -> Column:
+def reply_is_valid(kind: str = "verdict", column: str | Column = "reply") -> Column:
     """The reply is an object that has every required field."""
-    keys = F.json_object_keys(F.col(column))
+    keys = F.json_object_keys(F.col(column) if isinstance(column, str) else column)
     need = F.array(*[F.lit(f) for f in REQUIRED_FIELDS[kind]])
     return F.coalesce(F.size(F.array_except(need, keys)) == 0, F.lit(False))
 
