@@ -58,8 +58,7 @@ def closure(
             .select(*keys, *tags, F.col("dst").alias("node"))
             .distinct()
         )
-        for part in seen:
-            step = step.join(part.select(*ident), ident, "left_anti")
+        step = step.join(_union(seen).select(*ident), ident, "left_anti")
         frontier = checkpoint(step.withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             break
@@ -163,8 +162,7 @@ def _first_paths(edges: DataFrame, seeds: DataFrame, keys: list[str], cutoff: in
             .agg(F.min("path").alias("path"))
             .withColumn("path", F.array_append("path", F.col("node")))
         )
-        for part in seen:
-            step = step.join(part.select(*ident), ident, "left_anti")
+        step = step.join(_union(seen).select(*ident), ident, "left_anti")
         frontier = checkpoint(step)
         if frontier.isEmpty():
             break
@@ -335,8 +333,7 @@ def all_paths_hit(edges: DataFrame, pairs: DataFrame, marked: DataFrame, keys: l
             frontier.select(*keys, "source", "clean", F.col("node").alias("src")).join(edges, [*keys, "src"])
             .select(*keys, "source", F.col("dst").alias("node"), (F.col("clean") & F.col("open")).alias("clean")).distinct()
         )
-        for part in seen:
-            step = step.join(part, ident, "left_anti")
+        step = step.join(_union(seen), ident, "left_anti")
         frontier = checkpoint(step)
         if frontier.isEmpty():
             break
@@ -365,26 +362,29 @@ def topo_levels(nodes: DataFrame, edges: DataFrame, keys: list[str], entries: Da
     cycle: hops from the entry, where one is given."""
     edges = checkpoint(edges.select(*keys, "src", "dst").distinct())
     # peel nodes whose predecessors are all placed; what never peels belongs to a cyclic graph
-    left = checkpoint(nodes.select(*keys, "node").distinct())
-    open_edges, placed, level = edges, [], 0
-    while not left.isEmpty():
-        fed = open_edges.select(*keys, F.col("dst").alias("node")).distinct()
-        ready = checkpoint(left.join(fed, [*keys, "node"], "left_anti").withColumn("level", F.lit(level)))
-        if ready.isEmpty():
+    fed = edges.groupBy(*keys, F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("open"))
+    state = nodes.select(*keys, "node").distinct().join(fed, [*keys, "node"], "left").select(
+        *keys, "node", F.coalesce("open", F.lit(0)).alias("open"), F.when(F.col("open").isNull(), 0).alias("level"))
+    state = checkpoint(state)
+    for level in range(1, MAX_ROUNDS):
+        placed = state.where(F.col("level") == level - 1).select(*keys, F.col("node").alias("src"))
+        done = placed.join(edges, [*keys, "src"]).groupBy(*keys, F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("_d"))
+        left = F.col("open") - F.coalesce("_d", F.lit(0))
+        ready = F.col("level").isNull() & (left == 0)
+        state = checkpoint(state.join(done, [*keys, "node"], "left").select(
+            *keys, "node", left.alias("open"), F.when(ready, level).otherwise(F.col("level")).alias("level")))
+        if state.where(F.col("level") == level).isEmpty():
             break
-        placed.append(ready)
-        gone = ready.select(*keys, "node")
-        left = checkpoint(left.join(gone, [*keys, "node"], "left_anti"))
-        open_edges = checkpoint(open_edges.join(gone.withColumnRenamed("node", "src"), [*keys, "src"], "left_anti"))
-        level += 1
-    cyclic = left.select(*keys).distinct() if keys else left.select(F.lit(1).alias("_one")).distinct()
-    ordered = _union(placed) if placed else left.withColumn("level", F.lit(0)).limit(0)
-    if left.isEmpty():
-        return ordered.withColumn("is_cyclic", F.lit(False))
-    ordered = ordered.join(cyclic, keys, "left_anti") if keys else ordered.limit(0)
-    out = ordered.withColumn("is_cyclic", F.lit(False))
-    if entries is not None:
-        starts = entries.join(cyclic, keys, "left_semi") if keys else entries
+    stuck = state.where("level is null")
+    if not keys:
+        ordered = state if stuck.isEmpty() else state.limit(0)
+        starts = None if entries is None or stuck.isEmpty() else entries
+    else:
+        cyclic = checkpoint(stuck.select(*keys).distinct())
+        ordered = state.join(cyclic, keys, "left_anti")
+        starts = None if entries is None else entries.join(cyclic, keys, "left_semi")
+    out = ordered.select(*keys, "node", "level").withColumn("is_cyclic", F.lit(False))
+    if starts is not None:
         hops = closure(edges, starts.select(*keys, "node"), keys).withColumnRenamed("depth", "level")
         out = out.unionByName(hops.select(*keys, "node", "level").withColumn("is_cyclic", F.lit(True)))
     return out

@@ -137,7 +137,8 @@ def propagate_weighted(
         else:
             raw = raw.where(F.col("dst") != F.col("source"))
         stop = sanitizer_decision(F.col("taint_label"), F.col("san_confidence"), F.col("san_kinds"))
-        conf = F.round(F.col("confidence") * step_factor(F.lit(depth), F.col("partial")), 4)
+        # ties of the fourth place go up, whatever their last binary digit
+        conf = F.round(F.col("confidence") * step_factor(F.lit(depth), F.col("partial")) + 1e-9, 4)
         now_partial = F.coalesce(stop == "partial", F.lit(False))
         step = raw.withColumn("_conf", conf).where(F.col("_conf") >= min_confidence).where(F.coalesce(stop, F.lit("")) != "full").select(
             *keys, "source", F.col("dst").alias("node"), "taint_label", F.col("_conf").alias("confidence"), "is_sink",

@@ -449,7 +449,7 @@ wx AS (SELECT method_id, node AS source, node, CAST(1.0 AS DOUBLE) AS conf, fals
   UNION ALL SELECT * FROM (SELECT x.method_id, x.source, e.dst AS node,
     round(x.conf * ((CASE WHEN e.is_conditional THEN 0.80 ELSE 1.0 END) * (CASE WHEN e.edge_kind = 'aliases' THEN 0.92 ELSE 1.0 END) * (CASE WHEN n.in_loop THEN 0.90 ELSE 1.0 END)
       * (CASE WHEN n.kind = 'COLLECTION_ITEM' THEN 0.85 ELSE 1.0 END) * (CASE WHEN n.kind = 'LAMBDA_CAPTURE' THEN 0.88 ELSE 1.0 END)
-      * (CASE WHEN x.partial THEN 0.75 ELSE 1.0 END) * (CASE WHEN x.depth > 5 THEN pow(0.95, x.depth - 5) ELSE 1.0 END))::DOUBLE, 4) AS conf,
+      * (CASE WHEN x.partial THEN 0.75 ELSE 1.0 END) * (CASE WHEN x.depth > 5 THEN pow(0.95, x.depth - 5) ELSE 1.0 END))::DOUBLE + 1e-9, 4) AS conf,
     n.is_sanitizer AS partial, n.is_sink AS sink, x.depth + 1 AS depth
     FROM wx x JOIN s_edges e ON e.method_id = x.method_id AND e.src = x.node JOIN wn n ON n.node = e.dst
     WHERE NOT x.sink AND x.depth < 8 AND NOT (n.is_sanitizer AND n.value > 30)) q WHERE conf >= 0.3)"""
