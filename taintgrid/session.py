@@ -22,6 +22,7 @@ def get_session(app: str = "taintgrid", cores: int | str = "*", shuffle_partitio
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "16g")
         .config("spark.sql.parquet.compression.codec", "zstd")
         .getOrCreate()
