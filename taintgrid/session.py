@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -38,6 +40,7 @@ def _stage_folder(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
         named = tempfile.mkdtemp(prefix="spark-taintgrid-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)  # ours alone, so it goes with us
         spark.conf.set("spark.checkpoint.dir", named)
     return f"{named.rstrip('/')}/taintgrid-{sc.applicationId}"
 
