@@ -50,11 +50,11 @@ runs AS (
   SELECT doc_id, w, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
     ELSE list_distinct(list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' '))) END AS s FROM words),
 one AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM runs),
-both AS (
+meets AS (
   SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k, any_value(a.n) AS na, any_value(b.n) AS nb
   FROM one a JOIN one b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
 links AS (
-  SELECT a, b FROM both WHERE k / (na + nb - k) >= 0.8
+  SELECT a, b FROM meets WHERE k / (na + nb - k) >= 0.8
   UNION SELECT x.doc_id, y.doc_id FROM words x JOIN words y ON x.text = y.text AND x.doc_id <> y.doc_id),
 reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
 texts AS (SELECT l.a, count(DISTINCT y.text) AS n FROM links l JOIN words x ON x.doc_id = l.a JOIN words y ON y.doc_id = l.b WHERE x.text <> y.text GROUP BY 1)
