@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from taintgrid.llm import jaccard, quality
+from taintgrid.llm import jaccard, pii, quality
 from taintgrid.llm.queries import reachable
 from taintgrid.llm.shared import table
 from taintgrid.session import checkpoint
@@ -26,9 +26,16 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return jaccard.keep_one(docs)
 
 
+def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every span of personal data replaced by its kind."""
+    reachable(spark)
+    return pii.redact(docs)
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality", select_quality),
     ("near_copies", drop_near_copies),
+    ("personal_data", redact_personal_data),
 ]
 ORACLE_SQL = None  # the first stage is a trained model
 

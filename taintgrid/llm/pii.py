@@ -101,7 +101,7 @@ def candidates(text: str) -> list[tuple[int, int, int]]:
             for b in range(a, min(len(parts), a + TOKENS)):
                 start, end = parts[a][0], parts[b][1]
                 end -= len(text[start:end]) - len(text[start:end].rstrip(".()-"))
-                if end - start >= 7:
+                if end - start >= 7 and not text[start - 1 : start].isalnum() and not text[end : end + 1].isalnum():
                     out.update((start, kind, end) for kind in (1, 2, 3))
     return sorted(out)
 
@@ -127,14 +127,14 @@ def describe(text: str, start: int, kind: int, end: int) -> list[float]:
 
 @dataclass
 class Boosted:
-    """Boosted trees over binned features, with a logistic calibration and a threshold for each kind."""
+    """Boosted trees over binned features for one kind, with a logistic calibration and a threshold."""
 
     edges: list[np.ndarray] = field(default_factory=list)
     trees: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=list)  # feature, bin, leaf values
     start: float = 0.0
     slope: float = 1.0
     shift: float = 0.0
-    least: np.ndarray = field(default_factory=lambda: np.full(len(KINDS), np.inf))
+    least: float = np.inf
 
     def binned(self, x: np.ndarray) -> np.ndarray:
         return np.stack([np.searchsorted(e, x[:, i], "right") for i, e in enumerate(self.edges)], 1).astype(np.int16)
@@ -152,8 +152,11 @@ class Boosted:
         return 1 / (1 + np.exp(-(self.slope * self.raw(self.binned(x)) + self.shift)))
 
 
+Models = list[Boosted | None]
+
+
 def boost(x: np.ndarray, y: np.ndarray, held: np.ndarray) -> Boosted | None:
-    """Fit trees on rows that aren't held, calibrate and choose thresholds on those that are."""
+    """Fit trees on rows that aren't held, calibrate and choose the threshold on those that are."""
     if not len(x) or len(np.unique(y[~held])) < 2 or len(np.unique(y[held])) < 2:
         return None
     model = Boosted([np.unique(np.quantile(c, np.linspace(0, 1, BINS + 1)[1:-1])) for c in x.T])
@@ -185,7 +188,7 @@ def boost(x: np.ndarray, y: np.ndarray, held: np.ndarray) -> Boosted | None:
         leaf = RATE * np.bincount(leaves, g, 2**LEVELS) / (np.bincount(leaves, h, 2**LEVELS) + 1)
         raw += leaf[leaves]
         model.trees.append((feature, cut, leaf))
-    score, target, kind = model.raw(bins[held]), y[held].astype(float), x[held, 0].astype(int)
+    score, target = model.raw(bins[held]), y[held].astype(float)
     for _ in range(200):  # logistic calibration by Newton steps
         p = 1 / (1 + np.exp(-(model.slope * score + model.shift)))
         d, w = target - p, np.maximum(p * (1 - p), 1e-6)
@@ -195,16 +198,20 @@ def boost(x: np.ndarray, y: np.ndarray, held: np.ndarray) -> Boosted | None:
         if np.abs(step).max() < 1e-6:
             break
     p = 1 / (1 + np.exp(-(model.slope * score + model.shift)))
-    for k in range(len(KINDS)):
-        order = np.argsort(-p[kind == k], kind="stable")
-        good = target[kind == k][order].cumsum() / np.arange(1, len(order) + 1)
-        ends = np.append(np.diff(p[kind == k][order]) != 0, True) if len(order) else np.zeros(0, bool)
-        fits = np.flatnonzero(ends & (good >= PRECISION) & (np.arange(1, len(order) + 1) >= LEAST))
-        if len(fits):
-            model.least[k] = p[kind == k][order][fits[-1]]
+    order = np.argsort(-p, kind="stable")
+    good = target[order].cumsum() / np.arange(1, len(order) + 1)
+    ends = np.append(np.diff(p[order]) != 0, True)
+    fits = np.flatnonzero(ends & (good >= PRECISION) & (np.arange(1, len(order) + 1) >= LEAST))
+    if len(fits):
+        model.least = float(p[order][fits[-1]])
     return model
 
 
+def boost_kinds(x: np.ndarray, y: np.ndarray, held: np.ndarray) -> Models:
+    """One model a kind, since a span is proposed once for each number kind and looks decide differently for each."""
+    return [boost(x[x[:, 0] == k], y[x[:, 0] == k], held[x[:, 0] == k]) for k in range(len(KINDS))]
+
+
 def labelled(text: str) -> list[tuple[tuple[int, int, int], bool]]:
     """Candidates with their label; one that is no base span but would be if it stood alone has none and is left out."""
     base = set(base_spans(text))
@@ -221,7 +228,7 @@ def _learn(texts: pa.Array) -> pa.Array:
     return pa.array([[float(v) for c, y in labelled(t or "") for v in (y, *describe(t, *c))] for t in texts.to_pylist()], pa.list_(pa.float64()))
 
 
-def train(docs: DataFrame, rows: int = ROWS) -> Boosted | None:
+def train(docs: DataFrame, rows: int = ROWS) -> Models:
     """Trees from the texts of the `rows` smallest hashes of doc_id; a quarter of the texts is held out."""
     few = docs.select("doc_id").distinct().where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     learn = F.arrow_udf(_learn, "array<double>")
@@ -231,25 +238,29 @@ def train(docs: DataFrame, rows: int = ROWS) -> Boosted | None:
     width = len(describe("0", 0, 0, 1)) + 1
     x = [np.array(r["x"]).reshape(-1, width) for r in got]
     if not x:
-        return None
+        return [None] * len(KINDS)
     held = np.repeat([(r["h"] >> 8) % 4 == 0 for r in got], [len(a) for a in x])
     x = np.concatenate(x)
-    return boost(x[:, 1:], x[:, 0] > 0, held)
+    return boost_kinds(x[:, 1:], x[:, 0] > 0, held)
 
 
-def spans(text: str, model: Boosted | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
-    """Base spans, and all spans: candidates above their kind's threshold that touch no other span are added."""
+def spans(text: str, models: Models) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+    """Base spans, and all spans: candidates that touch no other span and reach their kind's threshold are added."""
     base = base_spans(text)
-    if model is None or not np.isfinite(model.least).any():
-        return base, base
-    free = [c for c in candidates(text) if not any(c[0] < b[2] and b[0] < c[2] for b in base)]
+    free = [c for c in candidates(text) if models[c[1]] is not None and not any(c[0] < b[2] and b[0] < c[2] for b in base)]
     if not free:
         return base, base
-    p = model.probability(np.array([describe(text, *c) for c in free], float))
+    x = np.array([describe(text, *c) for c in free], float)
+    over = np.full(len(free), -np.inf)
+    for k, model in enumerate(models):
+        own = x[:, 0] == k
+        if model is not None and own.any():
+            p = model.probability(x[own])
+            over[own] = np.where(p >= model.least, p, -np.inf)
     out = list(base)
-    for i in np.argsort(-p, kind="stable"):
-        start, kind, end = free[i]
-        if p[i] >= model.least[kind] and not any(start < b[2] and b[0] < end for b in out):
+    for i in np.argsort(-over, kind="stable"):
+        start, _, end = free[i]
+        if np.isfinite(over[i]) and not any(start < b[2] and b[0] < end for b in out):
             out.append(free[i])
     return base, sorted(out)
 
@@ -258,13 +269,13 @@ def _written(found: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{i}:{j}" for i, k, j in found)
 
 
-def span_columns(model: Boosted | None):
+def span_columns(models: Models):
     """A function of a text column: struct of base and all spans, written kind:start:end, and base counts."""
 
     def of(texts: pa.Array) -> pa.Array:
         out = []
         for t in texts.to_pylist():
-            base, every = spans(t or "", model)
+            base, every = spans(t or "", models)
             n = [0] * len(KINDS)
             for b in base:
                 n[b[1]] += 1
@@ -283,12 +294,12 @@ def find(docs: DataFrame, rows: int = ROWS) -> DataFrame:
 def redact(docs: DataFrame, rows: int = ROWS) -> DataFrame:
     """docs with every span in text replaced by its kind in brackets, overlapping spans by the first of them, and
     n_chars (where docs has it) counted anew; texts without spans and nulls stay."""
-    model = train(docs, rows)
+    models = train(docs, rows)
 
     def of(texts: pa.Array) -> pa.Array:
         out = []
         for t in texts.to_pylist():
-            found = spans(t, model)[1] if t else []
+            found = spans(t, models)[1] if t else []
             parts, at = [], 0
             for start, kind, end in found:
                 if start >= at:

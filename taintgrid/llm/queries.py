@@ -6,8 +6,9 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from taintgrid.llm import jaccard, quality
+from taintgrid.llm import jaccard, pii, quality
 from taintgrid.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,11 +45,11 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 JACCARD_SQL = """
 WITH RECURSIVE words AS (
   SELECT doc_id, coalesce(text, '') AS text, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
-    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\t\\n\\x0B\\f\\r]+'), x -> x <> '') AS w
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS w
   FROM documents),
 runs AS (
   SELECT doc_id, w, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-    ELSE list_distinct(list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' '))) END AS s FROM words),
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM words),
 one AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM runs),
 meets AS (
   SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k, any_value(a.n) AS na, any_value(b.n) AS nb
@@ -69,6 +70,11 @@ def op5(spark, sf_dir):
     return jaccard.jaccard_join(table(spark, sf_dir, "documents"))
 
 
+@query("op1_pii")
+def op1(spark, sf_dir):
+    return pii.find(table(spark, sf_dir, "documents")).withColumn("base_sha256", F.sha2("base", 256)).drop("base")
+
+
 @query("op10_quality_classifier")
 def op10(spark, sf_dir):
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
