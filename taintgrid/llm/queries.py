@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taintgrid.llm import jaccard, pii, quality
+from taintgrid.llm import bpe, jaccard, pii, quality
 from taintgrid.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,6 +75,17 @@ def op1(spark, sf_dir):
     return pii.find(table(spark, sf_dir, "documents")).withColumn("base_sha256", F.sha2("base", 256)).drop("base")
 
 
+def token_digests(df: DataFrame) -> DataFrame:
+    return df.select(
+        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op6_bpe")
+def op6(spark, sf_dir):
+    return token_digests(bpe.round_trip(table(spark, sf_dir, "documents")))
+
+
 @query("op10_quality_classifier")
 def op10(spark, sf_dir):
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
