@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taintgrid.llm import bpe, jaccard, pii, quality
+from taintgrid.llm import bpe, jaccard, licenses, mixing, pii, quality
 from taintgrid.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -86,6 +86,54 @@ def op6(spark, sf_dir):
     return token_digests(bpe.round_trip(table(spark, sf_dir, "documents")))
 
 
+def licences_sql() -> str:
+    values = ", ".join(f"({i}, '{name}', '{text.replace(chr(39), chr(39) * 2)}')" for i, (name, text) in enumerate(licenses.TEMPLATES))
+    norm = "regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g')"
+    t = licenses.THRESHOLD
+    return f"""
+WITH template(t, licence, text) AS (VALUES {values}),
+lines AS (SELECT doc_id, trim(unnest(string_split({norm.format("coalesce(text, '')")}, chr(10)))) AS unit, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
+units AS (
+  SELECT DISTINCT doc_id, unit FROM lines WHERE unit <> ''
+  UNION SELECT doc_id, string_agg(unit, ' ' ORDER BY pos) FROM lines WHERE unit <> '' GROUP BY doc_id),
+cut AS (SELECT doc_id, unit, string_split(unit, ' ') AS w FROM units),
+sized AS (SELECT *, len(w) - 1 AS n FROM cut WHERE len(w) > 1),
+tcut AS (SELECT t, licence, string_split(trim({norm.format("text")}), ' ') AS w FROM template),
+tsized AS (SELECT *, len(w) - 1 AS n FROM tcut WHERE len(w) > 1),
+near AS (SELECT s.doc_id, s.unit, s.w, s.n, t.t FROM sized s JOIN tsized t ON s.n BETWEEN t.n * {t} / (2 - {t}) AND t.n * (2 - {t}) / {t}),
+own AS (SELECT doc_id, unit, pair, count(*) AS k FROM (SELECT doc_id, unit, unnest(list_transform(range(1, n + 1), lambda i: w[i] || ' ' || w[i + 1])) AS pair FROM (SELECT DISTINCT doc_id, unit, w, n FROM near)) GROUP BY ALL),
+theirs AS (SELECT t, pair, count(*) AS k FROM (SELECT t, unnest(list_transform(range(1, n + 1), lambda i: w[i] || ' ' || w[i + 1])) AS pair FROM tsized) GROUP BY ALL),
+dices AS (
+  SELECT near.doc_id, near.unit, near.t, 2.0::DOUBLE * sum(least(own.k, theirs.k)) / (any_value(near.n) + any_value(z.n)) AS dice
+  FROM near JOIN own ON own.doc_id = near.doc_id AND own.unit = near.unit JOIN theirs ON theirs.t = near.t AND theirs.pair = own.pair JOIN tsized z ON z.t = near.t
+  GROUP BY ALL)
+SELECT d.doc_id, z.licence, max(d.dice) AS dice, count(*) AS hits FROM dices d JOIN tsized z ON z.t = d.t WHERE d.dice >= {t} GROUP BY ALL
+"""
+
+
+@query("op3_license_scan", licences_sql())
+def op3(spark, sf_dir):
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+MIXING_SQL = f"""
+WITH RECURSIVE n AS (SELECT source, count(*) AS n, pow(count(*)::DOUBLE, {mixing.POWER}) AS weight FROM documents GROUP BY source),
+rates AS (SELECT source, weight / (SELECT sum(weight) FROM n) * (SELECT sum(n) FROM n) / n AS rate FROM n),
+steps AS (
+  SELECT source, rate, 0 AS k, exp(-rate) AS p, exp(-rate) AS c FROM rates
+  UNION ALL SELECT source, rate, k + 1, p * rate / (k + 1), c + p * rate / (k + 1) FROM steps WHERE k < ceil(rate + 12 * sqrt(rate) + 20)),
+drawn AS (SELECT *, (('0x' || md5('{mixing.SEED}:' || doc_id)[1:8])::BIGINT + 0.5::DOUBLE) / 4294967296.0 AS u FROM documents),
+counted AS (SELECT d.doc_id, count(s.k) AS n FROM drawn d JOIN steps s ON s.source IS NOT DISTINCT FROM d.source AND s.c <= d.u GROUP BY d.doc_id),
+copies AS (SELECT doc_id, unnest(range(n))::INT AS copy FROM counted)
+SELECT d.*, c.copy, md5('{mixing.SEED}:' || d.doc_id || ':' || c.copy) AS shuffle_key FROM documents d JOIN copies c ON c.doc_id = d.doc_id
+"""
+
+
+@query("op4_source_mixing", MIXING_SQL)
+def op4(spark, sf_dir):
+    return mixing.replicate(table(spark, sf_dir, "documents"))
+
+
 @query("op10_quality_classifier")
 def op10(spark, sf_dir):
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
