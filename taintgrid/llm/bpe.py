@@ -16,17 +16,16 @@ import base64
 import heapq
 import json
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
 import regex
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from taintgrid.llm import words as W
 from taintgrid.session import checkpoint
 
 PATTERN = public_tokenizers.PATTERN
@@ -35,7 +34,7 @@ KNOWN = 1 << 20  # words in the table that is sent to executors, about 20 bytes
 LONG = 256
 BUCKETS = 1 << 14
 NONE = (1 << 31) - 1
-SLICE = 8 << 20  # bytes of text that a Python task holds as objects at a time; one text at least
+SLICE = 4 << 20  # bytes of text that a Python task holds as objects at a time; one text at least
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -111,38 +110,108 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in piece if p is not None]
 
 
+LETTER, NUMBER, SPACE, OTHER = range(4)
+_tables: dict[str, np.ndarray] = {}
+
+
+def _classes() -> tuple[np.ndarray, np.ndarray]:
+    """Of every code point its class by the pattern's own rules, and a random number."""
+    if not _tables:
+        kind = np.full(0x110000, OTHER, np.uint8)
+        every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+        for name, rule in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\s+")):
+            for m in regex.finditer(rule, every):
+                kind[ord(m.group()[0]) : ord(m.group()[-1]) + 1] = name
+        kind[0xD800:0xE000] = OTHER
+        _tables["kind"], _tables["value"] = kind, W.mix(np.arange(1, 0x110001, dtype=np.uint64))
+    return _tables["kind"], _tables["value"]
+
+
+def cut(points: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Starts of the words that public_tokenizers.PATTERN finds in texts laid end to end; begins: start of each non-empty text.
+
+    Runs of letters, numbers, white space and other characters are words, but for three rules of the pattern: a blank
+    right before another run belongs to it; of white space before another run the last character stands alone (or is that blank);
+    and an apostrophe that begins a word takes a following s, t, m, d, re, ve or ll.
+    """
+    n = len(points)
+    if not n:
+        return np.zeros(0, np.int64)
+    kind = _classes()[0][points]
+    first = np.zeros(n + 1, bool)
+    first[begins] = first[n] = True
+    start = first.copy()
+    start[1:n] |= kind[1:] != kind[:-1]
+    more = ~first[1:]  # a next character of the same text
+    space = kind == SPACE
+    last = np.flatnonzero(space[:-1] & ~space[1:] & more[:-1])
+    start[last] = True
+    blank = last[points[last] == 32]
+    start[blank + 1] = False
+    single = np.flatnonzero((points == 39) & start[:n] & more)
+    single = single[kind[single + 1] == LETTER]
+    if len(single):
+        a = points[single + 1]
+        b = np.where(single + 2 < n, points[np.minimum(single + 2, n - 1)], 0)
+        b[first[np.minimum(single + 2, n)]] = 0
+        one = np.isin(a, [ord(c) for c in "stmd"])
+        two = ((a == ord("r")) | (a == ord("v"))) & (b == ord("e")) | (a == ord("l")) & (b == ord("l"))
+        for rows, size in ((single[one], 1), (single[two & ~one], 2)):
+            start[rows + 1] = False
+            rest = rows + 1 + size
+            rest = rest[rest < n]
+            start[rest[(kind[rest] == LETTER) & ~first[rest]]] = True
+    return np.flatnonzero(start[:n])
+
+
+class Slice:
+    """Some texts of a column cut into words: key (64-bit hash), text and first and last code point of each word."""
+
+    def __init__(self, texts: list[str], pattern: str):
+        self.text = "".join(texts)
+        points = np.frombuffer(self.text.encode("utf-32-le"), np.uint32)
+        length = np.array([len(t) for t in texts], np.int64)
+        begins = np.cumsum(length) - length
+        if pattern == PATTERN:
+            self.start = cut(points, begins[length > 0])
+        else:
+            find = regex.compile(pattern).finditer
+            self.start = np.array([b + m.start() for t, b in zip(texts, begins, strict=True) for m in find(t)], np.int64)
+        self.end = np.append(self.start[1:], len(points)) if len(self.start) else self.start
+        self.key = W.hashes(points, self.start, self.end, _classes()[1]).view(np.int64)
+        self.counts = np.bincount(np.searchsorted(begins + length, self.start, "right"), minlength=len(texts))
+
+    def word(self, i: int) -> str:
+        return self.text[self.start[i] : self.end[i]]
+
+
+def _slices(texts: pa.Array, pattern: str) -> Iterator[tuple[int, int, Slice]]:
+    _, offsets = W.text_bytes(texts)
+    first = 0
+    while first < len(texts):
+        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + SLICE, "right")) - 1)
+        yield first, last, Slice([t or "" for t in texts.slice(first, last - first).to_pylist()], pattern)
+        first = last
+
+
 class Known:
-    """Ids of frequent words by a 64-bit hash and a 32-bit check of the word, in flat arrays."""
+    """Ids of frequent words by the words' hashes, in flat arrays."""
 
     def __init__(self, rows: pa.Table):
         key = rows["key"].to_numpy()
         order = np.argsort(key)
         ids = rows["ids"].combine_chunks().take(pa.array(order))
-        self.key, self.check = key[order], rows["check"].to_numpy()[order].astype(np.uint32)
-        self.size = np.asarray(ids.value_lengths(), np.int64)
+        self.key = key[order]
+        self.size = np.asarray(ids.value_lengths(), np.int32)
         self.ids = ids.flatten().to_numpy().astype(np.int32)
-        self.at = np.cumsum(self.size) - self.size
+        self.at = np.cumsum(self.size, dtype=np.int64) - self.size
 
-    def find(self, words: list[str]) -> np.ndarray:
-        """Row of each word, -1 where it is not known."""
-        raw = [w.encode() for w in words]
-        key = np.array([xxhash.xxh64_intdigest(w, 42) for w in raw], np.uint64).view(np.int64)
-        check = np.array([zlib.crc32(w) for w in raw], np.uint32)
+    def find(self, key: np.ndarray) -> np.ndarray:
+        """Row of each hash, -1 where it is not known."""
         if not len(self.key) or not len(key):
             return np.full(len(key), -1)
         at = np.searchsorted(self.key, key).clip(max=len(self.key) - 1)
-        return np.where((self.key[at] == key) & (self.check[at] == check), at, -1)
-
-
-def _slices(texts: pa.Array) -> Iterator[tuple[int, list[str]]]:
-    from taintgrid.llm.words import text_bytes
-
-    _, offsets = text_bytes(texts)
-    first = 0
-    while first < len(texts):
-        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + SLICE, "right")) - 1)
-        yield first, [t or "" for t in texts.slice(first, last - first).to_pylist()]
-        first = last
+        return np.where(self.key[at] == key, at, -1)
 
 
 def is_long(word: str) -> bool:
@@ -150,19 +219,17 @@ def is_long(word: str) -> bool:
 
 
 def word_counts(docs: DataFrame, pattern: str) -> DataFrame:
-    """word, n of the words of at most LONG bytes in all texts."""
+    """key, word, n of the words of at most LONG bytes in all texts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = regex.compile(pattern).findall
         for batch in batches:
-            for _, texts in _slices(batch.column(0)):
-                seen: Counter[str] = Counter()
-                for t in texts:
-                    seen.update(find(t))
-                words = [w for w in seen if not is_long(w)]
-                yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([seen[w] for w in words], pa.int64())], ["word", "n"])
+            for _, _, s in _slices(batch.column(0), pattern):
+                key, first, n = np.unique(s.key, return_index=True, return_counts=True)
+                words = [s.word(i) for i in first]
+                short = np.array([not is_long(w) for w in words], bool)
+                yield pa.RecordBatch.from_arrays([pa.array(key[short]), pa.array([w for w, k in zip(words, short, strict=True) if k], pa.string()), pa.array(n[short])], ["key", "word", "n"])
 
-    return docs.select("text").mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(count, "key bigint, word string, n bigint").groupBy("key", "word").agg(F.sum("n").alias("n"))
 
 
 def known_words(counts: DataFrame, table: Column, known: int) -> Known:
@@ -175,8 +242,7 @@ def known_words(counts: DataFrame, table: Column, known: int) -> Known:
         if total > known:
             least = at + 1
             break
-    rows = counts.where(level >= least).select(F.xxhash64("word").alias("key"), F.crc32(F.col("word").cast("binary")).alias("check"), fold(F.col("word"), table).alias("ids"))
-    return Known(rows.toArrow())
+    return Known(counts.where(level >= least).select("key", fold(F.col("word"), table).alias("ids")).toArrow())
 
 
 def encode(docs: DataFrame, path: str | None = None, pattern: str = PATTERN, known: int = KNOWN) -> DataFrame:
@@ -185,46 +251,50 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str = PATTERN, kno
     table = rank_literal(ranks)
     sent = docs.sparkSession.sparkContext.broadcast((known_words(checkpoint(word_counts(docs, pattern)), table, known), ranks))
 
+    def unknown(s: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Different words of a slice: hashes, the first place of each, and its row in the table."""
+        key, first = np.unique(s.key, return_index=True)
+        return key, first, sent.value[0].find(key)
+
     def rare(texts: pa.Array) -> pa.Array:
-        find, out = regex.compile(pattern).findall, []
-        for _, part in _slices(texts):
-            words = [find(t) for t in part]
-            every = list({w for own in words for w in own})
-            unknown = {w for w, i in zip(every, sent.value[0].find(every), strict=True) if i < 0 and not is_long(w)}
-            out += [list(unknown.intersection(own)) for own in words]
+        out: list[list[str]] = []
+        for first_row, last_row, s in _slices(texts, pattern):
+            key, first, row = unknown(s)
+            words = {int(k): w for k, i in zip(key[row < 0], first[row < 0], strict=True) if not is_long(w := s.word(i))}
+            strange = np.flatnonzero(np.isin(s.key, key[row < 0]))
+            owner = np.repeat(np.arange(last_row - first_row), s.counts)[strange]
+            bounds = np.searchsorted(owner, np.arange(last_row - first_row + 1))
+            for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+                out.append([words[k] for k in dict.fromkeys(s.key[strange[lo:hi]].tolist()) if k in words])
         return pa.array(out, pa.list_(pa.string()))
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, (table, ranks) = regex.compile(pattern).findall, sent.value
+        table, ranks = sent.value
         for batch in batches:
             names, texts, words, ids = batch.columns
-            for first, part in _slices(texts):
-                own = [find(t) for t in part]
-                every = list({w for found in own for w in found})
-                place: dict[str, int] = {}
-                lists: list[np.ndarray] = []
-                for w, i in zip(every, table.find(every), strict=True):
-                    if i >= 0:
-                        place[w] = len(lists)
-                        lists.append(table.ids[table.at[i] : table.at[i] + table.size[i]])
-                for found, of in zip(words.slice(first, len(part)).to_pylist(), ids.slice(first, len(part)).to_pylist(), strict=True):
-                    for w, x in zip(found, of, strict=True):
-                        if w not in place:
-                            place[w] = len(lists)
-                            lists.append(np.array(x, np.int32))
-                for w in every:
-                    if w not in place:  # a long one
-                        place[w] = len(lists)
-                        lists.append(np.array(merge_long(w.encode(), ranks), np.int32))
-                size = np.array([len(x) for x in lists], np.int64)
-                flat = np.concatenate(lists) if lists else np.zeros(0, np.int32)
-                at = np.cumsum(size) - size
-                out = []
-                for found in own:
-                    use = np.array([place[w] for w in found], np.int64)
-                    n = size[use]
-                    out.append(flat[np.repeat(at[use] - (np.cumsum(n) - n), n) + np.arange(n.sum())])
-                yield pa.RecordBatch.from_arrays([names.slice(first, len(part)), pa.array(out, pa.list_(pa.int32()))], ["doc_id", "ids"])
+            for first_row, last_row, s in _slices(texts, pattern):
+                key, first, row = unknown(s)
+                own: dict[str, list[int]] = {}
+                part = slice(first_row, last_row)
+                for found, of in zip(words[part].to_pylist(), ids[part].to_pylist(), strict=True):
+                    own.update(zip(found, of, strict=True))
+                missing = np.flatnonzero(row < 0)
+                lists = [np.array(own[w] if (w := s.word(i)) in own else merge_long(w.encode(), ranks), np.int32) for i in first[missing]]
+                # the slice's own lists follow the table's
+                size = np.concatenate([table.size, np.array([len(x) for x in lists], np.int32)])
+                flat = np.concatenate([np.zeros(0, np.int32), *lists])
+                here = size[len(table.size) :].astype(np.int64)
+                row[missing] = len(table.size) + np.arange(len(missing))
+                place = row[np.searchsorted(key, s.key)]
+                n = size[place].astype(np.int64)
+                known = place < len(table.size)
+                begin = np.where(known, np.append(table.at, 0)[np.minimum(place, len(table.at))], np.append(np.cumsum(here) - here, 0)[np.maximum(place - len(table.size), 0)] + len(table.ids))
+                take = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                low = take < len(table.ids)
+                out = np.empty(len(take), np.int32)
+                out[low], out[~low] = table.ids[take[low]], flat[take[~low] - len(table.ids)]
+                ends = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(s.counts)])]
+                yield pa.RecordBatch.from_arrays([names[part], pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(out))], ["doc_id", "ids"])
 
     rows = docs.select("doc_id", "text", F.arrow_udf(rare, "array<string>")(F.col("text")).alias("words"))
     rows = rows.withColumn("ids", F.transform("words", lambda w: fold(w, table)))

@@ -74,7 +74,7 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, thresh
         return empty
     table = template_literal(given, threshold)
     blanks = lambda line: F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit("")))
-    fits = lambda n: F.exists(table, lambda t: (n >= t["lo"]) & (n <= t["hi"]))
+    fits = lambda size: let(size, lambda n: F.exists(table, lambda t: (n >= t["lo"]) & (n <= t["hi"])))
 
     def pairs(unit: Column) -> Column:
         return let(F.split(unit, " "), lambda w: F.zip_with(
@@ -100,5 +100,5 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, thresh
                 name.alias("licence"), F.array_max(F.transform(own, lambda h: h["dice"])).alias("dice"), F.size(own).cast("bigint").alias("hits"))))
 
     lines = F.transform(F.split(normalised(F.coalesce(F.col("text"), F.lit(""))), "\n"), lambda x: F.trim(x))
-    found = let(lines, lambda x: best(F.flatten(F.transform(units(x), hits))))
+    found = let(lines, lambda x: let(F.flatten(F.transform(units(x), hits)), best))
     return docs.select("doc_id", F.explode(found).alias("x")).select("doc_id", "x.licence", "x.dice", "x.hits")

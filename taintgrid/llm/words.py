@@ -81,8 +81,8 @@ def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.bincount(row, minlength=rows)
 
 
-def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word that depends on its bytes alone."""
+def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray = _BYTE) -> np.ndarray:
+    """A 64-bit hash of each span that depends on its own elements alone; values: a random number for each element."""
     out, i = np.empty(len(starts), np.uint64), 0
     while i < len(starts):
         base = starts[i]
@@ -90,7 +90,7 @@ def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
         part = data[base : ends[j - 1]]
         up, down = _power(len(part))
         total = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum(_BYTE[part] * up, out=total[1:])
+        np.cumsum(values[part] * up, out=total[1:])
         s, e = starts[i:j] - base, ends[i:j] - base
         out[i:j] = (total[e] - total[s]) * down[s]
         i = j
