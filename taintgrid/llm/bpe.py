@@ -32,7 +32,7 @@ PATTERN = public_tokenizers.PATTERN
 RANKS = "byte_bpe_multi_50k.tiktoken"
 KNOWN = 1 << 20  # words in the table that is sent to executors, about 20 bytes each
 LONG = 256
-BUCKETS = 1 << 14
+BUCKETS = 1 << 12
 NONE = (1 << 31) - 1
 SLICE = 4 << 20  # bytes of text that a Python task holds as objects at a time; one text at least
 
@@ -57,7 +57,10 @@ def let(value: Column, body) -> Column:
 
 
 def fold(word: Column, table: Column) -> Column:
-    """Ids of a word: while some neighbours join to a piece of the map, the leftmost pair of the lowest rank joins."""
+    """Ids of a word: while some neighbours join to a piece of the map, the leftmost pair of the lowest rank joins.
+
+    table: a bound variable of rank_literal, so that the plan holds the map once.
+    """
 
     def rank(piece: Column) -> Column:
         return let(piece, lambda x: F.coalesce(F.try_element_at(F.get(table, (F.crc32(x.cast("binary")) % BUCKETS).cast("int")), x), F.lit(NONE)))
@@ -242,7 +245,7 @@ def known_words(counts: DataFrame, table: Column, known: int) -> Known:
         if total > known:
             least = at + 1
             break
-    return Known(counts.where(level >= least).select("key", fold(F.col("word"), table).alias("ids")).toArrow())
+    return Known(counts.where(level >= least).select("key", let(table, lambda t: fold(F.col("word"), t)).alias("ids")).toArrow())
 
 
 def encode(docs: DataFrame, path: str | None = None, pattern: str = PATTERN, known: int = KNOWN) -> DataFrame:
@@ -297,7 +300,7 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str = PATTERN, kno
                 yield pa.RecordBatch.from_arrays([names[part], pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(out))], ["doc_id", "ids"])
 
     rows = docs.select("doc_id", "text", F.arrow_udf(rare, "array<string>")(F.col("text")).alias("words"))
-    rows = rows.withColumn("ids", F.transform("words", lambda w: fold(w, table)))
+    rows = rows.withColumn("ids", let(table, lambda t: F.transform("words", lambda w: fold(w, t))))
     return rows.mapInArrow(assemble, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>")
 
 
