@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taintgrid.llm import bpe, jaccard, licenses, mixing, pii, quality
+from taintgrid.llm import bpe, itq, jaccard, licenses, mixing, nearest, packing, pii, quality
 from taintgrid.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -134,6 +134,22 @@ def op4(spark, sf_dir):
     return mixing.replicate(table(spark, sf_dir, "documents"))
 
 
+@query("op2_nearest")
+def op2(spark, sf_dir):
+    return nearest.neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@query("op8_embedding_copies")
+def op8(spark, sf_dir):
+    return itq.near_copies(table(spark, sf_dir, "embeddings"))
+
+
+@query("op9_sharding")
+def op9(spark, sf_dir):
+    out = packing.assign(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 @query("op10_quality_classifier")
 def op10(spark, sf_dir):
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
