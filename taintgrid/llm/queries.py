@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taintgrid.llm import bpe, itq, jaccard, licenses, mixing, nearest, packing, pii, quality
+from taintgrid.llm import bpe, itq, jaccard, licenses, lm, mixing, nearest, packing, pii, quality
 from taintgrid.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -139,6 +139,11 @@ def op2(spark, sf_dir):
     return nearest.neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+@query("op7_lm_score")
+def op7(spark, sf_dir):
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 @query("op8_embedding_copies")
 def op8(spark, sf_dir):
     return itq.near_copies(table(spark, sf_dir, "embeddings"))
