@@ -34,7 +34,7 @@ KNOWN = 1 << 20  # words in the table that is sent to executors, about 20 bytes
 LONG = 256
 BUCKETS = 1 << 12
 NONE = (1 << 31) - 1
-SLICE = 4 << 20  # bytes of text that a Python task holds as objects at a time; one text at least
+SLICE = 1 << 20  # bytes of text that a Python task holds as objects at a time; one text at least
 
 
 def read_ranks(path: str) -> dict[bytes, int]:

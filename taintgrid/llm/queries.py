@@ -17,11 +17,13 @@ ORACLES: dict[str, str] = {}
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
-def reachable(spark: SparkSession) -> None:
-    """Let Python workers that start from now on import this package from where the driver has it, as in local runs.
+BATCH_BYTES = str(8 << 20)
 
-    On a cluster the package is shipped with the application (--py-files) and this changes nothing.
-    """
+
+def prepare(spark: SparkSession) -> None:
+    """Bound the batches of rows that Python workers get, and let new workers import this package from where the
+    driver has it, as in local runs (on a cluster it is shipped with the application, --py-files)."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in paths:
@@ -31,7 +33,7 @@ def reachable(spark: SparkSession) -> None:
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def add(fn: Query) -> Query:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            reachable(spark)
+            prepare(spark)
             return fn(spark, sf_dir)
 
         QUERIES[name] = run
@@ -75,9 +77,9 @@ def op1(spark, sf_dir):
     return pii.find(table(spark, sf_dir, "documents")).withColumn("base_sha256", F.sha2("base", 256)).drop("base")
 
 
-def token_digests(df: DataFrame) -> DataFrame:
+def token_digests(df: DataFrame, *more: str) -> DataFrame:
     return df.select(
-        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        "doc_id", *more, F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
