@@ -255,8 +255,8 @@ def keep_one(docs: DataFrame, **settings) -> DataFrame:
     """docs with one row of each class: that of the smallest doc_id (of repeated rows any one)."""
     classes = jaccard_classes(docs, **settings).where("keeper = fp")
     classes = checkpoint(classes.select(F.col("fp").alias("_fp"), F.col("doc_id").alias("_id"), "at_least"))
-    rows = docs.withColumn("_fp_of", fingerprint())
-    kept = rows.join(sized(classes, 48), (F.col("_fp_of") == F.col("_fp")) & F.col("doc_id").eqNullSafe(F.col("_id")))
+    rows = docs.select(F.struct("*").alias("row"), fingerprint().alias("own"), F.col("doc_id").alias("own_id"))
+    kept = rows.join(sized(classes, 48), (F.col("own") == F.col("_fp")) & F.col("own_id").eqNullSafe(F.col("_id")))
     once = kept.where("at_least = 1")
     again = kept.where("at_least > 1").dropDuplicates(["_fp"])
-    return once.unionByName(again).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return once.union(again).select("row.*")

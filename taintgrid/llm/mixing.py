@@ -5,7 +5,8 @@ Each row's number of copies inverts the Poisson distribution of that mean at a u
 of the seed and doc_id, so a row's copies depend on it and its source's rate alone, whatever the partitions.
 Copies are dealt out over the whole output by a hash of (doc_id, copy).
 
-Rates come from one aggregate per source; rates join the rows on the source (Spark splits a hot source).
+Rates come from one aggregate per source; they go to the rows by broadcast if their counted size allows it, else by a join
+on the source that Spark splits where a source is hot.
 Defined cases: a null source is a source of its own; a null doc_id counts as the text "null", and rows that repeat a
 doc_id get the same number of copies each; a source without a target has weight 0; targets that sum to 0 or an empty
 table give no rows; other columns are kept.
@@ -16,6 +17,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from taintgrid.llm.shared import sized
+from taintgrid.session import checkpoint
+
 SEED = 42
 POWER = 0.5  # default targets are in proportion to the source's rows to this power
 
@@ -54,24 +58,25 @@ def rates(docs: DataFrame, targets: DataFrame | None = None, power: float = POWE
     return weighed.crossJoin(F.broadcast(total)).where("all_w > 0 and weight > 0").select("source", (F.col("weight") / F.col("all_w") * F.col("all_n") / F.col("n")).alias("rate"))
 
 
-def replicate(docs: DataFrame, targets: DataFrame | None = None, power: float = POWER, seed: int = SEED) -> DataFrame:
-    """Each row of docs as often as its Poisson count, with its number copy (from 0) and shuffle_key, globally shuffled."""
+def replicate(docs: DataFrame, targets: DataFrame | None = None, power: float = POWER, seed: int = SEED, packed_rows: bool = False) -> DataFrame:
+    """Each row of docs as often as its Poisson count, with its number copy (from 0) and shuffle_key, globally shuffled;
+    input columns of those two names give way. packed_rows: docs' columns come as one struct _row."""
     parts = F.ceil(F.col("rate") / 500).cast("int")
     by_source = rates(docs, targets, power).select(
         F.col("source").alias("_source"), parts.alias("_parts"), poisson_steps(F.col("rate") / parts).alias("_steps"))
-    rows = docs.join(by_source, docs["source"].eqNullSafe(F.col("_source")))
-    draw = lambda part: F.size(F.filter("_steps", lambda c: c <= uniform(seed, F.col("doc_id"), part)))
+    packed = docs.select(F.struct("*").alias("_row"), F.col("source").alias("_own"), F.col("doc_id").alias("_id"))
+    rows = packed.join(sized(checkpoint(by_source), 400), F.col("_own").eqNullSafe(F.col("_source")))
+    draw = lambda part: F.size(F.filter("_steps", lambda c: c <= uniform(seed, F.col("_id"), part)))
     one = F.size(F.filter("_steps", lambda c: c <= F.col("_u")))
     many = F.aggregate(F.sequence(F.lit(1), F.col("_parts") - 1), F.lit(0), lambda n, part: n + draw(part))
-    rows = rows.withColumn("_u", uniform(seed, F.col("doc_id"))).withColumn("_copies", one + F.when(F.col("_parts") > 1, many).otherwise(F.lit(0)))
+    rows = rows.withColumn("_u", uniform(seed, F.col("_id"))).withColumn("_copies", one + F.when(F.col("_parts") > 1, many).otherwise(F.lit(0)))
     rows = rows.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)))
-    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("_copy")))
-    own = [F.col(f"`{c}`") for c in docs.columns if c not in ("copy", "shuffle_key")]
-    out = rows.select(*own, F.col("_copy").alias("copy"), key.alias("shuffle_key"))
-    return out.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("_id").cast("string"), F.lit("null")), F.col("_copy")))
+    own = [F.col("_row")[c].alias(c) for c in docs.columns if c not in ("copy", "shuffle_key")]
+    out = rows.select("_row", F.col("_copy").alias("copy"), key.alias("shuffle_key")).repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+    return out if packed_rows else out.select(*own, "copy", "shuffle_key")
 
 
 def mix(docs: DataFrame, targets: DataFrame | None = None, power: float = POWER, seed: int = SEED) -> DataFrame:
     """The rows of docs, repeated and shuffled, with docs' own columns."""
-    out = replicate(docs.withColumnsRenamed({c: f"_kept_{c}" for c in docs.columns if c in ("copy", "shuffle_key")}), targets, power, seed)
-    return out.select(*[F.col(f"_kept_{c}").alias(c) if c in ("copy", "shuffle_key") else F.col(f"`{c}`") for c in docs.columns])
+    return replicate(docs, targets, power, seed, packed_rows=True).select("_row.*")
