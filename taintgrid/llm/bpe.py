@@ -30,9 +30,9 @@ from taintgrid.session import checkpoint
 
 PATTERN = public_tokenizers.PATTERN
 RANKS = "byte_bpe_multi_50k.tiktoken"
-KNOWN = 1 << 20  # words in the table that is sent to executors, about 20 bytes each
+KNOWN = 1 << 22  # words in the table that is sent to executors, 12 bytes each and 2 for each id
 LONG = 256
-BUCKETS = 1 << 12
+BUCKETS = 1 << 13
 NONE = (1 << 31) - 1
 SLICE = 1 << 20  # bytes of text that a Python task holds as objects at a time; one text at least
 
@@ -205,9 +205,10 @@ class Known:
         order = np.argsort(key)
         ids = rows["ids"].combine_chunks().take(pa.array(order))
         self.key = key[order]
-        self.size = np.asarray(ids.value_lengths(), np.int32)
-        self.ids = ids.flatten().to_numpy().astype(np.int32)
-        self.at = np.cumsum(self.size, dtype=np.int64) - self.size
+        self.start = ids.offsets.to_numpy().astype(np.uint32)
+        self.ids = ids.flatten().to_numpy()
+        if not len(self.ids) or self.ids.max() < 1 << 16:
+            self.ids = self.ids.astype(np.uint16)
 
     def find(self, key: np.ndarray) -> np.ndarray:
         """Row of each hash, -1 where it is not known."""
@@ -235,8 +236,8 @@ def word_counts(docs: DataFrame, pattern: str) -> DataFrame:
     return docs.select("text").mapInArrow(count, "key bigint, word string, n bigint").groupBy("key", "word").agg(F.sum("n").alias("n"))
 
 
-def known_words(counts: DataFrame, table: Column, known: int) -> Known:
-    """Ids of the words frequent enough that at most `known` words are as frequent, folded by Spark."""
+def known_words(counts: DataFrame, table: Column, known: int) -> tuple[Known, bool]:
+    """Ids of the words frequent enough that at most `known` words are as frequent, folded by Spark; whether these are all."""
     level = F.floor(F.log2("n") * 4).cast("int")
     by_level = sorted(counts.groupBy(level.alias("level")).count().collect(), reverse=True)  # some hundred rows
     least, total = 0, 0
@@ -245,24 +246,22 @@ def known_words(counts: DataFrame, table: Column, known: int) -> Known:
         if total > known:
             least = at + 1
             break
-    return Known(counts.where(level >= least).select("key", let(table, lambda t: fold(F.col("word"), t)).alias("ids")).toArrow())
+    rows = counts.where(level >= least).select("key", let(table, lambda t: fold(F.col("word"), t)).alias("ids")).toArrow()
+    return Known(rows), least == 0
 
 
-def encode(docs: DataFrame, path: str | None = None, pattern: str = PATTERN, known: int = KNOWN) -> DataFrame:
-    """doc_id and ids, an array of int, of every row. Word statistics are taken from docs."""
+def round_trip(docs: DataFrame, path: str | None = None, pattern: str = PATTERN, known: int = KNOWN) -> DataFrame:
+    """doc_id, ids (an array of int) and the bytes they decode to, of every row. Word statistics are taken from docs."""
     ranks = read_ranks(path or public_tokenizers.path(RANKS))
     table = rank_literal(ranks)
-    sent = docs.sparkSession.sparkContext.broadcast((known_words(checkpoint(word_counts(docs, pattern)), table, known), ranks))
-
-    def unknown(s: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Different words of a slice: hashes, the first place of each, and its row in the table."""
-        key, first = np.unique(s.key, return_index=True)
-        return key, first, sent.value[0].find(key)
+    words, complete = known_words(checkpoint(word_counts(docs, pattern)), table, known)
+    sent = docs.sparkSession.sparkContext.broadcast((words, ranks, Pieces(ranks)))
 
     def rare(texts: pa.Array) -> pa.Array:
         out: list[list[str]] = []
         for first_row, last_row, s in _slices(texts, pattern):
-            key, first, row = unknown(s)
+            key, first = np.unique(s.key, return_index=True)
+            row = sent.value[0].find(key)
             words = {int(k): w for k, i in zip(key[row < 0], first[row < 0], strict=True) if not is_long(w := s.word(i))}
             strange = np.flatnonzero(np.isin(s.key, key[row < 0]))
             owner = np.repeat(np.arange(last_row - first_row), s.counts)[strange]
@@ -272,63 +271,71 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str = PATTERN, kno
         return pa.array(out, pa.list_(pa.string()))
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, ranks = sent.value
+        table, ranks, pieces = sent.value
         for batch in batches:
-            names, texts, words, ids = batch.columns
+            names, texts = batch.columns[:2]
             for first_row, last_row, s in _slices(texts, pattern):
-                key, first, row = unknown(s)
-                own: dict[str, list[int]] = {}
+                key, first = np.unique(s.key, return_index=True)
+                row = table.find(key)
                 part = slice(first_row, last_row)
-                for found, of in zip(words[part].to_pylist(), ids[part].to_pylist(), strict=True):
-                    own.update(zip(found, of, strict=True))
+                own: dict[str, list[int]] = {}
+                if not complete:
+                    for found, of in zip(batch.column("words")[part].to_pylist(), batch.column("ids")[part].to_pylist(), strict=True):
+                        own.update(zip(found, of, strict=True))
                 missing = np.flatnonzero(row < 0)
                 lists = [np.array(own[w] if (w := s.word(i)) in own else merge_long(w.encode(), ranks), np.int32) for i in first[missing]]
-                # the slice's own lists follow the table's
-                size = np.concatenate([table.size, np.array([len(x) for x in lists], np.int32)])
-                flat = np.concatenate([np.zeros(0, np.int32), *lists])
-                here = size[len(table.size) :].astype(np.int64)
-                row[missing] = len(table.size) + np.arange(len(missing))
-                place = row[np.searchsorted(key, s.key)]
-                n = size[place].astype(np.int64)
-                known = place < len(table.size)
-                begin = np.where(known, np.append(table.at, 0)[np.minimum(place, len(table.at))], np.append(np.cumsum(here) - here, 0)[np.maximum(place - len(table.size), 0)] + len(table.ids))
-                take = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                here = np.array([len(x) for x in lists], np.int64)
+                # where each different word's ids begin, the slice's own lists after the table's, and how many they are
+                begin, size = table.start[row].astype(np.int64), (table.start[row + 1] - table.start[row]).astype(np.int64)
+                begin[missing], size[missing] = len(table.ids) + np.cumsum(here) - here, here
+                place = np.searchsorted(key, s.key)
+                n = size[place]
+                take = np.repeat(begin[place] - (np.cumsum(n) - n), n) + np.arange(n.sum())
                 low = take < len(table.ids)
-                out = np.empty(len(take), np.int32)
-                out[low], out[~low] = table.ids[take[low]], flat[take[~low] - len(table.ids)]
-                ends = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(s.counts)])]
-                yield pa.RecordBatch.from_arrays([names[part], pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(out))], ["doc_id", "ids"])
-
-    rows = docs.select("doc_id", "text", F.arrow_udf(rare, "array<string>")(F.col("text")).alias("words"))
-    rows = rows.withColumn("ids", let(table, lambda t: F.transform("words", lambda w: fold(w, t))))
-    return rows.mapInArrow(assemble, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>")
-
-
-def decode(ids: Column, path: str | None = None) -> Column:
-    """The bytes of an array of ids: their pieces in a row. Null gives null; an id outside the ranks is an error."""
-    ranks = read_ranks(path or public_tokenizers.path(RANKS))
-    size = np.full(max(ranks.values(), default=-1) + 1, -1, np.int64)
-    for piece, i in ranks.items():
-        size[i] = len(piece)
-    at = np.cumsum(size.clip(0)) - size.clip(0)
-    flat = np.frombuffer(b"".join(p for p, _ in sorted(ranks.items(), key=lambda x: x[1])), np.uint8)
-
-    def of(lists: pa.Array) -> pa.Array:
+                ids = np.empty(len(take), np.int32)
+                ids[low], ids[~low] = table.ids[take[low]], np.concatenate([np.zeros(0, np.int32), *lists])[take[~low] - len(table.ids)]
+                ends = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(s.counts)])].astype(np.int32)
+                out = pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))
+                yield pa.RecordBatch.from_arrays([names[part], out, pieces.decode(out)], ["doc_id", "ids", "decoded"])
+
+    rows = docs.select("doc_id", "text")
+    if not complete:
+        rows = rows.withColumn("words", F.arrow_udf(rare, "array<string>")(F.col("text")))
+        rows = rows.withColumn("ids", let(table, lambda t: F.transform("words", lambda w: fold(w, t))))
+    return rows.mapInArrow(assemble, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>, decoded binary")
+
+
+class Pieces:
+    """The ranks' byte pieces laid end to end."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.size = np.full(max(ranks.values(), default=-1) + 1, -1, np.int64)
+        for piece, i in ranks.items():
+            self.size[i] = len(piece)
+        self.at = np.cumsum(self.size.clip(0)) - self.size.clip(0)
+        self.flat = np.frombuffer(b"".join(p for p, _ in sorted(ranks.items(), key=lambda x: x[1])), np.uint8)
+
+    def decode(self, lists: pa.Array) -> pa.Array:
+        """The pieces of each list of ids in a row. Null gives null; an id outside the ranks is an error."""
         out = []
         for x in lists:
             if not x.is_valid:
                 out.append(None)
                 continue
             own = np.asarray(x.values, np.int64)
-            n = size[own]
-            if len(n) and n.min() < 0:
+            if len(own) and (own.min() < 0 or own.max() >= len(self.size) or self.size[own].min() < 0):
                 raise ValueError("an id without a piece")
-            out.append(flat[np.repeat(at[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())].tobytes())
+            n = self.size[own]
+            out.append(self.flat[np.repeat(self.at[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())].tobytes())
         return pa.array(out, pa.binary())
 
-    return F.arrow_udf(of, "binary")(ids)
 
+def encode(docs: DataFrame, path: str | None = None, **settings) -> DataFrame:
+    """doc_id and ids of every row."""
+    return round_trip(docs, path, **settings).select("doc_id", "ids")
 
-def round_trip(docs: DataFrame, path: str | None = None, **settings) -> DataFrame:
-    """doc_id, ids and the bytes they decode to, of every row."""
-    return encode(docs, path, **settings).withColumn("decoded", decode(F.col("ids"), path))
+
+def decode(ids: Column, path: str | None = None) -> Column:
+    """The bytes of a column of arrays of ids. Null gives null; an id outside the ranks is an error."""
+    pieces = Pieces(read_ranks(path or public_tokenizers.path(RANKS)))
+    return F.arrow_udf(lambda lists: pieces.decode(lists), "binary")(ids)

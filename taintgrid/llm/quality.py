@@ -84,7 +84,7 @@ def scores(model: Model, texts: pa.Array) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0)
 
 
-def fit(bucket: np.ndarray, share: np.ndarray, size: np.ndarray, form: np.ndarray, grade: np.ndarray, grades: int = GRADES, epochs: int = 12, batch: int = 128, rate: float = 2.0, ridge: float = 1e-6) -> Model:
+def fit(bucket: np.ndarray, share: np.ndarray, size: np.ndarray, form: np.ndarray, grade: np.ndarray, grades: int = GRADES, epochs: int = 12, least_steps: int = 1_000, batch: int = 128, rate: float = 2.0, ridge: float = 1e-6) -> Model:
     """Maximum likelihood by Adagrad; cuts stay ordered since each is the one below plus an exponential."""
     rng = np.random.default_rng(10)
     common = (np.bincount(bucket, minlength=1 << BITS) >= max(3, LEAST_SHARE * len(size)))[bucket]
@@ -100,13 +100,13 @@ def fit(bucket: np.ndarray, share: np.ndarray, size: np.ndarray, form: np.ndarra
     c = np.concatenate([cuts[:1], gaps])
     c2 = np.full(len(c), 1e-1)
     at = np.cumsum(size) - size
-    for epoch in range(epochs):
+    for _ in range(max(epochs, -(-least_steps * batch // max(1, len(grade))))):
         for rows in np.array_split(rng.permutation(len(grade)), max(1, len(grade) // batch)):
             idx = np.concatenate([np.arange(at[r], at[r] + size[r]) for r in rows]) if len(rows) else np.zeros(0, int)
             own, b, s = np.repeat(np.arange(len(rows)), size[rows]), bucket[idx], share[idx]
             cuts = np.concatenate([c[:1], c[0] + np.cumsum(np.exp(c[1:]))])
             score = np.bincount(own, weights=w[b] * s, minlength=len(rows)) + form[rows] @ f
-            tail = 1 / (1 + np.exp(-(score[:, None] - cuts)))  # P(grade > k)
+            tail = 1 / (1 + np.exp(np.clip(cuts - score[:, None], -500, 500)))  # P(grade > k)
             full = np.concatenate([np.ones((len(rows), 1)), tail, np.zeros((len(rows), 1))], 1)
             y = grade[rows]
             own_p = np.maximum(full[np.arange(len(y)), y] - full[np.arange(len(y)), y + 1], 1e-9)
@@ -124,10 +124,21 @@ def fit(bucket: np.ndarray, share: np.ndarray, size: np.ndarray, form: np.ndarra
             gc = np.concatenate([[by_cut.sum()], [by_cut[k:].sum() * np.exp(c[k]) for k in range(1, grades - 1)]])
             c2 += gc**2
             c -= rate * gc / np.sqrt(c2)
-    cuts = np.concatenate([c[:1], c[0] + np.cumsum(np.exp(c[1:]))])
+    score = np.bincount(np.repeat(np.arange(len(size)), size), weights=w[bucket] * share, minlength=len(size)) + form @ f
+    cuts = np.array([_level(score, (grade > k).sum()) for k in range(grades - 1)])
     return Model((w * SCALE).astype(np.float32), f, mean, spread, cuts)
 
 
+def _level(score: np.ndarray, above: int) -> float:
+    """The cut at which the tail probabilities of all rated texts sum to the number above it: the best fit of the cut
+    for given scores, ordered as the numbers are."""
+    low, high = score.min() - 50, score.max() + 50
+    for _ in range(80):
+        middle = (low + high) / 2
+        low, high = (middle, high) if (1 / (1 + np.exp(np.clip(middle - score, -500, 500)))).sum() > above else (low, middle)
+    return (low + high) / 2
+
+
 def grades(labels: DataFrame) -> DataFrame:
     """doc_id, grade: 0 poor, 1 good but toxic, 2 good and clean."""
     return labels.where("doc_id is not null and quality is not null and toxic is not null").groupBy("doc_id").agg(
@@ -161,7 +172,7 @@ def score_column(model: Model | None, grades: int = GRADES):
     """Struct of expected grade and of P(grade = best) for a text column; a function of a column."""
 
     def of(texts: pa.Array) -> pa.Array:
-        tail = 1 / (1 + np.exp(-(scores(model, texts)[:, None] - model.cuts)))
+        tail = 1 / (1 + np.exp(np.clip(model.cuts - scores(model, texts)[:, None], -500, 500)))
         return pa.StructArray.from_arrays([pa.array(tail.sum(1)), pa.array(tail[:, -1])], ["grade", "tail"])
 
     if model is None:
