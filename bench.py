@@ -34,15 +34,10 @@ def main() -> None:
 
     # the derived facts are written once; their cost is reported on its own line
     timed("stage_facts", lambda: (views.facts(spark, sf_dir), views.steps(spark, sf_dir)))
-    budget = float(os.environ.get("BENCH_BUDGET_SEC", "300"))
-    left_out = []
     for name in wanted:
-        if sum(times.values()) > budget:
-            left_out.append(name)
-            continue
         timed(name, lambda: queries[name](spark, sf_dir).write.format("noop").mode("overwrite").save())
     print(json.dumps({
-        "metric": "headline query time, sum", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times, "not_run": left_out,
+        "metric": "headline query time, sum", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times,
         "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf")}))
 
 

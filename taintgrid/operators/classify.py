@@ -90,6 +90,14 @@ def _row_id(source: str, *cols: str) -> Column:
     return F.concat(F.lit(f"{source}-"), F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, 16))
 
 
+def _with_kind(findings: DataFrame, kinds: DataFrame) -> DataFrame:
+    """Findings with the columns of their kind; of a kind that is not listed, those of UNKNOWN."""
+    listed = F.broadcast(kinds.withColumnRenamed("vulnerability_kind", "_kind"))
+    known = F.col("vulnerability_kind").isin([line.split()[0] for line in KINDS.strip().splitlines()])
+    named = findings.withColumn("_use", F.when(known, F.col("vulnerability_kind")).otherwise("UNKNOWN"))
+    return named.join(listed, F.col("_use") == F.col("_kind")).drop("_use", "_kind")
+
+
 def classify(facts: Facts, taint: DataFrame, patterns: DataFrame, framework: DataFrame) -> DataFrame:
     """The three kinds of findings in one shape, scored and with a stable id."""
     kinds = load_kinds(taint.sparkSession)
@@ -97,7 +105,7 @@ def classify(facts: Facts, taint: DataFrame, patterns: DataFrame, framework: Dat
     no = lambda n: F.lit(False).alias(n)
     snippet = facts["nodes"].select(*KEYS, F.concat(F.lit("n:"), "node_id").alias("sink_node_id"), C.short("text", 120).alias("code_snippet"))
     where = F.concat(C.basename("source_file"), F.lit(":"), F.col("source_line"), F.lit(" -> "), C.basename("sink_file"), F.lit(":"), F.col("sink_line"))
-    t = taint.join(snippet, [*KEYS, "sink_node_id"], "left").join(F.broadcast(kinds), "vulnerability_kind").withColumn(
+    t = taint.join(snippet, [*KEYS, "sink_node_id"], "left").transform(lambda d: _with_kind(d, kinds)).withColumn(
         "cvss_score", taint_score(F.col("kind_score"), F.col("is_in_loop"), F.col("is_definitely_reachable")))
     t = t.select(
         *KEYS, F.lit("taint").alias("finding_source"), "vulnerability_kind", C.severity("cvss_score").alias("severity"), "confidence",
@@ -109,7 +117,7 @@ def classify(facts: Facts, taint: DataFrame, patterns: DataFrame, framework: Dat
                     F.when(F.col("is_in_loop"), "The sink runs in a loop.")).alias("description"),
         F.col("advice").alias("remediation"), "source_label", "sink_label", "taint_label", "source_file", "is_in_loop", "has_partial_sanitizer",
         C.stable_id("sink_file", "sink_line", "sink_symbol").alias("vuln_id"), _row_id("taint", "source_node_id", "sink_node_id").alias("finding_id"))
-    p = patterns.join(F.broadcast(kinds), "vulnerability_kind").withColumn("cvss_score", F.round(F.coalesce("cvss_base", F.lit(7.0)), 1)).select(
+    p = _with_kind(patterns, kinds).withColumn("cvss_score", F.round(F.coalesce("cvss_base", F.lit(7.0)), 1)).select(
         *KEYS, F.lit("pattern").alias("finding_source"), "vulnerability_kind", C.severity("cvss_score").alias("severity"), "confidence",
         F.col("kind_cwe").alias("cwe"), "vector", "cvss_score", "file", "line", F.col("line").alias("sink_line"), "code_snippet", "method_id",
         "method_name", "class_name", "title",
@@ -118,7 +126,7 @@ def classify(facts: Facts, taint: DataFrame, patterns: DataFrame, framework: Dat
         F.col("advice").alias("remediation"), none("source_label"), C.short("code_snippet", 60).alias("sink_label"), none("taint_label"),
         F.col("file").alias("source_file"), no("is_in_loop"), no("has_partial_sanitizer"), C.stable_id("file", "line", "resolved_symbol").alias("vuln_id"),
         _row_id("pattern", "node_id", "pattern_id").alias("finding_id"))
-    f = framework.join(F.broadcast(kinds), "vulnerability_kind").withColumn("cvss_score", F.round("cvss_base", 1)).select(
+    f = _with_kind(framework, kinds).withColumn("cvss_score", F.round("cvss_base", 1)).select(
         *KEYS, F.lit("framework").alias("finding_source"), "vulnerability_kind", C.severity("cvss_base").alias("severity"), "confidence",
         F.coalesce("cwe", "kind_cwe").alias("cwe"), "vector", "cvss_score", "file", "line", F.col("line").alias("sink_line"), "code_snippet", "method_id",
         "method_name", "class_name", F.concat("title", F.lit(" ("), "rule_id", F.lit(")")).alias("title"),
@@ -141,13 +149,18 @@ def originals(vulns: DataFrame) -> DataFrame:
     return vulns.select(*KEYS, "vuln_id", "finding_id", "finding_source").distinct()
 
 
+def _first(rows: DataFrame, keys: list[str], order: list[Column], **more: Column) -> DataFrame:
+    """The first row of each group with further aggregates, in one aggregate and so one read of the rows."""
+    rest = [c for c in rows.columns if c not in keys and c not in more]
+    first = F.min_by(F.struct(*rest), F.struct(*order)).alias("_first")
+    return rows.groupBy(*keys).agg(first, *[c.alias(n) for n, c in more.items()]).select(*keys, "_first.*", *more)
+
+
 def dedupe_id(vulns: DataFrame) -> DataFrame:
     """One row per id, the best confidence; ties go to taint, pattern, framework, then finding id. Adds
     n_originals."""
     order = [C.confidence_rank(), _source_order(), F.col("finding_id")]
-    best = top_n(vulns, [*KEYS, "vuln_id"], order, 1).drop("rn")
-    counts = vulns.groupBy(*KEYS, "vuln_id").agg(F.count(F.lit(1)).alias("n_originals"))
-    return best.join(counts, [*KEYS, "vuln_id"])
+    return _first(vulns, [*KEYS, "vuln_id"], order, n_originals=F.count(F.lit(1)))
 
 
 def consolidate(vulns: DataFrame) -> DataFrame:
@@ -155,12 +168,11 @@ def consolidate(vulns: DataFrame) -> DataFrame:
     `combined`, and high confidence there becomes confirmed. Originals add up."""
     group = [*KEYS, "file", "sink_line", "vulnerability_kind"]
     order = [C.confidence_rank(), _source_order(), F.col("vuln_id")]
-    best = top_n(vulns, group, order, 1).drop("rn", "n_originals")
-    facts = vulns.groupBy(*group).agg(
-        F.sum("n_originals").alias("n_originals"), F.bool_or(F.col("finding_source") == "taint").alias("_t"),
-        F.bool_or(F.col("finding_source") == "pattern").alias("_p"))
+    best = _first(
+        vulns, group, order, n_originals=F.sum("n_originals"), _t=F.bool_or(F.col("finding_source") == "taint"),
+        _p=F.bool_or(F.col("finding_source") == "pattern"))
     both = F.col("_t") & F.col("_p")
-    return best.join(facts, group).withColumn(
+    return best.withColumn(
         "confidence", F.when(both & (F.col("confidence") == "high"), "confirmed").otherwise(F.col("confidence"))).withColumn(
         "finding_source", F.when(both, "combined").otherwise(F.col("finding_source"))).drop("_t", "_p")
 
@@ -183,9 +195,7 @@ def consolidate_flows(vulns: DataFrame) -> DataFrame:
         "_label", F.lower(F.coalesce("taint_label", F.lit("")))).withColumn("_src", F.coalesce("source_file", "file")).withColumn("_pri", sink_priority())
     group = [*KEYS, "_src", "_class", "_label"]
     order = [F.col("_pri"), C.severity_rank(), C.confidence_rank(), F.col("vuln_id")]
-    best = top_n(flow, group, order, 1).drop("rn", "n_originals")
-    total = flow.groupBy(*group).agg(F.sum("n_originals").alias("n_originals"))
-    kept = best.join(total, group).where("_pri < 2")
+    kept = _first(flow, group, order, n_originals=F.sum("n_originals")).where("_pri < 2")
     return tagged.where("not _flow").drop("_flow").unionByName(kept.select(*vulns.columns))
 
 

@@ -8,13 +8,13 @@ node (or per seed and node where the answer is about seeds), never pairs of a wh
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from taintgrid.session import checkpoint, top_n
 
-MAX_ROUNDS = 10_000  # a guard against a bug, far above any path length met
-
 
 def _seen_union(parts: list[DataFrame]) -> list[DataFrame]:
     """Merge a long list of small frames into one written frame."""
@@ -51,7 +51,9 @@ def closure(
     edges = checkpoint(edges)
     frontier = checkpoint(seeds.select(*ident).distinct().withColumn("depth", F.lit(0)))
     seen = [frontier]
-    for depth in range(1, (max_depth or MAX_ROUNDS) + 1):
+    for depth in count(1):
+        if max_depth is not None and depth > max_depth:
+            break
         step = (
             frontier.select(*keys, *tags, F.col("node").alias("src"))
             .join(edges, [*keys, "src"])
@@ -112,9 +114,9 @@ def _toward(edges: DataFrame, pairs: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def simple_paths(
-    edges: DataFrame, pairs: DataFrame, keys: list[str], cutoff: int = 20, max_paths: int | None = None,
+    edges: DataFrame, pairs: DataFrame, keys: list[str], cutoff: int | None = None, max_paths: int | None = None,
 ) -> DataFrame:
-    """Paths without repeated nodes for each pair (keys, source, target), at most `cutoff` edges.
+    """Paths without repeated nodes for each pair (keys, source, target), with a `cutoff` of at most so many edges.
 
     Partial paths are kept only at nodes that still reach the target. With `max_paths`, the first
     ones by (length, path) are reported. Result: keys, source, target, hops, path.
@@ -128,7 +130,9 @@ def simple_paths(
         .withColumn("path", F.array("source"))
     )
     done = [state.where("node = target").withColumn("hops", F.lit(0))]
-    for hop in range(1, cutoff + 1):
+    for hop in count(1):
+        if cutoff is not None and hop > cutoff:
+            break
         step = (
             state.where("node <> target").select(*keys, "source", "target", F.col("node").alias("src"), "path")
             .join(edges, [*keys, "src"])
@@ -146,7 +150,7 @@ def simple_paths(
     return out
 
 
-def _first_paths(edges: DataFrame, seeds: DataFrame, keys: list[str], cutoff: int = MAX_ROUNDS) -> DataFrame:
+def _first_paths(edges: DataFrame, seeds: DataFrame, keys: list[str], cutoff: int | None = None) -> DataFrame:
     """Seed columns + `path`: for every node reached, its shortest path from the seed; ties go to
     the smallest path. One row per (seed, node) is enough: on equal length the smallest path to a
     node extends the smallest path to its predecessor."""
@@ -154,7 +158,9 @@ def _first_paths(edges: DataFrame, seeds: DataFrame, keys: list[str], cutoff: in
     ident = [*keys, *tags, "node"]
     frontier = checkpoint(seeds.select(*ident).distinct().withColumn("path", F.array("node")))
     seen = [frontier]
-    for _ in range(cutoff):
+    for hop in count(1):
+        if cutoff is not None and hop > cutoff:
+            break
         step = (
             frontier.select(*keys, *tags, F.col("node").alias("src"), "path")
             .join(edges, [*keys, "src"])
@@ -170,7 +176,7 @@ def _first_paths(edges: DataFrame, seeds: DataFrame, keys: list[str], cutoff: in
     return _union(seen)
 
 
-def shortest_paths(edges: DataFrame, pairs: DataFrame, keys: list[str], cutoff: int = MAX_ROUNDS) -> DataFrame:
+def shortest_paths(edges: DataFrame, pairs: DataFrame, keys: list[str], cutoff: int | None = None) -> DataFrame:
     """The shortest path per pair (keys, source, target), smallest path on ties, with `hops`."""
     edges = checkpoint(edges.select(*keys, "src", "dst").distinct())
     seeds = pairs.select(*keys, "source", F.col("source").alias("node"))
@@ -203,7 +209,7 @@ def _spread_max(edges: DataFrame, keys: list[str]) -> DataFrame:
     """Per node the largest ancestor (f) and largest descendant (b), itself included."""
     nodes = edges.select(*keys, F.col("src").alias("node")).union(edges.select(*keys, F.col("dst").alias("node"))).distinct()
     labels = checkpoint(nodes.select(*keys, "node", F.col("node").alias("f"), F.col("node").alias("b"), F.lit(True).alias("new")))
-    for _ in range(MAX_ROUNDS):
+    while True:
         moved = labels.where("new")
         ahead = moved.select(*keys, F.col("node").alias("src"), "f").join(edges, [*keys, "src"]).select(
             *keys, F.col("dst").alias("node"), "f", F.lit(None).cast(labels.schema["b"].dataType).alias("b")
@@ -237,9 +243,7 @@ def components(edges: DataFrame, keys: list[str]) -> DataFrame:
     loops = checkpoint(edges.where("src = dst").select(*keys, F.col("src").alias("node"), F.col("src").alias("component")))
     rest = _trim(checkpoint(edges.where("src <> dst")), keys)
     found = []
-    for _ in range(MAX_ROUNDS):
-        if rest.isEmpty():
-            break
+    while not rest.isEmpty():
         labels = checkpoint(_spread_max(rest, keys))
         found.append(labels.where("f = b").select(*keys, "node", F.col("f").alias("component")))
         open_ = labels.where("f <> b")
@@ -277,7 +281,7 @@ def dominators(edges: DataFrame, entries: DataFrame, keys: list[str]) -> DataFra
     edges = checkpoint(edges.select(*keys, "src", "dst").distinct())
     doms = _first_paths(edges, entries, keys).select(*ident, F.col("path").alias("doms"), F.lit(True).alias("new"))
     doms = checkpoint(doms)
-    for _ in range(MAX_ROUNDS):
+    while True:
         told = checkpoint(
             doms.where("new").select(*keys, *tags, F.col("node").alias("src"), F.col("doms").alias("held"))
             .join(edges, [*keys, "src"])
@@ -328,7 +332,7 @@ def all_paths_hit(edges: DataFrame, pairs: DataFrame, marked: DataFrame, keys: l
     ident = [*keys, "source", "node", "clean"]
     frontier = checkpoint(starts.withColumn("clean", F.col("_m").isNull()).select(*ident))
     seen = [frontier]
-    for _ in range(MAX_ROUNDS):
+    while True:
         step = (
             frontier.select(*keys, "source", "clean", F.col("node").alias("src")).join(edges, [*keys, "src"])
             .select(*keys, "source", F.col("dst").alias("node"), (F.col("clean") & F.col("open")).alias("clean")).distinct()
@@ -366,7 +370,7 @@ def topo_levels(nodes: DataFrame, edges: DataFrame, keys: list[str], entries: Da
     state = nodes.select(*keys, "node").distinct().join(fed, [*keys, "node"], "left").select(
         *keys, "node", F.coalesce("open", F.lit(0)).alias("open"), F.when(F.col("open").isNull(), 0).alias("level"))
     state = checkpoint(state)
-    for level in range(1, MAX_ROUNDS):
+    for level in count(1):
         placed = state.where(F.col("level") == level - 1).select(*keys, F.col("node").alias("src"))
         done = placed.join(edges, [*keys, "src"]).groupBy(*keys, F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("_d"))
         left = F.col("open") - F.coalesce("_d", F.lit(0))

@@ -25,7 +25,8 @@ def _newest() -> list[Column]:
 def upsert_scans(store: DataFrame, updates: DataFrame, key: str = "scan_id", order: str = "updated_at") -> DataFrame:
     """The latest row per scan of store and updates."""
     both = store.unionByName(updates, allowMissingColumns=True)
-    return top_n(both, [key], [F.col(order).desc_nulls_last()], 1).drop("rn")
+    ties = F.xxhash64(*[c for c in both.columns if c != key])
+    return top_n(both, [key], [F.col(order).desc_nulls_last(), ties], 1).drop("rn")
 
 
 def write_scans(scans: DataFrame, path: str, by: str = "project_name") -> None:
@@ -35,12 +36,12 @@ def write_scans(scans: DataFrame, path: str, by: str = "project_name") -> None:
 
 def complete_scans(scans: DataFrame, vulns: DataFrame, finished_at: str | Column, failed: DataFrame | None = None) -> DataFrame:
     """Running scans get their summary, duration and status: completed, or, for scans listed in
-    `failed(scan_id, error)`, partial when findings exist and failed when not."""
+    `failed(scan_id, error)`, of several errors with the smallest text, partial when findings exist and failed when not."""
     end = F.lit(finished_at) if isinstance(finished_at, str) else finished_at
     done = scans.drop("total_vulns", "critical", "high", "medium", "low", "info").join(severity_summary(vulns), P, "left").na.fill(
         0, ["total_vulns", "critical", "high", "medium", "low", "info"])
     if failed is not None:
-        done = done.join(failed.select("scan_id", F.substring("error", 1, 500).alias("error_message")), "scan_id", "left")
+        done = done.join(failed.groupBy("scan_id").agg(F.min("error").alias("error_message")), "scan_id", "left")
     else:
         done = done.withColumn("error_message", F.lit(None).cast("string"))
     status = F.when(F.col("error_message").isNull(), "completed").when(F.col("total_vulns") > 0, "partial").otherwise("failed")
@@ -217,8 +218,8 @@ def archive(scans: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def add_tags(scans: DataFrame, tags: DataFrame) -> DataFrame:
-    """`tags(scan_id, tags)`: added as a set, in order of first use."""
-    t = tags.select("scan_id", F.col("tags").alias("_more"))
+    """`tags(scan_id, tags)`: added as a set, in order of first use; several lists of a scan in their sort order."""
+    t = tags.groupBy("scan_id").agg(F.array_distinct(F.flatten(F.array_sort(F.collect_list("tags")))).alias("_more"))
     none = F.expr("cast(array() as array<string>)")
     return scans.join(t, "scan_id", "left").withColumn(
         "tags", F.array_union(F.coalesce("tags", none), F.coalesce("_more", none))).drop("_more").select(*scans.columns)

@@ -23,7 +23,6 @@ READ_TEXTS = ["copyto", "readtoend", *BODY_TEXTS]
 NO_ARGUMENT_CALLS = [
     "ExecuteReader", "ExecuteNonQuery", "ExecuteScalar", "ExecuteReaderAsync", "ExecuteNonQueryAsync", "ExecuteScalarAsync",
 ]
-MAX_PATH_EDGES = 15
 # ------------------------------------------------------------------------------------------
 
 
@@ -176,8 +175,9 @@ def taint_seeds(facts: Facts, rules: DataFrame, callee_params: DataFrame) -> Dat
     return own.unionByName(fed).unionByName(seed_nodes(facts, rules)).dropDuplicates([*M, "node"])
 
 
-def flow_findings(facts: Facts, rules: DataFrame, sink_kinds: DataFrame, edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """Tainted sinks inside methods, with origin, path, loop flag and confidence."""
+def flow_findings(facts: Facts, rules: DataFrame, sink_kinds: DataFrame, edges: DataFrame, seeds: DataFrame, max_path_edges: int | None = None) -> DataFrame:
+    """Tainted sinks inside methods, with origin, path, loop flag and confidence. With max_path_edges, a longer path is
+    left out of the row and rated as unknown."""
     sem = method_nodes(facts)
     cleaners = sem.where("is_known_sanitizer").select(*M, node_id().alias("node"), "node_id", "line", "ordinal", "resolved_symbol")
     reached = checkpoint(propagate(edges, seeds, cleaners))
@@ -197,7 +197,7 @@ def flow_findings(facts: Facts, rules: DataFrame, sink_kinds: DataFrame, edges:
     partial = cleaners.groupBy(*M).agg(F.min_by("resolved_symbol", "ordinal").alias("sanitizer_symbol")).withColumn("_part", F.lit(True))
     out = hit.join(loops, [*M, "node"], "left").join(partial, M, "left")
     is_param = F.col("source_kind") == "PARAMETER"
-    length = F.when(F.size("path") - 1 <= MAX_PATH_EDGES, F.size("path")).otherwise(0)
+    length = F.size("path") if max_path_edges is None else F.when(F.size("path") - 1 <= max_path_edges, F.size("path")).otherwise(0)
     param_label = F.concat(
         F.lit("parameter '"), F.element_at(F.split("source", ":"), -1), F.lit("' of "), F.col("method_name"), F.lit("()"))
     return _names(out, facts).select(
@@ -287,7 +287,7 @@ def string_injection(facts: Facts, sink_kinds: DataFrame) -> DataFrame:
 
 def dedupe_taint(findings: DataFrame) -> DataFrame:
     """The best confidence per (source, sink); on ties the earlier phase."""
-    order = [C.confidence_rank(), F.col("phase")]
+    order = [C.confidence_rank(), F.col("phase"), F.col("vulnerability_kind"), F.xxhash64(*findings.columns)]
     return top_n(findings, [*KEYS, "source_node_id", "sink_node_id"], order, 1).drop("rn")
 
 

@@ -15,9 +15,7 @@ from taintgrid.session import KEYS, ranked, top_n
 # --- fixed values -------------------------------------------------------------------------
 REVIEWED = ["high", "medium"]
 SINGLE = ["CRITICAL", "HIGH"]
-MAX_REVIEW = 50
 BATCH = 5
-CONTEXT_NODES = 20
 REQUIRED_FIELDS = {
     "analysis": ["vulnerability_detected", "classification", "confidence"],
     "verdict": ["is_false_positive", "reasoning", "confidence_adjusted"],
@@ -29,11 +27,14 @@ FIELDS = [
 # ------------------------------------------------------------------------------------------
 
 
-def select_for_review(vulns: DataFrame, n: int = MAX_REVIEW) -> DataFrame:
-    """The first n findings per scan worth a review: high or medium confidence, not already doubtful.
+def select_for_review(vulns: DataFrame, n: int | None = None) -> DataFrame:
+    """The findings per scan worth a review, or the first n of them: high or medium confidence, not already doubtful.
     Adds `review_no`."""
     part = vulns.where(F.col("confidence").isin(*REVIEWED) & ~C.is_fp_candidate())
-    return top_n(part, KEYS, [C.severity_rank(), C.confidence_rank(), F.col("line"), F.col("vuln_id")], n, "review_no")
+    order = [C.severity_rank(), C.confidence_rank(), F.col("line"), F.col("vuln_id")]
+    if n is None:
+        return ranked(part, KEYS, order, "review_no").withColumn("review_no", F.col("review_no").cast("int"))
+    return top_n(part, KEYS, order, n, "review_no")
 
 
 def route_review(selected: DataFrame, n: int = BATCH) -> DataFrame:
@@ -45,7 +46,7 @@ def route_review(selected: DataFrame, n: int = BATCH) -> DataFrame:
         "index", F.when(is_batch, (F.col("_rn") - 1) % n + 1).otherwise(1).cast("int")).drop("_rn")
 
 
-def method_context(nodes: DataFrame, n: int = CONTEXT_NODES) -> DataFrame:
+def method_context(nodes: DataFrame, n: int) -> DataFrame:
     """(keys, method_id, context): the first n nodes by line with role marks, as one text."""
     mark = F.when(F.col("is_known_source"), "[SOURCE] ").when(F.col("is_known_sink"), "[SINK] ").when(F.col("is_known_sanitizer"), "[SANITIZER] ").otherwise("")
     line = F.concat(F.lit("L"), F.col("line"), F.lit(": "), mark, C.short("text", 100))

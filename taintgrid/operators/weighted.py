@@ -6,11 +6,13 @@ and labels. Edges: keys, src, dst, edge_kind, is_conditional, via_alias.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from taintgrid.functions import columns as C
-from taintgrid.operators.graph import MAX_ROUNDS, _union, neighbors
+from taintgrid.operators.graph import _union, neighbors
 from taintgrid.operators.prefix import prefix_first
 from taintgrid.session import checkpoint, top_n
 
@@ -20,7 +22,6 @@ FACTORS = {
     "await": 0.95, "lambda": 0.88, "after_partial": 0.75, "deep": 0.95, "via_alias": 0.92,
 }
 DEEP_AFTER = 5
-MAX_DEPTH = 30
 MIN_CONFIDENCE = 0.30
 FULL_STOP = 0.90
 DEFINITE = 0.85
@@ -101,12 +102,13 @@ def step_factor(depth: Column, after_partial: Column) -> Column:
 
 def propagate_weighted(
     nodes: DataFrame, edges: DataFrame, sources: DataFrame, keys: list[str], effect: DataFrame | None = None,
-    mode: str = "best", max_depth: int = MAX_DEPTH, min_confidence: float = MIN_CONFIDENCE, max_results: int | None = None,
+    mode: str = "best", max_depth: int | None = None, min_confidence: float = MIN_CONFIDENCE, max_results: int | None = None,
     keep_path: bool = True, sticky_partial: bool = False,
 ) -> DataFrame:
     """Results (keys, source, sink, taint_label, confidence, depth, flags, path).
 
-    `sources` has keys, node, taint_label. Walks stop at sinks and end below min_confidence.
+    `sources` has keys, node, taint_label. Walks stop at sinks and end below min_confidence; without max_depth nothing else
+    ends them.
 
     mode `best` keeps the best walk per (source, node) and level. It is exact for the best
     confidence per (source, sink): every factor is at most 1 and grows weaker with depth, so the
@@ -130,7 +132,9 @@ def propagate_weighted(
     ident = [*keys, "source", "node"] + (["partial"] if sticky_partial else [])
     best = frontier.select(*ident, F.col("confidence").alias("_b"))
     seen, results = [best], []
-    for depth in range(min(max_depth, MAX_ROUNDS)):
+    for depth in count():
+        if max_depth is not None and depth >= max_depth:
+            break
         raw = frontier.withColumnRenamed("node", "src").join(hops, [*keys, "src"])
         if mode == "all":
             raw = raw.where(~F.array_contains("path", F.col("dst")))

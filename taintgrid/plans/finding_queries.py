@@ -491,11 +491,11 @@ rn AS (SELECT *, row_number() OVER (PARTITION BY project_id, scan_id, route ORDE
 
 @case("vrd_select", docs(_DEDUPE, _CONS, _SEL) + "SELECT project_id, scan_id, vuln_id, review_no FROM pick")
 def vrd_select(spark, d):
-    return D.select_for_review(final(spark, d)).select(*KEYS, "vuln_id", "review_no")
+    return D.select_for_review(final(spark, d), 50).select(*KEYS, "vuln_id", "review_no")
 
 
 def routed(spark, d):
-    return D.route_review(D.select_for_review(final(spark, d)))
+    return D.route_review(D.select_for_review(final(spark, d), 50))
 
 
 @case("vrd_route", docs(_DEDUPE, _CONS, _SEL) + """
@@ -508,7 +508,7 @@ def vrd_route(spark, d):
 SELECT method_id, string_agg('L' || CAST(line AS STRING) || ': ' || CASE WHEN is_source THEN '[SOURCE] ' WHEN is_sink THEN '[SINK] ' WHEN is_san THEN '[SANITIZER] ' ELSE '' END || substr(text, 1, 100), chr(10) ORDER BY line, node_id) AS context
 FROM (SELECT *, row_number() OVER (PARTITION BY project_id, method_id ORDER BY line, node_id) AS rn FROM f_role) WHERE rn <= 20 GROUP BY project_id, method_id""")
 def vrd_method_context(spark, d):
-    return D.method_context(facts(spark, d)["nodes"]).select("method_id", "context")
+    return D.method_context(facts(spark, d)["nodes"], 20).select("method_id", "context")
 
 
 @case("vrd_prompts", docs(_DEDUPE, _CONS, _SEL) + """
@@ -585,4 +585,4 @@ SELECT project_id, scan_id, count(*) AS confirmed, (SELECT count(*) FROM pick p
   count(*) - (SELECT count(*) FROM pick p WHERE p.project_id = cn.project_id AND p.scan_id = cn.scan_id) AS skipped, 0.0 AS reduction_pct FROM cn GROUP BY 1, 2""")
 def vrd_stats(spark, d):
     v = final(spark, d)
-    return D.review_stats(v, D.select_for_review(v))
+    return D.review_stats(v, D.select_for_review(v, 50))

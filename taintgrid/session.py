@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -35,9 +36,11 @@ def get_session(app: str = "taintgrid", cores: int | str = "*", shuffle_partitio
 
 def _stage_folder(spark: SparkSession) -> str:
     """A folder of this application inside the shared folder the cluster names in
-    spark.checkpoint.dir; a private one only where none is named, as in tests."""
+    spark.checkpoint.dir; a private one only where none is named and all runs in one process, as in tests."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not named and not re.fullmatch(r"local(\[[^-]*\])?", sc.master):
+        raise ValueError("name a folder that driver and executors share in spark.checkpoint.dir")
     if not named:
         named = tempfile.mkdtemp(prefix="spark-taintgrid-")
         atexit.register(shutil.rmtree, named, ignore_errors=True)  # ours alone, so it goes with us
