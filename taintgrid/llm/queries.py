@@ -45,25 +45,33 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 JACCARD_SQL = """
-WITH RECURSIVE words AS (
+WITH RECURSIVE words AS MATERIALIZED (
   SELECT doc_id, coalesce(text, '') AS text, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS w
   FROM documents),
+places AS (SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) AS i, len(w) AS n FROM words),
 runs AS (
-  SELECT doc_id, w, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM words),
-one AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM runs),
+  SELECT doc_id, i, n, w || ' ' || lead(w, 1) OVER z || ' ' || lead(w, 2) OVER z || ' ' || lead(w, 3) OVER z || ' ' || lead(w, 4) OVER z AS g
+  FROM places WINDOW z AS (PARTITION BY doc_id ORDER BY i)),
+different AS (
+  SELECT DISTINCT doc_id, g FROM runs WHERE i <= n - 4
+  UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM words WHERE len(w) BETWEEN 1 AND 4),
+one AS (SELECT doc_id, count(*) OVER (PARTITION BY doc_id) AS n, g FROM different),
+shared AS (SELECT g FROM one GROUP BY g HAVING count(*) > 1),
+few AS MATERIALIZED (SELECT one.* FROM one JOIN shared USING (g)),
 meets AS (
   SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k, any_value(a.n) AS na, any_value(b.n) AS nb
-  FROM one a JOIN one b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
-links AS (
+  FROM few a JOIN few b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS MATERIALIZED (
   SELECT a, b FROM meets WHERE k / (na + nb - k) >= 0.8
   UNION SELECT x.doc_id, y.doc_id FROM words x JOIN words y ON x.text = y.text AND x.doc_id <> y.doc_id),
-reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
-texts AS (SELECT l.a, count(DISTINCT y.text) AS n FROM links l JOIN words x ON x.doc_id = l.a JOIN words y ON y.doc_id = l.b WHERE x.text <> y.text GROUP BY 1)
-SELECT d.doc_id, (SELECT min(b) FROM reach WHERE a = d.doc_id) AS class_id,
-  (SELECT count(*) FROM links WHERE a = d.doc_id) AS n_links, coalesce(t.n, 0) AS n_texts
-FROM documents d LEFT JOIN texts t ON t.a = d.doc_id
+reach AS (SELECT a, a AS b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+least AS (SELECT a, min(b) AS class_id FROM reach GROUP BY a),
+counts AS (
+  SELECT l.a, count(*) AS n_links, count(DISTINCT CASE WHEN x.text <> y.text THEN y.text END) AS n_texts
+  FROM links l JOIN words x ON x.doc_id = l.a JOIN words y ON y.doc_id = l.b GROUP BY l.a)
+SELECT d.doc_id, coalesce(z.class_id, d.doc_id) AS class_id, coalesce(c.n_links, 0) AS n_links, coalesce(c.n_texts, 0) AS n_texts
+FROM documents d LEFT JOIN least z ON z.a = d.doc_id LEFT JOIN counts c ON c.a = d.doc_id
 """
 
 
