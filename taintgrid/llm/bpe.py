@@ -15,13 +15,13 @@ from __future__ import annotations
 import base64
 import heapq
 import json
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
 import regex
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,7 +32,7 @@ PATTERN = public_tokenizers.PATTERN
 RANKS = "byte_bpe_multi_50k.tiktoken"
 KNOWN = 1 << 22  # words in the table that is sent to executors, 12 bytes each and 2 for each id
 LONG = 256
-BUCKETS = 1 << 13
+BUCKETS = 1 << 13  # a power of two
 NONE = (1 << 31) - 1
 SLICE = 1 << 20  # bytes of text that a Python task holds as objects at a time; one text at least
 
@@ -47,7 +47,7 @@ def rank_literal(ranks: dict[bytes, int]) -> Column:
     buckets: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
     for piece, rank in ranks.items():
         name = piece.hex()
-        buckets[zlib.crc32(name.encode()) % BUCKETS][name] = rank
+        buckets[xxhash.xxh64_intdigest(name, 42) % BUCKETS][name] = rank
     return F.from_json(F.lit(json.dumps(buckets)), "array<map<string,int>>")
 
 
@@ -62,27 +62,27 @@ def fold(word: Column, table: Column) -> Column:
     table: a bound variable of rank_literal, so that the plan holds the map once.
     """
 
-    def rank(piece: Column) -> Column:
-        return let(piece, lambda x: F.coalesce(F.try_element_at(F.get(table, (F.crc32(x.cast("binary")) % BUCKETS).cast("int")), x), F.lit(NONE)))
+    def rank(x: Column) -> Column:
+        return F.coalesce(F.try_element_at(F.get(table, F.xxhash64(x).bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), x), F.lit(NONE))
 
     def start(pieces: Column) -> Column:
         pairs = F.zip_with(pieces, F.slice(pieces, F.lit(2), F.size(pieces)), lambda a, b: rank(F.concat(a, F.coalesce(b, F.lit("-")))))
         return F.struct(pieces.alias("p"), pairs.alias("r"))
 
-    def join(s: Column, low: Column, i: Column) -> Column:
+    # a bound value is copied with all it holds, so only the place is bound and the joined piece is put together where needed
+    def join(s: Column, i: Column) -> Column:
         p, r = s["p"], s["r"]
         n = F.size(p)
-        return let(F.concat(F.get(p, i - 1), F.get(p, i)), lambda x: F.struct(
+        x = F.concat(F.get(p, i - 1), F.get(p, i))
+        right = F.concat(x, F.coalesce(F.get(p, i + 1), F.lit("-")))
+        fresh = F.when(i > 1, F.array(F.concat(F.get(p, i - 2), x), right)).otherwise(F.array(right))
+        return F.struct(
             F.concat(F.slice(p, F.lit(1), i - 1), F.array(x), F.slice(p, i + 2, n)).alias("p"),
-            F.concat(
-                F.slice(r, F.lit(1), F.greatest(i - 2, F.lit(0))),
-                F.transform(F.when(i > 1, F.array(F.concat(F.get(p, i - 2), x), F.concat(x, F.coalesce(F.get(p, i + 1), F.lit("-"))))).otherwise(
-                    F.array(F.concat(x, F.coalesce(F.get(p, i + 1), F.lit("-"))))), rank),
-                F.slice(r, i + 2, n)).alias("r")))
+            F.concat(F.slice(r, F.lit(1), F.greatest(i - 2, F.lit(0))), F.transform(fresh, rank), F.slice(r, i + 2, n)).alias("r"))
 
     def merge(s: Column, _: Column) -> Column:
-        return let(F.array_min(s["r"]), lambda low: F.when(low == NONE, s).otherwise(
-            let(F.array_position(s["r"], low).cast("int"), lambda i: join(s, low, i))))
+        low = F.array_min(s["r"])
+        return F.when(low == NONE, s).otherwise(let(F.array_position(s["r"], low).cast("int"), lambda i: join(s, i)))
 
     size = F.octet_length(word)
     pieces = let(F.lower(F.hex(word)), lambda h: F.transform(F.sequence(F.lit(0), F.greatest(size, F.lit(1)) - 1), lambda i: F.substring(h, 2 * i + 1, F.lit(2))))

@@ -62,8 +62,8 @@ def learn(x: np.ndarray, length: int, tables: int, rounds: int = ROUNDS) -> Code
     x = x / np.linalg.norm(x, axis=1, keepdims=True)
     mean = x.mean(0)
     bits = x.shape[1]
-    _, _, axes = np.linalg.svd(x - mean, full_matrices=True)
-    y = (x - mean) @ axes.T
+    axes = np.linalg.eigh((x - mean).T @ (x - mean))[1][:, ::-1]  # principal axes, the widest first
+    y = (x - mean) @ axes
     rng = np.random.default_rng(8)
     out = []
     for _ in range(math.ceil(length * tables / bits)):
@@ -71,7 +71,7 @@ def learn(x: np.ndarray, length: int, tables: int, rounds: int = ROUNDS) -> Code
         for _ in range(rounds):
             u, _, v = np.linalg.svd(np.where(y @ turn > 0, 1.0, -1.0).T @ y)
             turn = (u @ v).T
-        out.append(axes.T @ turn)
+        out.append(axes @ turn)
     return Coder(mean, np.concatenate(out, 1), length, tables)
 
 
