@@ -15,6 +15,7 @@ from taintgrid.operators.frameworks import rule_deprecated
 from taintgrid.operators.taint import string_injection
 from taintgrid.plans import views as V
 from taintgrid.plans.cases import case
+from taintgrid.plans.scan import run_scan
 from taintgrid.plans.views import _values, fact_ctes, facts
 from taintgrid.session import KEYS
 from taintgrid.sources.catalog import load_rules, load_sink_kinds
@@ -165,6 +166,13 @@ def cls_order(spark, d):
 _KINDS = _values([tuple(line.split()[:2]) + (float(line.split()[3]),) for line in K.KINDS.strip().splitlines()], "kind, cwe, score")
 
 
+@case("scan_vulns")
+def scan_vulns(spark, d):
+    """The whole scan: every rule over the derived facts, classified, deduplicated and consolidated."""
+    v = run_scan(facts(spark, d))["vulns"]
+    return v.select(*KEYS, "vuln_id", "vulnerability_kind", "severity", "confidence", "finding_source", "file", "sink_line")
+
+
 @case("cls_classify")
 def cls_classify(spark, d):
     f = facts(spark, d)

@@ -75,3 +75,18 @@ def test_a_cluster_needs_a_shared_folder():
             session._stage_folder(fake(master))
     for master in ("local", "local[*]", "local[8]"):
         assert session._stage_folder(fake(master))
+
+
+def test_user_rules_reach_roles_and_sink_kinds(spark):
+    from taintgrid.operators.prefix import with_roles
+    from taintgrid.plans.scan import with_user_rules
+    from taintgrid.sources.catalog import load_roles, load_rules, load_sink_kinds
+
+    own = load_rules(spark).limit(1).select(
+        *[F.lit({"symbol": "My.Directory.Search", "rule_type": "sink", "vulnerability": "LDAP_INJECTION"}[c]).alias(c)
+          if c in ("symbol", "rule_type", "vulnerability") else F.col(c) for c in load_rules(spark).columns])
+    roles, kinds = with_user_rules(load_roles(spark), load_sink_kinds(spark), own)
+    node = spark.createDataFrame([("My.Directory.Search.Find",), ("Other.Call",)], "resolved_symbol string")
+    assert {r.resolved_symbol: r.is_known_sink for r in with_roles(node, roles).collect()} == {"My.Directory.Search.Find": True, "Other.Call": False}
+    assert kinds.where("symbol = 'My.Directory.Search'").first().vulnerability_kind == "LDAP_INJECTION"
+    assert kinds.groupBy("ordinal").count().where("count > 1").count() == 0
