@@ -9,32 +9,57 @@ from taintgrid.functions import columns as C
 from taintgrid.operators.build import M, Facts
 from taintgrid.session import KEYS, checkpoint, ranked, top_n
 
-# --- fixed values: kind, cwe, CVSS letters (AV AC PR UI S C I A), score -------------------
-KINDS = """
-SQL_INJECTION CWE-89 NLNNUHHH 9.8
-COMMAND_INJECTION CWE-78 NLNNCHHH 10.0
-PATH_TRAVERSAL CWE-22 NLNNUHHN 7.5
-XXE CWE-611 NLNNUHLN 7.5
-INSECURE_DESERIALIZATION CWE-502 NLNNUHHH 9.8
-SSRF CWE-918 NLNNCHLN 8.6
-REFLECTION_ABUSE CWE-470 NLNNUHHH 9.8
-RAZOR_XSS CWE-79 NLNRCLLN 6.1
-XSS CWE-79 NLNRCLLN 6.1
-LOG_INJECTION CWE-117 NLNNUNLN 5.3
-OPEN_REDIRECT CWE-601 NLNRULLN 6.1
-UNKNOWN CWE-693 NLNNULLN 5.3
-CSRF CWE-352 NLNRULLN 6.5
-"""
-OWASP = "https://owasp.org/www-community/"
-SHEETS = "https://cheatsheetseries.owasp.org/cheatsheets/"
+# --- fixed values: kind, CWE, CVSS vector, score; addresses by CWE -----------------------
+KINDS = [
+    ("SQL_INJECTION", "CWE-89", "CVSS:3.1/AV:N/AC:L/PR:N/UI:N/S:U/C:H/I:H/A:H", 9.8),
+    ("COMMAND_INJECTION", "CWE-78", "CVSS:3.1/AV:N/AC:L/PR:N/UI:N/S:C/C:H/I:H/A:H", 10.0),
+    ("PATH_TRAVERSAL", "CWE-22", "CVSS:3.1/AV:N/AC:L/PR:N/UI:N/S:U/C:H/I:H/A:N", 7.5),
+    ("XXE", "CWE-611", "CVSS:3.1/AV:N/AC:L/PR:N/UI:N/S:U/C:H/I:L/A:N", 7.5),
+    ("INSECURE_DESERIALIZATION", "CWE-502", "CVSS:3.1/AV:N/AC:L/PR:N/UI:N/S:U/C:H/I:H/A:H", 9.8),
+    ("SSRF", "CWE-918", "CVSS:3.1/AV:N/AC:L/PR:N/UI:N/S:C/C:H/I:L/A:N", 8.6),
+    ("REFLECTION_ABUSE", "CWE-470", "CVSS:3.1/AV:N/AC:L/PR:N/UI:N/S:U/C:H/I:H/A:H", 9.8),
+    ("RAZOR_XSS", "CWE-79", "CVSS:3.1/AV:N/AC:L/PR:N/UI:R/S:C/C:L/I:L/A:N", 6.1),
+    ("XSS", "CWE-79", "CVSS:3.1/AV:N/AC:L/PR:N/UI:R/S:C/C:L/I:L/A:N", 6.1),
+    ("LOG_INJECTION", "CWE-117", "CVSS:3.1/AV:N/AC:L/PR:N/UI:N/S:U/C:N/I:L/A:N", 5.3),
+    ("OPEN_REDIRECT", "CWE-601", "CVSS:3.1/AV:N/AC:L/PR:N/UI:R/S:U/C:L/I:L/A:N", 6.1),
+    ("UNKNOWN", "CWE-693", "CVSS:3.1/AV:N/AC:L/PR:N/UI:N/S:U/C:L/I:L/A:N", 5.3),
+    ("CSRF", "CWE-352", "CVSS:3.1/AV:N/AC:L/PR:N/UI:R/S:U/C:L/I:L/A:N", 6.5),
+]
 REFERENCES = {
-    "CWE-89": ["attacks/SQL_Injection", "SQL_Injection_Prevention"], "CWE-78": ["attacks/Command_Injection", "OS_Command_Injection_Defense"],
-    "CWE-22": ["attacks/Path_Traversal", "File_Upload"],
-    "CWE-611": ["vulnerabilities/XML_External_Entity_(XXE)_Processing", "XML_External_Entity_Prevention"],
-    "CWE-502": ["vulnerabilities/Deserialization_of_untrusted_data", "Deserialization"],
-    "CWE-918": ["attacks/Server_Side_Request_Forgery", "Server_Side_Request_Forgery_Prevention"],
-    "CWE-79": ["attacks/xss/", "Cross_Site_Scripting_Prevention"], "CWE-601": [None, "Unvalidated_Redirects_and_Forwards"],
-    "CWE-352": [None, "Cross-Site_Request_Forgery_Prevention"],
+    "CWE-89": [
+        "https://owasp.org/www-community/attacks/SQL_Injection",
+        "https://cheatsheetseries.owasp.org/cheatsheets/SQL_Injection_Prevention_Cheat_Sheet.html",
+    ],
+    "CWE-78": [
+        "https://owasp.org/www-community/attacks/Command_Injection",
+        "https://cheatsheetseries.owasp.org/cheatsheets/OS_Command_Injection_Defense_Cheat_Sheet.html",
+    ],
+    "CWE-22": [
+        "https://owasp.org/www-community/attacks/Path_Traversal",
+        "https://cheatsheetseries.owasp.org/cheatsheets/File_Upload_Cheat_Sheet.html",
+    ],
+    "CWE-611": [
+        "https://owasp.org/www-community/vulnerabilities/XML_External_Entity_(XXE)_Processing",
+        "https://cheatsheetseries.owasp.org/cheatsheets/XML_External_Entity_Prevention_Cheat_Sheet.html",
+    ],
+    "CWE-502": [
+        "https://owasp.org/www-community/vulnerabilities/Deserialization_of_untrusted_data",
+        "https://cheatsheetseries.owasp.org/cheatsheets/Deserialization_Cheat_Sheet.html",
+    ],
+    "CWE-918": [
+        "https://owasp.org/www-community/attacks/Server_Side_Request_Forgery",
+        "https://cheatsheetseries.owasp.org/cheatsheets/Server_Side_Request_Forgery_Prevention_Cheat_Sheet.html",
+    ],
+    "CWE-79": [
+        "https://owasp.org/www-community/attacks/xss/",
+        "https://cheatsheetseries.owasp.org/cheatsheets/Cross_Site_Scripting_Prevention_Cheat_Sheet.html",
+    ],
+    "CWE-601": [
+        "https://cheatsheetseries.owasp.org/cheatsheets/Unvalidated_Redirects_and_Forwards_Cheat_Sheet.html",
+    ],
+    "CWE-352": [
+        "https://cheatsheetseries.owasp.org/cheatsheets/Cross-Site_Request_Forgery_Prevention_Cheat_Sheet.html",
+    ],
 }
 SINK_FIRST = [
     "readalltext", "readallbytes", "readalllines", "filestream", "openread", "openwrite", "writealltext", "writeallbytes", "appendalltext",
@@ -57,18 +82,15 @@ OTHER_ADVICE = "Validate and sanitise all input before use and apply least privi
 def load_kinds(spark: SparkSession) -> DataFrame:
     """(vulnerability_kind, kind_cwe, vector, kind_score, title, advice): 13 rows."""
     rows = []
-    for line in KINDS.strip().splitlines():
-        kind, cwe, v, score = line.split()
-        vector = "CVSS:3.1/" + "/".join(f"{n}:{x}" for n, x in zip(["AV", "AC", "PR", "UI", "S", "C", "I", "A"], v))
-        rows.append((kind, cwe, vector, float(score), kind.replace("_", " ").capitalize(), ADVICE.get(kind, OTHER_ADVICE)))
+    for kind, cwe, vector, score in KINDS:
+        rows.append((kind, cwe, vector, score, kind.replace("_", " ").capitalize(), ADVICE.get(kind, OTHER_ADVICE)))
     return spark.createDataFrame(rows, "vulnerability_kind string, kind_cwe string, vector string, kind_score double, title string, advice string")
 
 
 def references(cwe: Column) -> Column:
     """Reading list of a CWE."""
     out = F.expr("cast(array() as array<string>)")
-    for name, (page, sheet) in REFERENCES.items():
-        links = ([OWASP + page] if page else []) + [f"{SHEETS}{sheet}_Cheat_Sheet.html"]
+    for name, links in REFERENCES.items():
         out = F.when(cwe == name, F.array(*[F.lit(x) for x in links])).otherwise(out)
     return out
 
@@ -93,7 +115,7 @@ def _row_id(source: str, *cols: str) -> Column:
 def _with_kind(findings: DataFrame, kinds: DataFrame) -> DataFrame:
     """Findings with the columns of their kind; of a kind that is not listed, those of UNKNOWN."""
     listed = F.broadcast(kinds.withColumnRenamed("vulnerability_kind", "_kind"))
-    known = F.col("vulnerability_kind").isin([line.split()[0] for line in KINDS.strip().splitlines()])
+    known = F.col("vulnerability_kind").isin([k[0] for k in KINDS])
     named = findings.withColumn("_use", F.when(known, F.col("vulnerability_kind")).otherwise("UNKNOWN"))
     return named.join(listed, F.col("_use") == F.col("_kind")).drop("_use", "_kind")
 

@@ -163,7 +163,7 @@ def cls_order(spark, d):
     return K.numbered(final(spark, d)).select(*KEYS, "vuln_id", "position")
 
 
-_KINDS = _values([tuple(line.split()[:2]) + (float(line.split()[3]),) for line in K.KINDS.strip().splitlines()], "kind, cwe, score")
+_KINDS = _values([(kind, cwe, score) for kind, cwe, _, score in K.KINDS], "kind, cwe, score")
 
 
 @case("scan_vulns")
