@@ -82,28 +82,33 @@ def _low(name: str) -> Column:
     return F.lower(F.coalesce(F.col(name), F.lit("")))
 
 
-def command_guard(nodes: DataFrame) -> DataFrame:
-    """Methods that switch the shell off and pass arguments as a list."""
+def guards(nodes: DataFrame) -> DataFrame:
+    """(M, command, path, host): which guards a method has, for methods with one; one aggregate for all three.
+
+    command: the shell is switched off and arguments go as a list. path: the path is resolved and its start checked.
+    host: the host is compared with a whitelist.
+    """
     t, s = _low("text"), _low("resolved_symbol")
-    return _per_method(
+    host = t.contains(".host") & (t.contains("contains(") | t.contains("indexof(") | t.contains("array.indexof") | s.contains("contains"))
+    flags = _per_method(
         nodes, shell=t.contains("useshellexecute") & t.contains("false"), args=s.contains("argumentlist") | t.contains("argumentlist"),
-    ).where("shell and args").select(*M)
+        name=s.contains("path.getfilename") | t.contains("getfilename"), full=s.contains("path.getfullpath") | t.contains("getfullpath"),
+        start=t.contains("startswith"), met=host, hint=t.contains("whitelist") | t.contains("allowedhost"))
+    return flags.select(
+        *M, F.expr("shell and args").alias("command"), F.expr("(name and (full or start)) or (full and start)").alias("path"),
+        F.expr("met and hint").alias("host")).where("command or path or host")
+
+
+def command_guard(nodes: DataFrame) -> DataFrame:
+    return guards(nodes).where("command").select(*M)
 
 
 def path_guard(nodes: DataFrame) -> DataFrame:
-    """Methods that resolve the path and check where it starts."""
-    t, s = _low("text"), _low("resolved_symbol")
-    return _per_method(
-        nodes, name=s.contains("path.getfilename") | t.contains("getfilename"), full=s.contains("path.getfullpath") | t.contains("getfullpath"),
-        start=t.contains("startswith"),
-    ).where("(name and (full or start)) or (full and start)").select(*M)
+    return guards(nodes).where("path").select(*M)
 
 
 def host_guard(nodes: DataFrame) -> DataFrame:
-    """Methods that compare the host with a whitelist."""
-    t, s = _low("text"), _low("resolved_symbol")
-    host = t.contains(".host") & (t.contains("contains(") | t.contains("indexof(") | t.contains("array.indexof") | s.contains("contains"))
-    return _per_method(nodes, host=host, hint=t.contains("whitelist") | t.contains("allowedhost")).where("host and hint").select(*M)
+    return guards(nodes).where("host").select(*M)
 
 
 def adjusted_confidence() -> Column:
@@ -125,10 +130,11 @@ def match_patterns(facts: Facts, patterns: DataFrame, rules: DataFrame) -> DataF
     hit = hit.where(F.col("always_vulnerable") | F.when(listed, open_arg).otherwise(loose))
     hit = hit.withColumnRenamed("containing_method_id", "method_id")
     sem = method_nodes(facts)
-    for kind, guard in (("COMMAND_INJECTION", command_guard), ("PATH_TRAVERSAL", path_guard), ("SSRF", host_guard)):
-        safe = guard(sem).withColumn("_safe", F.lit(True))
-        blocked = (F.col("vulnerability_kind") == kind) & ~F.col("always_vulnerable") & (F.size("positions") > 0) & F.col("_safe").isNotNull()
-        hit = hit.join(safe, M, "left").where(~F.coalesce(blocked, F.lit(False))).drop("_safe")
+    guard = guards(sem).select(*M, F.col("command").alias("_command"), F.col("path").alias("_path"), F.col("host").alias("_host"))
+    kind = F.col("vulnerability_kind")
+    safe = ((kind == "COMMAND_INJECTION") & F.col("_command")) | ((kind == "PATH_TRAVERSAL") & F.col("_path")) | ((kind == "SSRF") & F.col("_host"))
+    blocked = safe & ~F.col("always_vulnerable") & (F.size("positions") > 0)
+    hit = hit.join(guard, M, "left").where(~F.coalesce(blocked, F.lit(False)))
     meth = methods_with_class(facts).select(*M, F.col("name").alias("method_name"), "class_name")
     return hit.join(meth, M, "left").select(
         *M, "node_id", "pattern_id", "vulnerability_kind", adjusted_confidence().alias("confidence"), "file", "line", "column",
