@@ -29,8 +29,8 @@ K = 5
 ARRAYS = 64
 SHARE = 0.8  # of the arrays in whose windows a vector must lie
 RECALL = 0.98
-FIRST, WIDER = 0.4, 1.25  # half-width of the first windows, and the factor of each step
-BLOCK, QUERIES = 1024, 1024
+FIRST, WIDER = 0.6, 1.4  # half-width of the first windows, and the factor of each step
+BLOCK, QUERIES = 4096, 1024
 
 
 def reach(arrays: int, least: int, recall: float) -> float:
@@ -51,7 +51,7 @@ def search(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray,
     (x, xn), (q, qn) = V.scaled(x), V.scaled(q)
     axes = np.random.default_rng(x.shape[1]).standard_normal((x.shape[1], arrays))
     values, own = (x / xn[:, None]) @ axes, (q / qn[:, None]) @ axes
-    order = np.argsort(values, 0, kind="stable").T.astype(np.int32)
+    order = np.argsort(values, 0, kind="stable").T
     lines = np.take_along_axis(values, order.T, 0).T.copy()
     least = math.ceil(arrays * share)
     factor = reach(arrays, least, recall)
@@ -59,18 +59,18 @@ def search(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray,
     n_steps = max(1, math.ceil(math.log(2 * factor / FIRST, WIDER)) + 1)
     width = FIRST * WIDER ** np.arange(n_steps)
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    # for each array all queries' window ends at once
+    edges = np.stack([np.searchsorted(lines[j], np.concatenate([own[:, j, None] - width, own[:, j, None] + width], 1)) for j in range(arrays)], 1)
     count = np.empty(len(ids), np.int64)
     for i in range(len(query_ids)):
-        edges = np.array([np.searchsorted(lines[j], np.concatenate([own[i, j] - width, own[i, j] + width])) for j in range(arrays)])
-        lo, hi = edges[:, :n_steps], edges[:, n_steps:]
+        lo, hi = edges[i, :, :n_steps], edges[i, :, n_steps:]
         count[:] = 0
         seen = ids == query_ids[i]
         found, score = np.zeros(0, np.int64), np.zeros(0)
-        left = right = np.searchsorted(lines[0], own[i, 0])
-        left, right = lo[:, 0], lo[:, 0]
+        left = right = lo[:, 0]
         for step in range(n_steps):
-            new = [flat[a:b] for a, b in zip(shift + lo[:, step], shift + left, strict=True) if a < b]
-            new += [flat[a:b] for a, b in zip(shift + right, shift + hi[:, step], strict=True) if a < b]
+            new = [flat[a:b] for a, b in zip((shift + lo[:, step]).tolist(), (shift + left).tolist(), strict=True) if a < b]
+            new += [flat[a:b] for a, b in zip((shift + right).tolist(), (shift + hi[:, step]).tolist(), strict=True) if a < b]
             left, right = lo[:, step], hi[:, step]
             if new:
                 count += np.bincount(np.concatenate(new), minlength=len(ids))
