@@ -1,10 +1,18 @@
 """Licence scan: normalised text against licence templates by Dice coefficient over word bigrams.
 
 Text is lower-cased, and every run of other characters than letters, digits and line feeds becomes one blank. Units
-are the different lines of a text and the whole text. With a and b bigrams, repeats counted, a unit and a template have
+are the different lines of a text, the whole text, and passages of the text with line feeds as blanks. With a and b bigrams, repeats counted, a unit and a template have
 the Dice coefficient 2 * common / (a + b); it can reach t only if b * t / (2 - t) <= a <= b * (2 - t) / t. So units
 that fit no template's bounds are dropped by their number of blanks before they are cut into words, and each other unit
-meets only the templates whose bounds it fits. All is one projection over the rows: no shuffle, no hot group, and the
+meets only the templates whose bounds it fits.
+
+A template of which no line and not the whole text reaches t is looked for in passages: it counts once, with the best
+of them. A passage that reaches t has at least b * t / (2 - t) bigrams of the template; so a text that has none of a set
+of more than the other bigrams is passed over, and passages begin and end at bigrams of the template. For templates of
+up to EXACT bigrams these are all such passages; for longer ones (whole licence texts) begin and end go in steps of 1 / STEPS
+of the template among its bigrams in the text, so a passage inside a longer text that reaches t by less than about that is missed.
+
+All is one projection over the rows: no shuffle, no hot group, and the
 templates, a small list given by the caller, are a literal.
 
 DataFrame functions only. Defined cases: null text is empty; a unit of less than two words has no bigram and
@@ -13,6 +21,8 @@ meets no template; repeated rows give repeated results; a row without a hit has
 
 from __future__ import annotations
 
+import math
+import pkgutil
 from collections import Counter
 
 from pyspark.sql import Column, DataFrame
@@ -39,6 +49,14 @@ TEMPLATES = [
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
 
+# Whole licence texts, in the folder texts; they are met as passages only.
+WHOLE = ["Apache-2.0", "BSD-3-Clause", "CC0-1.0", "GPL-3.0", "LGPL-3.0", "MIT", "MPL-2.0"]
+EXACT, STEPS = 128, 32
+
+
+def whole_texts() -> list[tuple[str, str]]:
+    return [(name, pkgutil.get_data("taintgrid.llm", f"texts/{name}.txt").decode()) for name in WHOLE]
+
 
 def normalised(text: Column) -> Column:
     """Lower case, one blank for each run of other characters, line feeds kept."""
@@ -50,16 +68,50 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def words_of(text: str) -> list[str]:
+    return "".join(c if c.isalnum() else " " for c in text.lower()).split()
+
+
+def strings(values: list[str]) -> Column:
+    """Array literal, folded from one string."""
+    return F.split(F.lit("\n".join(values)), "\n") if values else F.array().cast("array<string>")
+
+
+def passage_literal(templates: list[tuple[str, str]], threshold: float) -> tuple[Column, Column]:
+    """Array of structs: place and licence of a template, n bigrams, least and most bigrams of the template in a passage
+    that can fit, least number of different ones, step, different pairs, those held once, those held more often and how often;
+    and pairs of which each text with such a passage has at least one."""
+    rows, signs = [], set()
+    for at, (name, text) in enumerate(templates):
+        words = words_of(text)
+        n = len(words) - 1
+        pairs = Counter(f"{a} {b}" for a, b in zip(words, words[1:], strict=False))
+        least, most = math.ceil(n * threshold / (2 - threshold) - 1e-9), math.floor(n * (2 - threshold) / threshold + 1e-9)
+        own = 0
+        for pair in sorted(pairs, key=lambda p: (-len(p), p)):
+            if own > n - least:
+                break
+            own += pairs[pair]
+            signs.add(pair)
+        often = sorted(p for p, k in pairs.items() if k > 1)
+        rows.append(F.struct(
+            F.lit(at).alias("at"), F.lit(name).alias("licence"), F.lit(n).alias("n"), F.lit(least).alias("least"), F.lit(most).alias("most"),
+            F.lit(max(1, len(pairs) - (n - least))).alias("different"), F.lit(1 if n <= EXACT else math.ceil(n / STEPS)).alias("step"),
+            strings(sorted(pairs)).alias("pairs"), strings(sorted(p for p, k in pairs.items() if k == 1)).alias("once"),
+            strings(often).alias("often"), strings([str(pairs[p]) for p in often]).cast("array<int>").alias("times")))
+    return F.array(*rows), strings(sorted(signs))
+
+
 def template_literal(templates: list[tuple[str, str]], threshold: float) -> Column:
-    """Array of structs: licence, n bigrams, lo and hi (numbers of bigrams that fit), pairs with their counts."""
+    """Array of structs: place and licence of a template, n bigrams, lo and hi (numbers of bigrams that fit), pairs with their counts."""
     rows = []
-    for name, text in templates:
-        words = "".join(c if c.isalnum() else " " for c in text.lower()).split()
+    for at, (name, text) in enumerate(templates):
+        words = words_of(text)
         pairs = Counter(zip(words, words[1:], strict=False))
         n = len(words) - 1
         if n > 0:
             rows.append(F.struct(
-                F.lit(name).alias("licence"), F.lit(n).alias("n"),
+                F.lit(at).alias("at"), F.lit(name).alias("licence"), F.lit(n).alias("n"),
                 F.lit(n * threshold / (2 - threshold)).alias("lo"), F.lit(n * (2 - threshold) / threshold).alias("hi"),
                 F.array(*[F.struct(F.lit(f"{a} {b}").alias("pair"), F.lit(k).alias("k")) for (a, b), k in pairs.items()]).alias("pairs")))
     return F.array(*rows)
@@ -67,12 +119,13 @@ def template_literal(templates: list[tuple[str, str]], threshold: float) -> Colu
 
 def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, licence, dice (the best of the row's units and the licence's templates) and hits (pairs of a unit and a
-    template that reach the threshold), for each row and licence with a hit."""
-    given = [t for t in (TEMPLATES if templates is None else templates) if len("".join(c if c.isalnum() else " " for c in t[1]).split()) > 1]
+    template that reach the threshold; of passages, one for a template), for each row and licence with a hit."""
+    given = [t for t in (TEMPLATES if templates is None else templates) if len(words_of(t[1])) > 1]
     empty = docs.select("doc_id", F.lit("").alias("licence"), F.lit(0.0).alias("dice"), F.lit(0).cast("bigint").alias("hits")).where(F.lit(False))
     if not given:
         return empty
     table = template_literal(given, threshold)
+    passages, signs = passage_literal(given + (whole_texts() if templates is None else []), threshold)
     blanks = lambda line: F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit("")))
     fits = lambda size: let(size, lambda n: F.exists(table, lambda t: (n >= t["lo"]) & (n <= t["hi"])))
 
@@ -92,7 +145,40 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, thresh
     def hits(unit: Column) -> Column:
         return let(pairs(unit), lambda own: F.filter(F.transform(
             F.filter(table, lambda t: (F.size(own) >= t["lo"]) & (F.size(own) <= t["hi"])),
-            lambda t: F.struct(t["licence"].alias("licence"), dice(own, t).alias("dice"))), lambda h: h["dice"] >= threshold))
+            lambda t: F.struct(t["at"].alias("at"), t["licence"].alias("licence"), dice(own, t).alias("dice"))), lambda h: h["dice"] >= threshold))
+
+    def passage_dice(own: Column, t: Column) -> Column:
+        """Best Dice of the template's passages, null without one that can reach the threshold."""
+        def measured(unit: Column) -> Column:
+            held = let(F.filter(unit, lambda x: F.array_contains(t["often"], x)), lambda m: F.aggregate(
+                F.zip_with(t["often"], t["times"], lambda p, k: F.least(k, F.size(F.filter(m, lambda x: x == p)))), F.lit(0), lambda n, k: n + k))
+            return 2.0 * (F.size(F.array_intersect(t["once"], unit)) + held) / (F.size(unit) + t["n"])
+
+        def spans(at: Column) -> Column:
+            last = F.size(at) - 1
+
+            def ends(i: Column) -> Column:
+                low, high = i + t["least"] - 1, F.least(last, i + t["most"] - 1)
+                return F.transform(F.filter(
+                    F.array_distinct(F.concat(F.sequence(low, high, t["step"]), F.array(high))),
+                    lambda j: 2.0 * (j - i + 1) >= threshold * (F.get(at, j) - F.get(at, i) + 1 + t["n"]) - 1e-9),
+                    lambda j: F.struct(F.get(at, i).alias("a"), F.get(at, j).alias("b")))
+
+            starts = F.sequence(F.lit(0), last - t["least"] + 1, t["step"])
+            return F.when(F.size(at) >= t["least"], F.flatten(F.transform(starts, ends)))
+
+        at = F.filter(F.sequence(F.lit(0), F.size(own) - 1), lambda i: F.array_contains(t["pairs"], F.get(own, i)))
+        return let(at, lambda p: F.array_max(F.transform(spans(p), lambda s: measured(F.slice(own, s["a"] + 1, s["b"] - s["a"] + 1)))))
+
+    def with_passages(lines: Column, found: Column) -> Column:
+        """The hits, and one for each other template with a passage that reaches the threshold."""
+        def more(own: Column) -> Column:
+            left = F.filter(passages, lambda t: (F.size(own) >= t["least"]) & ~F.exists(found, lambda h: h["at"] == t["at"])
+                            & (F.size(F.array_intersect(t["pairs"], own)) >= t["different"]))
+            return F.filter(F.transform(left, lambda t: F.struct(t["at"].alias("at"), t["licence"].alias("licence"), passage_dice(own, t).alias("dice"))), lambda h: h["dice"] >= threshold)
+
+        text = F.array_join(F.filter(lines, lambda x: x != ""), " ")
+        return let(pairs(text), lambda own: F.when(F.arrays_overlap(own, signs), F.concat(found, more(own))).otherwise(found))
 
     def best(found: Column) -> Column:
         return F.transform(F.array_distinct(F.transform(found, lambda h: h["licence"])), lambda name: let(
@@ -100,5 +186,5 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, thresh
                 name.alias("licence"), F.array_max(F.transform(own, lambda h: h["dice"])).alias("dice"), F.size(own).cast("bigint").alias("hits"))))
 
     lines = F.transform(F.split(normalised(F.coalesce(F.col("text"), F.lit(""))), "\n"), lambda x: F.trim(x))
-    found = let(lines, lambda x: let(F.flatten(F.transform(units(x), hits)), best))
+    found = let(lines, lambda x: let(let(F.flatten(F.transform(units(x), hits)), lambda h: with_passages(x, h)), best))
     return docs.select("doc_id", F.explode(found).alias("x")).select("doc_id", "x.licence", "x.dice", "x.hits")

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -215,6 +216,20 @@ def test_licences(spark, odd, none):
     assert licenses.scan(odd).count() == 0 and licenses.scan(none).count() == 0 and licenses.scan(odd, []).count() == 0
 
 
+def test_licences_in_passages(spark):
+    """Wrapped, embedded, shortened, repeated and whole licences, which are no line of their own."""
+    mit, short = licenses.TEMPLATES[3][1], licenses.TEMPLATES[0][1]
+    gpl = dict(licenses.whole_texts())["GPL-3.0"]
+    filler = " ".join(f"tok{i % 97}" for i in range(300))
+    rows = [(1, textwrap.fill(mit, 72)), (2, f"{filler} {mit} {filler}"), (3, f"{filler} {short} {filler}\n{filler}"), (4, filler), (5, f"{filler} {' '.join(mit.split()[:48])} {filler}"),
+            (6, f"{filler} {mit} {mit} {filler}"), (10, f"{filler}\n{gpl}\n{filler}"), *((20 + i, text) for i, (_, text) in enumerate(licenses.whole_texts()))]
+    got = {(r.doc_id, r.licence): r.dice for r in licenses.scan(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(8)).collect()}
+    assert got[(1, "MIT")] == got[(2, "MIT")] == got[(3, "Apache-2.0")] == got[(6, "MIT")] == 1.0
+    assert got[(5, "MIT")] >= 0.8 and got[(10, "GPL-3.0")] >= 0.95
+    assert all(got[(20 + i, name)] == 1.0 for i, name in enumerate(licenses.WHOLE))
+    assert {k[1] for k in got if k[0] < 10} == {"MIT", "Apache-2.0"} and not any(k[0] == 4 for k in got)
+
+
 def test_mixing_reaches_target_weights(spark, odd, none):
     rows = [(i, "t", "a" if i % 10 else "b") for i in range(20_000)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
