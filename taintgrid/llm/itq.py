@@ -4,7 +4,9 @@ On at most `sample` vectors (those of the smallest hashes of vec_id) rotations o
 bring the vectors close to the corners of a cube, so that the signs make balanced bits. Substrings of the codes
 are the keys of multi-index Hamming tables; vectors that share a key are compared by cosine on the original
 vectors. Substring length grows with the number of vectors (about BUCKET rows a key), and the number of tables and of
-rotations follows from it so that a pair at the threshold shares a key with probability RECALL.
+rotations follows from it so that a pair at the threshold shares a key with probability RECALL. That share is measured on
+pairs made from the sample, since a mean of all vectors widens the angle of the centred ones: tables are added until
+it is reached, and where that takes more than TABLES, substrings get shorter.
 
 Keys held by many vectors are split into blocks whose pairs are tasks of their own, so every link is counted and no
 group is held whole; a pair found in several tables counts in the first. Only counts and the smallest linked id leave a task.
@@ -32,6 +34,8 @@ RECALL = 0.98
 SAMPLE = 20_000
 ROUNDS = 30
 BUCKET = 256
+TABLES = 64
+PAIRS = 4000
 SHORTEST, LONGEST = 7, 24
 BLOCK = 512
 
@@ -57,22 +61,52 @@ def layout(n: int, threshold: float, recall: float) -> tuple[int, int]:
     return length, 1 if same >= 1 else math.ceil(math.log(1 - recall) / math.log(1 - same))
 
 
-def learn(x: np.ndarray, length: int, tables: int, rounds: int = ROUNDS) -> Coder:
-    """Rotations by alternating the nearest corners and the best rotation onto them, on unit vectors."""
-    x = x / np.linalg.norm(x, axis=1, keepdims=True)
-    mean = x.mean(0)
-    bits = x.shape[1]
-    axes = np.linalg.eigh((x - mean).T @ (x - mean))[1][:, ::-1]  # principal axes, the widest first
-    y = (x - mean) @ axes
+def rotations(y: np.ndarray, rounds: int = ROUNDS) -> Iterator[np.ndarray]:
+    """Rotations by alternating the nearest corners and the best rotation onto them."""
+    bits = y.shape[1]
     rng = np.random.default_rng(8)
-    out = []
-    for _ in range(math.ceil(length * tables / bits)):
+    while True:
         turn = np.linalg.qr(rng.standard_normal((bits, bits)))[0]
         for _ in range(rounds):
             u, _, v = np.linalg.svd(np.where(y @ turn > 0, 1.0, -1.0).T @ y)
             turn = (u @ v).T
-        out.append(axes @ turn)
-    return Coder(mean, np.concatenate(out, 1), length, tables)
+        yield turn
+
+
+def pairs_at(x: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors, and for each a vector at the threshold's cosine on the way to another of them (that one itself if nearer)."""
+    rng = np.random.default_rng(9)
+    i = rng.integers(0, len(x), PAIRS)
+    x, other = x[i], x[(i + rng.integers(1, max(2, len(x)), PAIRS)) % len(x)]
+    cosine = (x * other).sum(1, keepdims=True)
+    away = other - cosine * x
+    length = np.linalg.norm(away, axis=1, keepdims=True)
+    made = threshold * x + math.sqrt(max(0.0, 1 - threshold * threshold)) * away / np.maximum(length, 1e-300)
+    return x, np.where(cosine >= threshold, other, np.where(length > 1e-9, made, x))
+
+
+def learn(x: np.ndarray, n: int, threshold: float, recall: float) -> Coder:
+    """Coder for n vectors like the sample's x, of whose pairs at the threshold at least the share recall meet in a key."""
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    mean = x.mean(0)
+    axes = np.linalg.eigh((x - mean).T @ (x - mean))[1][:, ::-1]  # principal axes, the widest first
+    more, turned = rotations((x - mean) @ axes), []
+    a, b = pairs_at(x, threshold)
+    length, tables = layout(n, threshold, recall)
+    while length > 0:
+        while len(turned) * x.shape[1] < length * tables:
+            turned.append(axes @ next(more))
+        coder = Coder(mean, np.concatenate(turned, 1), length, tables)
+        found = float((coder.keys(a) == coder.keys(b)).any(1).mean())
+        if found >= recall:
+            return coder
+        one = 1 - (1 - found) ** (1 / tables)  # share of pairs that meet in one table
+        tables = max(tables + 1, math.ceil(math.log(1 - recall) / math.log(1 - one))) if one > 0 else TABLES + 1
+        if tables > TABLES:
+            length -= 1
+            bit = max(0.5, one ** (1 / (length + 1)))
+            tables = min(TABLES, math.ceil(math.log(1 - recall) / math.log(1 - min(bit**length, recall))))
+    return Coder(mean, axes, 0, 1)  # one key: all are compared
 
 
 def _key_column(coder: Coder, dim: int):
@@ -125,9 +159,8 @@ def near_copies(embeddings: DataFrame, threshold: float = THRESHOLD, recall: flo
     found = None
     for dim, n in sorted((r.dim, r.n) for r in rows.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()):
         own = rows.where(F.col("dim") == dim)
-        length, tables = layout(n, threshold, recall)
         few = own.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("vec").toArrow()["vec"].combine_chunks()
-        coder = learn(V.scaled(V.matrix(few, dim))[0], length, tables)
+        coder = learn(V.scaled(V.matrix(few, dim))[0], n, threshold, recall)
 
         coded = checkpoint(own.withColumn("keys", _key_column(coder, dim)(F.col("vec"))))
         places = coded.select("vec_id", F.posexplode(F.arrow_udf(_split, "array<int>")(F.col("keys"))).alias("table", "key"))

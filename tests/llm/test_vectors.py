@@ -82,6 +82,24 @@ def test_near_copies(spark, block, monkeypatch):
     assert all(got[i].kept == (got[i].component_id == i) for i in range(606))
 
 
+def test_near_copies_with_a_shared_mean(spark):
+    """All vectors share a mean of length 0.8; pairs of cosine 0.90 to 0.93."""
+    r = np.random.default_rng(3)
+    unit = lambda z: z / np.linalg.norm(z, axis=1, keepdims=True)
+    u, v = unit(r.standard_normal((1500, 31))), unit(r.standard_normal((1500, 31)))
+    c = r.uniform(0.725, 0.80, (1500, 1))
+    v = c * u + np.sqrt(1 - c * c) * unit(v - (v * u).sum(1, keepdims=True) * u)
+    x = np.concatenate([np.full((3000, 1), 0.8), 0.6 * np.concatenate([u, v])], 1).astype(np.float32)
+    link = cosines(x) >= 0.9
+    np.fill_diagonal(link, False)
+    got = {q.vec_id: q.n_links for q in itq.near_copies(frame(spark, x, False)).collect()}
+    assert link.sum() >= 2900 and sum(got.values()) >= 0.97 * link.sum()
+    for n in (20_000, 10_000_000):
+        coder = itq.learn(x.astype(float), n, 0.9, 0.98)
+        a, b = coder.keys(x[:1500].astype(float)), coder.keys(x[1500:].astype(float))
+        assert (a == b).any(1).mean() >= 0.97
+
+
 def test_near_copies_of_nothing(spark):
     df = frame(spark, np.ones((3, 4), np.float32), False)
     assert itq.near_copies(df.where("false")).count() == 0
