@@ -3,7 +3,8 @@
 Vectors of length one are projected on random directions; each projection is a sorted array. A query opens a window
 around its own value in every array and widens all of them step by step (virtual rehashing). A vector that lies in the
 windows of a share of the arrays is verified by its exact cosine. A query is answered when the windows are so wide that a
-vector as near as its k-th best would have been counted often enough with probability RECALL.
+vector as near as its k-th best would have been counted often enough with probability RECALL; with fewer than k found, every
+vector of the block is verified.
 
 Vectors and queries fall into blocks by a hash; each pair of a vector block and a query block is one task's group, which
 gives k rows per query; these are merged per query. So memory is bounded by the blocks, and the work is the stated query set
@@ -57,7 +58,8 @@ def search(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray,
     factor = reach(arrays, least, recall)
     flat, shift = order.reshape(-1), np.arange(arrays) * len(ids)
     n_steps = max(1, math.ceil(math.log(2 * factor / FIRST, WIDER)) + 1)
-    width = FIRST * WIDER ** np.arange(n_steps)
+    width = np.append(FIRST * WIDER ** np.arange(n_steps), np.inf)  # the last step has all vectors, for queries with fewer than k
+    n_steps += 1
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     # for each array all queries' window ends at once
     edges = np.stack([np.searchsorted(lines[j], np.concatenate([own[:, j, None] - width, own[:, j, None] + width], 1)) for j in range(arrays)], 1)

@@ -60,6 +60,13 @@ def test_nearest_ties_few_and_none(spark):
     assert nearest.neighbours(frame(spark, x, False).where("false"), F.col("vec_id") == 1).count() == 0
 
 
+def test_nearest_gives_all_vectors_where_there_are_fewer_than_k():
+    r = np.random.default_rng(4)
+    for q in r.standard_normal((3000, 1, 3)):
+        i, j, score = nearest.search(np.array([1, 2]), np.concatenate([-q, -q + 0.01]), np.array([9]), q, 5)
+        assert sorted(j.tolist()) == [0, 1] and (i == 0).all() and (score < -0.9).all()
+
+
 @pytest.mark.parametrize("block", [itq.BLOCK, 50])
 def test_near_copies(spark, block, monkeypatch):
     monkeypatch.setattr(itq, "BLOCK", block)
