@@ -8,6 +8,8 @@ import shutil
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -34,18 +36,37 @@ def get_session(app: str = "taintgrid", cores: int | str = "*", shuffle_partitio
     return spark
 
 
+_private: dict[str, str] = {}  # application id -> private folder, where the session names none
+_owned: set[str] = set()  # folders of applications of this process, removed at exit
+
+
+def _remove(sc: SparkContext, folder: str) -> None:
+    """Delete this application's part of the shared folder; nothing to do once the JVM is gone."""
+    try:
+        path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(sc._jvm.org.apache.hadoop.conf.Configuration()).delete(path, True)
+    except (Py4JError, OSError, AttributeError):
+        pass
+
+
 def _stage_folder(spark: SparkSession) -> str:
     """A folder of this application inside the shared folder the cluster names in
-    spark.checkpoint.dir; a private one only where none is named and all runs in one process, as in tests."""
+    spark.checkpoint.dir; a private one only where none is named and all runs in one process, as in tests.
+    Either is removed when the driver process ends."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named and not re.fullmatch(r"local(\[[^-]*\])?", sc.master):
         raise ValueError("name a folder that driver and executors share in spark.checkpoint.dir")
     if not named:
-        named = tempfile.mkdtemp(prefix="spark-taintgrid-")
-        atexit.register(shutil.rmtree, named, ignore_errors=True)  # ours alone, so it goes with us
-        spark.conf.set("spark.checkpoint.dir", named)
-    return f"{named.rstrip('/')}/taintgrid-{sc.applicationId}"
+        named = _private.get(sc.applicationId)
+        if named is None:
+            named = _private[sc.applicationId] = tempfile.mkdtemp(prefix="spark-taintgrid-")
+            atexit.register(shutil.rmtree, named, ignore_errors=True)  # ours alone, so it goes with us
+    folder = f"{named.rstrip('/')}/taintgrid-{sc.applicationId}"
+    if folder not in _owned:
+        _owned.add(folder)
+        atexit.register(_remove, sc, folder)
+    return folder
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
