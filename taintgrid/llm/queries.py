@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taintgrid.llm import bpe, itq, jaccard, licenses, lm, mixing, nearest, packing, pii, quality
+from taintgrid.llm import bpe, itq, jaccard, licenses, lm, merkle, mixing, multiset, nearest, packing, pii, quality, trie
 from taintgrid.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -168,3 +168,86 @@ def op9(spark, sf_dir):
 @query("op10_quality_classifier")
 def op10(spark, sf_dir):
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op11_multiset_hash")
+def op11(spark, sf_dir):
+    return multiset.compared(table(spark, sf_dir, "documents"))
+
+
+def crc_ctes(name: str, ids: str, from_: str) -> str:
+    """CTEs of a recursive SQL query: name(id, crc) with the CRC-32 of the decimal text of each id, a byte at a time."""
+    bits = "list_reduce(list_prepend(xor(c & 255, ascii(s[i + 1])::BIGINT), range(8)), lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)"
+    return f"""{name}_steps AS (
+  SELECT DISTINCT {ids} AS id, CAST({ids} AS VARCHAR) AS s, 0 AS i, 4294967295::BIGINT AS c FROM {from_} WHERE {ids} IS NOT NULL
+  UNION ALL SELECT id, s, i + 1, xor(c >> 8, {bits}) FROM {name}_steps WHERE i < strlen(s)),
+{name} AS (SELECT id, xor(c, 4294967295) AS crc FROM {name}_steps WHERE i = strlen(s))"""
+
+
+def merkle_sql() -> str:
+    def leaf(n_chars: str) -> str:
+        parts = [f"coalesce(strlen(({v})::VARCHAR) || ':' || ({v})::VARCHAR, '-')" for v in ("doc_id", "source", "lang", n_chars, "text")]
+        return f"sha256({' || '.join(parts)})"
+
+    def above(name: str, key: str) -> str:
+        return f"SELECT {key}lvl + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (n + 1) // 2 FROM {name} WHERE n > 1 GROUP BY {key}lvl, pos // 2, n"
+
+    return f"""
+WITH RECURSIVE {crc_ctes("crcs", "doc_id", "documents")},
+rows AS (SELECT d.doc_id, lang, {leaf("n_chars")} AS leaf, CASE WHEN coalesce(crc % 7 = 0, false) THEN {leaf("n_chars::HUGEINT + 1")} END AS shown FROM documents d LEFT JOIN crcs ON crcs.id = d.doc_id),
+leaves AS MATERIALIZED (
+  SELECT *, row_number() OVER () AS rid, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM rows),
+lv AS (SELECT lang, 0 AS lvl, pos, leaf AS h, n FROM leaves UNION ALL {above("lv", "lang, ")}),
+tops AS MATERIALIZED (SELECT lang, h AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM lv WHERE n = 1),
+tl AS (SELECT 0 AS lvl, pos, subroot AS h, n FROM tops UNION ALL {above("tl", "")}),
+steps AS MATERIALIZED (SELECT rid, row_number() OVER (PARTITION BY rid ORDER BY part, lvl) AS i, sib, on_left FROM (
+  SELECT l.rid, 0 AS part, v.lvl, s.h AS sib, (l.pos >> v.lvl) % 2 = 1 AS on_left FROM leaves l JOIN (SELECT DISTINCT lang, lvl FROM lv WHERE n > 1) v ON v.lang IS NOT DISTINCT FROM l.lang
+    LEFT JOIN lv s ON s.lang IS NOT DISTINCT FROM l.lang AND s.lvl = v.lvl AND s.pos = xor(l.pos >> v.lvl, 1)
+  UNION ALL
+  SELECT l.rid, 1, v.lvl, s.h, (t.pos >> v.lvl) % 2 = 1 FROM leaves l JOIN tops t ON t.lang IS NOT DISTINCT FROM l.lang CROSS JOIN (SELECT DISTINCT lvl FROM tl WHERE n > 1) v
+    LEFT JOIN tl s ON s.lvl = v.lvl AND s.pos = xor(t.pos >> v.lvl, 1))),
+proofs AS (SELECT rid, sha256(string_agg(coalesce(sib, ''), '' ORDER BY i)) AS proof, count(*) AS n FROM steps GROUP BY rid),
+fold AS (
+  SELECT rid, 0 AS i, coalesce(shown, leaf) AS cur FROM leaves
+  UNION ALL SELECT f.rid, f.i + 1, sha256(CASE WHEN s.on_left THEN s.sib || cur ELSE cur || coalesce(s.sib, '') END) FROM fold f JOIN steps s ON s.rid = f.rid AND s.i = f.i + 1)
+SELECT l.doc_id, l.leaf, t.subroot, r.h AS root, coalesce(p.proof, sha256('')) AS proof_sha256, f.cur AS folded_root, f.cur = r.h AS verified
+FROM leaves l JOIN tops t ON t.lang IS NOT DISTINCT FROM l.lang JOIN (SELECT h FROM tl WHERE n = 1) r ON true LEFT JOIN proofs p ON p.rid = l.rid JOIN fold f ON f.rid = l.rid AND f.i = coalesce(p.n, 0)
+"""
+
+
+@query("op12_merkle_manifest", merkle_sql())
+def op12(spark, sf_dir):
+    return merkle.check_rows(table(spark, sf_dir, "documents"))
+
+
+TRIE_SQL = f"""
+WITH RECURSIVE {crc_ctes("crcs", "conv_id", "conversations")},
+filled AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+turns AS MATERIALIZED (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(strlen(role) || ':' || role || text)) AS i,
+    md5(strlen(role) || ':' || role || text) AS h, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words FROM filled),
+sizes AS (SELECT conv_id, count(*) AS m FROM turns GROUP BY 1),
+convs AS MATERIALIZED (
+  SELECT s.conv_id, s.conv_id - s.conv_id % 20 AS base, crc % 4 AS lent, least(crc % 4, coalesce(b.m, 0)) AS k, least(crc % 4, coalesce(b.m, 0)) + greatest(s.m - crc % 4, 0) AS n
+  FROM sizes s JOIN crcs ON crcs.id = s.conv_id LEFT JOIN sizes b ON b.conv_id = s.conv_id - s.conv_id % 20),
+rebuilt AS (
+  SELECT c.conv_id, c.n, t.i AS p, h, words FROM convs c JOIN turns t ON t.conv_id = c.base AND t.i <= c.k
+  UNION ALL SELECT c.conv_id, c.n, t.i - c.lent + c.k, h, words FROM convs c JOIN turns t ON t.conv_id = c.conv_id AND t.i > c.lent),
+prefixes AS MATERIALIZED (
+  SELECT conv_id, n, p AS depth, words, md5(string_agg(h, '' ORDER BY p) OVER (PARTITION BY conv_id ORDER BY p)) AS node FROM rebuilt
+  UNION ALL SELECT conv_id, n, 0, 0, '' FROM convs),
+nodes AS MATERIALIZED (
+  SELECT node, depth, words, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (depth = n), '') AS ends FROM prefixes GROUP BY 1, 2, 3),
+linked AS MATERIALIZED (SELECT x.*, u.node AS parent, u.conv_id AS parent_conv_id FROM nodes x LEFT JOIN (SELECT p.conv_id AS by_conv, p.depth, z.node, z.conv_id FROM prefixes p JOIN nodes z ON z.node = p.node AND z.depth = p.depth) u ON u.by_conv = x.conv_id AND u.depth = x.depth - 1),
+kids AS (SELECT parent, count(*) AS n FROM linked WHERE parent IS NOT NULL GROUP BY 1),
+full_nodes AS (SELECT l.*, coalesce(k.n, 0) AS n_children FROM linked l LEFT JOIN kids k ON k.parent = l.node),
+sums AS (
+  SELECT a.node, a.depth, count(*) FILTER (x.n_children = 0) AS n_leaves, sum((x.n_convs - 1) * x.words)::BIGINT AS saved_tokens
+  FROM full_nodes x JOIN prefixes a ON a.conv_id = x.conv_id AND a.depth <= x.depth GROUP BY 1, 2)
+SELECT conv_id, x.depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, sha256(ends) AS ends_sha256 FROM full_nodes x JOIN sums s ON s.node = x.node AND s.depth = x.depth
+"""
+
+
+@query("op13_prefix_trie", TRIE_SQL)
+def op13(spark, sf_dir):
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
