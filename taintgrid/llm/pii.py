@@ -14,7 +14,9 @@ equal results; with no positive or no negative candidate nothing is added; other
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -67,7 +69,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     for area in _AREA.finditer(text):
         lo, hi = area.span()
         for m in _IP.finditer(text, lo, hi):
-            if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split(".")):
+            if all(len(d) <= 3 and int(d or "0") <= 255 for d in (p.lstrip("0") for p in m.group().split("."))):
                 out.append((m.start(), 1, m.end()))
         for m in _CARD.finditer(text, lo, hi):
             d = _digits(m.group())
@@ -247,7 +249,14 @@ def train(docs: DataFrame, rows: int = ROWS) -> Models:
 def spans(text: str, models: Models) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """Base spans, and all spans: candidates that touch no other span and reach their kind's threshold are added."""
     base = base_spans(text)
-    free = [c for c in candidates(text) if models[c[1]] is not None and not any(c[0] < b[2] and b[0] < c[2] for b in base)]
+    # base spans may overlap: of those that begin before a candidate's end, the largest end decides
+    starts, ends = [b[0] for b in base], list(accumulate((b[2] for b in base), max))
+
+    def touches(c: tuple[int, int, int]) -> bool:
+        i = bisect_left(starts, c[2])
+        return i > 0 and ends[i - 1] > c[0]
+
+    free = [c for c in candidates(text) if models[c[1]] is not None and not touches(c)]
     if not free:
         return base, base
     x = np.array([describe(text, *c) for c in free], float)
@@ -257,12 +266,15 @@ def spans(text: str, models: Models) -> tuple[list[tuple[int, int, int]], list[t
         if model is not None and own.any():
             p = model.probability(x[own])
             over[own] = np.where(p >= model.least, p, -np.inf)
-    out = list(base)
+    added: list[tuple[int, int, int]] = []  # sorted; none touches another
     for i in np.argsort(-over, kind="stable"):
+        if not np.isfinite(over[i]):
+            break
         start, _, end = free[i]
-        if np.isfinite(over[i]) and not any(start < b[2] and b[0] < end for b in out):
-            out.append(free[i])
-    return base, sorted(out)
+        at = bisect_left(added, (end,))
+        if not at or added[at - 1][2] <= start:
+            added.insert(at, free[i])
+    return base, sorted(base + added)
 
 
 def _written(found: list[tuple[int, int, int]]) -> str:

@@ -98,7 +98,7 @@ def base_by_brute_force(t):
     for k, rule in enumerate(BASE):
         for m in re.finditer(rule, t):
             d = re.sub("[^0-9]", "", m.group())
-            good = [True, k == 1 and all(int(p) <= 255 for p in m.group().split(".")), 12 <= len(d) <= 19 and pii.luhn(d), 9 <= len(d) <= 15][k]
+            good = [True, k == 1 and all(p.lstrip("0") in {"", *map(str, range(256))} for p in m.group().split(".")), 12 <= len(d) <= 19 and pii.luhn(d), 9 <= len(d) <= 15][k]
             if good:
                 out.append((m.start(), k, m.end()))
     return sorted(out)
@@ -112,6 +112,20 @@ def test_base_spans_are_those_of_the_patterns():
         assert pii.base_spans(t) == base_by_brute_force(t), t
 
 
+def test_long_digit_runs_and_many_addresses():
+    assert pii.base_spans("0" * 5000 + "1.1.1.1") == [(0, 1, 5007)]
+    assert pii.base_spans("9" * 5000 + ".1.1.1") == []
+    every = pii.Boosted([np.array([0.5])] * 30, least=0.0)  # takes every candidate
+    text = " ".join(f"see 10.0.{i % 256}.{i % 200} and 2691{i:06d} on" for i in range(60_000))
+    import time
+
+    began = time.monotonic()
+    base, out = pii.spans(text, [None, every, every, every])
+    assert len(base) == 60_000 and set(base) <= set(out) and len(out) > 60_000
+    assert all(a[2] <= b[0] for a, b in zip(out, out[1:], strict=False))
+    assert time.monotonic() - began < 90
+
+
 def personal(spark):
     r = np.random.default_rng(9)
     def card():
