@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["fact_queries", "graph_queries", "finding_queries", "rule_queries"]
+MODULES = ["fact_queries", "exports", "graph_queries", "finding_queries", "rule_queries"]
 
 
 def all_cases():

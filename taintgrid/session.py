@@ -69,17 +69,25 @@ def _stage_folder(spark: SparkSession) -> str:
     return folder
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Write df to the checkpoint folder and return a frame that reads it.
+def checkpoint(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
+    """Write df to the checkpoint folder, in folders by `partition_by` if given, and return a frame that reads it.
 
     Lineage is cut, a lost executor costs a re-read and not a re-run of the loop, and later joins
     see the true size of the written table when they choose between broadcast and shuffle.
     """
     path = f"{_stage_folder(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=partition_by)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+BROADCAST_BYTES = 32 << 20  # a side counted to be smaller may be sent to all executors
+
+
+def sized(df: DataFrame, row_bytes: int) -> DataFrame:
+    """df, to be broadcast only if its counted rows stay under BROADCAST_BYTES; Spark shuffles it otherwise."""
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+
+
 def ranked(df: DataFrame, keys: list[str], order: list[str | Column], name: str = "rn") -> DataFrame:
     """Exact row_number() over (partition by keys order by order) without sending a key to one task.
 
