@@ -5,142 +5,132 @@ fingerprint is the sum of its paragraphs' vectors modulo powers of two. So it do
 equal fingerprints, and putting in or taking out a paragraph is an addition or subtraction (`plus`, `minus`) that
 leaves the rest of the text unread. A paragraph's vector has three parts:
 
-* NAME_WORDS x 3 lanes modulo 2 ** 20, uniform, drawn by XXH64 from the paragraph's SHA-256: for equality;
-* the number of its pieces (its text parted where blanks follow a mark) modulo 2 ** 20;
-* SIGN_WORDS x 3 lanes modulo 2 ** 20, the sum of one random bit per piece and lane: for likeness. Twice a lane less the number is
+* NAME_WORDS lanes modulo 2 ** 32, uniform, drawn by XXH64 from the paragraph's SHA-256: for equality;
+* the number of its pieces (its text parted where blanks follow a mark);
+* SIGN_WORDS x 2 lanes modulo 2 ** 32, the sum of one random bit per piece and lane: for likeness. Twice a lane less the number is
   a sum of random signs, so the mean square of the difference of two texts' lanes estimates how many pieces (weighed by
   their repeats squared) the two don't share, and likeness is 1 less its share in both texts' own, 0 to 1.
 
-Three lanes of 20 bits stand 21 bits apart in a long; a mask after each addition takes the carries away. The estimate holds unless
-one piece comes 2 ** 19 times in a text. It has a standard error of about 0.04 near a likeness of 0.75.
+A text holds fewer than 2 ** 31 pieces, so neither kind of sum leaves its long before it is reduced. The estimate has
+a standard error of about 0.04 near a likeness of 0.75.
 
-DataFrame functions only. Each row's vectors are folded in its row; for the edited text only the paragraphs from the edit
-on are taken out and put in. Texts meet the next ones by (doc_id, MD5), which no group shares; ranks come from narrow rows.
+DataFrame functions only. Texts are dealt once, by (doc_id, MD5), which no group shares; paragraphs and pieces are exploded
+there and summed by hash aggregates without another shuffle. For the edited text only the paragraphs from the edit on are
+read: their vectors go in with sign -1 and +1. Only the beginning of the next text and its vector are sent. Ranks come from narrow rows.
 
 Defined cases: null text is empty, and the empty text has one empty paragraph; documents ascend by doc_id, null first, rows of equal doc_id by the
 MD5 of their text, and rows equal in both are one document with equal results; with one document the next is itself; a very
-long text is one row's work and needs its pieces' hashes in memory; an empty table gives no rows; other columns are
-ignored and may have any name.
+long text is exploded like any other; an empty table gives no rows; other columns are ignored and may have any name.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from taintgrid.session import checkpoint, ranked
 
-NAME_WORDS = 12
-SIGN_SEEDS = 2  # hashes a sentence, of 63 sign bits each
-SIGN_WORDS = 21 * SIGN_SEEDS
-_ONES = 1 | 1 << 21 | 1 << 42
-_FULL = _ONES * ((1 << 20) - 1)
+NAME_WORDS = 16
+SIGN_WORDS = 64  # 32 of each of two hashes a piece
+_LOW = (1 << 32) - 1
+_PAIR = 1 | 1 << 32
 _PIECE = r"(?<=[^\p{L}\p{N}\s])\s+"  # blanks after anything but letters, digits and blanks
 
 
-def _mod(x: Column) -> Column:
-    return x.bitwiseAND(F.lit(_FULL))
+def vectors(rows: DataFrame, keys: list[str], text: str, sign: str | None = None) -> DataFrame:
+    """keys and the sum v of the vectors of all paragraphs of the text, over rows of equal keys; sign: a column of factors."""
+    factor = [sign] if sign else []
+    signed = (lambda x: x * F.col(sign)) if sign else (lambda x: x)
+    paragraphs = rows.select(*keys, *factor, F.explode(F.split(text, "\n", -1)).alias("_p"))
+    # two aggregates, since the code of one with all sums is too long for the JVM to compile
+    names = [F.sum(signed(F.xxhash64("_name", F.lit(j)).bitwiseAND(F.lit(_LOW)))).alias(f"_w{j}") for j in range(NAME_WORDS)]
+    named = paragraphs.select(*keys, *factor, F.sha2("_p", 256).alias("_name")).groupBy(*keys).agg(*names)
+    pieces = paragraphs.select(*keys, *factor, F.explode(F.split("_p", _PIECE, -1)).alias("_s"))
+    hashed = pieces.select(*keys, *factor, *[F.xxhash64("_s", F.lit(seed)).alias(f"_h{seed}") for seed in (0, 1)])
+    number = F.sum(signed(F.lit(1).cast("bigint"))).alias("_n0")
+    bits = [
+        F.sum(signed(F.shiftrightunsigned(F.col(f"_h{seed}"), k).bitwiseAND(F.lit(_PAIR)))).alias(f"_s{seed}_{k}")
+        for seed in (0, 1) for k in range(SIGN_WORDS // 2)]
+    sums = named.join(hashed.groupBy(*keys).agg(number, *bits).hint("merge"), keys)
+    every = [*[f"_w{j}" for j in range(NAME_WORDS)], "_n0", *[f"_s{seed}_{k}" for seed in (0, 1) for k in range(SIGN_WORDS // 2)]]
+    return sums.select(*keys, _reduced(F.array(*every)).alias("v"))
+
+
+def _reduced(v: Column) -> Column:
+    return F.transform(v, lambda x, i: F.when(i < NAME_WORDS, x.bitwiseAND(F.lit(_LOW))).otherwise(x))
 
 
 def plus(a: Column, b: Column) -> Column:
     """The fingerprint of both multisets together."""
-    return F.zip_with(a, b, lambda x, y: _mod(x + y))
+    return _reduced(F.zip_with(a, b, lambda x, y: x + y))
 
 
 def minus(a: Column, b: Column) -> Column:
     """The fingerprint of a without b's paragraphs."""
-    return F.zip_with(a, b, lambda x, y: _mod(x + (F.lit(_FULL + _ONES) - y)))
+    return _reduced(F.zip_with(a, b, lambda x, y: x - y))
 
 
-def _sums(hashes: Column, lane: callable, seeds: int) -> Column:
-    """For each lane word k: the sum over hashes of lane(hash, k)."""
-    zero = F.lit(0).cast("bigint")
-    return F.transform(F.sequence(F.lit(0), F.lit(seeds - 1)), lambda k: F.aggregate(hashes, zero, lambda acc, h: _mod(acc + lane(h, k))))
+def _signs(v: Column) -> Column:
+    return F.slice(v, NAME_WORDS + 2, SIGN_WORDS)
 
 
-def _hash(seed: int):
-    return lambda piece: F.xxhash64(piece, F.lit(seed))
+def _squares(words: Column, n: Column) -> Column:
+    """Sum over the two lanes of each word of the square of twice the lane less n."""
+    def add(acc: Column, w: Column) -> Column:
+        low = F.shiftright(F.shiftleft(w, 32), 32)
+        one = 2 * low - n
+        two = 2 * F.shiftright(w - low, 32) - n
+        return acc + one.cast("double") * one + two.cast("double") * two
 
-
-def vector(text: Column) -> Column:
-    """The sum of the vectors of all paragraphs of a text, as longs of three lanes."""
-    paragraphs = F.split(text, "\n", -1)
-    keys = F.transform(paragraphs, lambda p: F.sha2(p, 256))
-    name = _sums(keys, lambda key, k: _mod(F.xxhash64(key, k)), NAME_WORDS)
-    pieces = F.flatten(F.transform(paragraphs, lambda p: F.split(p, _PIECE, -1)))
-    bits = [
-        _sums(F.transform(pieces, _hash(seed)), lambda h, k: F.call_function("shiftrightunsigned", h, k).bitwiseAND(F.lit(_ONES)), 21)
-        for seed in range(SIGN_SEEDS)]
-    return F.concat(name, F.array(F.size(pieces).cast("bigint").bitwiseAND(F.lit((1 << 20) - 1))), *bits)
+    return F.aggregate(words, F.lit(0.0), add)
 
 
 def likeness(a: Column, b: Column) -> Column:
     """0 to 1: twice the estimated product of two texts' counts of pieces over the sum of their squares."""
-    half, size, at = 1 << 19, F.lit(1 << 20), NAME_WORDS + 1
-
-    def signed(x: Column) -> Column:
-        return F.pmod(x + half, size) - half
-
-    def squares(of) -> Column:
-        """Sum over all sign lanes of the square of of(word index, shift)."""
-        words = F.sequence(F.lit(at), F.lit(at + SIGN_WORDS - 1))
-        one = lambda acc, i: acc + sum(F.pow(of(i, s).cast("double"), F.lit(2.0)) for s in (0, 21, 42))
-        return F.aggregate(words, F.lit(0.0), one)
-
-    def lane(v: Column, i: Column, shift: int) -> Column:
-        return F.shiftrightunsigned(F.get(v, i), shift).bitwiseAND(F.lit((1 << 20) - 1))
-
-    def own(v: Column):
-        return lambda i, s: signed(2 * lane(v, i, s) - F.get(v, F.lit(at - 1)))
-
-    def apart(i: Column, s: int) -> Column:
-        return signed(2 * (lane(a, i, s) - lane(b, i, s)) - (F.get(a, F.lit(at - 1)) - F.get(b, F.lit(at - 1))))
-
-    both = squares(own(a)) + squares(own(b))
-    return F.when(a == b, 1.0).when(both == 0, 0.0).otherwise(F.greatest(F.lit(0.0), 1.0 - squares(apart) / both))
+    n = lambda v: F.get(v, F.lit(NAME_WORDS))
+    both = _squares(_signs(a), n(a)) + _squares(_signs(b), n(b))
+    apart = _squares(F.zip_with(_signs(a), _signs(b), lambda x, y: x - y), n(a) - n(b))
+    return F.when(a == b, 1.0).when(both == 0, 0.0).otherwise(F.greatest(F.lit(0.0), 1.0 - apart / both))
 
 
 def written(v: Column) -> Column:
-    """A fingerprint as hex text."""
-    return F.array_join(F.transform(v, lambda x: F.lpad(F.hex(x), 16, "0")), "")
+    """A fingerprint as text: its words in hexadecimal."""
+    return F.array_join(F.transform(v, lambda x: F.hex(x)), ".")
 
 
-def edited_pairs(docs: DataFrame) -> DataFrame:
-    """Every row of docs as _d, _t and _v (doc_id, text, vector) with the beginning _head of the next document, as long as the
-    last quarter of the text at most, and that document's vector _next."""
+def compared(docs: DataFrame) -> DataFrame:
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every row of docs."""
+    key = ["_k", "_h"]
     text = F.coalesce(F.col("text"), F.lit(""))
     base = docs.select(F.col("doc_id").alias("_d"), F.md5(text).alias("_h"), text.alias("_t"))
     narrow = base.select("_d", "_h", F.char_length("_t").alias("_n")).distinct()
     placed = checkpoint(ranked(narrow, [], [F.col("_d").asc_nulls_first(), F.col("_h")], "_r"))
     total = placed.agg(F.max("_r")).first()[0] or 0  # one number
-    quarter = F.floor(F.col("_n") / 4)
-    follow = placed.select((F.col("_r") % max(total, 1) + 1).alias("_r"), F.col("_d").alias("_pd"), F.col("_h").alias("_ph"), quarter.alias("_take"))
-    links = follow.join(placed.select("_r", F.col("_d").alias("_nd"), F.col("_h").alias("_nh")), "_r").drop("_r")
-    # a null doc_id joins as one of its own; both joins below share one exchange of the texts
-    key = lambda d: F.coalesce(F.col(d).cast("string"), F.lit("null"))
-    whole = base.select(key("_d").alias("_k"), "_h", "_t", vector(F.col("_t")).alias("_v"))
-    asked = links.select(key("_nd").alias("_k"), F.col("_nh").alias("_h"), key("_pd").alias("_pk"), "_ph", "_take")
-    one = whole.join(asked.hint("merge"), ["_k", "_h"]).select(
-        F.col("_pk").alias("_k"), F.col("_ph").alias("_h"), F.substring("_t", F.lit(1), F.col("_take").cast("int")).alias("_head"), F.col("_v").alias("_next"))
-    # rows equal in both keys gave the same head
-    heads = one.dropDuplicates(["_k", "_h"])
-    own_id = F.when(F.col("_k") != "null", F.col("_k")).cast(docs.schema["doc_id"].dataType)
-    return whole.join(heads.hint("merge"), ["_k", "_h"]).withColumn("_d", own_id)
-
-
-def compared(docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every row of docs."""
-    rows = edited_pairs(docs).withColumn("_n", F.char_length("_t"))
-    rows = rows.withColumn("_keep", F.col("_n") - F.floor(F.col("_n") / 4).cast("int"))
-    rows = rows.withColumn("_kept", F.substring("_t", F.lit(1), F.col("_keep")))
+    as_text = lambda d: F.coalesce(F.col(d).cast("string"), F.lit("null"))
+    quarter = F.floor(F.col("_n") / 4).cast("int")
+    follow = placed.select((F.col("_r") % max(total, 1) + 1).alias("_r"), as_text("_d").alias("_pk"), F.col("_h").alias("_ph"), quarter.alias("_take"))
+    links = follow.join(placed.select("_r", as_text("_d").alias("_k"), "_h"), "_r").drop("_r")
+
+    # rows of equal keys are one document; every join and aggregate below stays in the partitions of this exchange
+    dealt = base.select(as_text("_d").alias("_k"), "_h", "_t").repartition(*key)
+    copies = Window.partitionBy(*key).orderBy(F.lit(0))
+    one = dealt.select(*key, "_t", F.row_number().over(copies).alias("_i"), F.count(F.lit(1)).over(copies.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_m")).where("_i = 1")
+    own = vectors(one, key, "_t").repartition(*key)  # both uses share this exchange, so it is summed up once
+    heads = one.join(links.hint("merge"), key).join(own.hint("merge"), key).select(
+        F.col("_pk").alias("_k"), F.col("_ph").alias("_h"), F.substring("_t", F.lit(1), F.col("_take")).alias("_head"), F.col("v").alias("_next"))
+    heads = heads.repartition(*key)
+    both = one.join(heads.hint("merge"), key).withColumn("_n", F.char_length("_t"))
+    both = both.withColumn("_keep", F.col("_n") - F.floor(F.col("_n") / 4).cast("int")).withColumn("_kept", F.substring("_t", F.lit(1), F.col("_keep")))
     # paragraphs that end within what is kept stay in the sum; the open one and the rest are exchanged
-    rows = rows.withColumn("_open", F.substring_index("_kept", "\n", -1))
-    old = F.concat("_open", F.substring("_t", F.col("_keep") + 1, F.col("_n")))
-    rows = rows.withColumn("_old", vector(old)).withColumn("_new", vector(F.concat("_open", "_head")))
-    rows = rows.select(
-        "_d", "_n", F.sha2(F.concat("_kept", "_head"), 256).alias("edited_sha256"), "_v", "_next",
-        plus(minus(F.col("_v"), F.col("_old")), F.col("_new")).alias("_e"))
-    return rows.select(
-        F.col("_d").alias("doc_id"), F.col("_n").cast("bigint").alias("n_chars"), "edited_sha256",
-        written(F.col("_v")).alias("fingerprint"), written(F.col("_e")).alias("edited_fingerprint"),
-        likeness(F.col("_v"), F.col("_e")).alias("near_edited"), likeness(F.col("_v"), F.col("_next")).alias("near_next"))
+    both = both.withColumn("_open", F.substring_index("_kept", "\n", -1))
+    old = F.struct(F.lit(-1).cast("bigint").alias("sign"), F.concat("_open", F.substring("_t", F.col("_keep") + 1, F.col("_n"))).alias("text"))
+    new = F.struct(F.lit(1).cast("bigint").alias("sign"), F.concat("_open", "_head").alias("text"))
+    tails = both.select(*key, F.explode(F.array(old, new)).alias("x")).select(*key, "x.sign", "x.text")
+    change = vectors(tails, key, "text", "sign").withColumnRenamed("v", "_change")
+    rows = both.select(*key, "_m", "_n", F.sha2(F.concat("_kept", "_head"), 256).alias("edited_sha256"), "_next").join(
+        own.hint("merge"), key).join(change.hint("merge"), key).withColumn("_e", plus(F.col("v"), F.col("_change")))
+    out = rows.select(
+        F.when(F.col("_k") != "null", F.col("_k")).cast(docs.schema["doc_id"].dataType).alias("doc_id"), F.col("_n").cast("bigint").alias("n_chars"), "edited_sha256",
+        written(F.col("v")).alias("fingerprint"), written(F.col("_e")).alias("edited_fingerprint"),
+        likeness(F.col("v"), F.col("_e")).alias("near_edited"), likeness(F.col("v"), F.col("_next")).alias("near_next"), "_m")
+    return out.withColumn("_m", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_m")))).drop("_m")
