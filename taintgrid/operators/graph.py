@@ -13,6 +13,8 @@ from itertools import count
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from taintgrid.operators.cycles import contracted_components
+from taintgrid.operators.state import Levels, bucketed, counted
 from taintgrid.session import checkpoint, top_n
 
 
@@ -48,11 +50,12 @@ def closure(
         edges = edges.join(gone.withColumnRenamed("node", "src"), [*keys, "src"], "left_anti").join(
             gone.withColumnRenamed("node", "dst"), [*keys, "dst"], "left_anti"
         )
-    edges = checkpoint(edges)
-    frontier = checkpoint(seeds.select(*ident).distinct().withColumn("depth", F.lit(0)))
-    seen = [frontier]
+    edges = bucketed(edges, [*keys, "src"])
+    frontier, n = counted(seeds.select(*ident).distinct().withColumn("depth", F.lit(0)), ident)
+    seen = Levels(ident)
+    seen.add(frontier, n)
     for depth in count(1):
-        if max_depth is not None and depth > max_depth:
+        if not n or (max_depth is not None and depth > max_depth):
             break
         step = (
             frontier.select(*keys, *tags, F.col("node").alias("src"))
@@ -60,12 +63,10 @@ def closure(
             .select(*keys, *tags, F.col("dst").alias("node"))
             .distinct()
         )
-        step = step.join(_union(seen).select(*ident), ident, "left_anti")
-        frontier = checkpoint(step.withColumn("depth", F.lit(depth)))
-        if frontier.isEmpty():
-            break
-        seen = _seen_union([*seen, frontier])
-    return _union(seen)
+        frontier, n = counted(seen.without(step).withColumn("depth", F.lit(depth)), ident)
+        if n:
+            seen.add(frontier, n)
+    return seen.all()
 
 
 def reachable(edges: DataFrame, seeds: DataFrame, keys: list[str], max_depth: int | None = None) -> DataFrame:
@@ -232,17 +233,12 @@ def _spread_max(edges: DataFrame, keys: list[str]) -> DataFrame:
     return labels.drop("new")
 
 
-def components(edges: DataFrame, keys: list[str]) -> DataFrame:
-    """Strongly connected components with a cycle: (keys, node, component).
-
-    Acyclic parts are trimmed. Then every node learns its largest ancestor and descendant; where
-    the two are equal the node is in that node's component. Edges between nodes with different
-    pairs cannot be inside a component and are cut; the rest repeats on what is left.
-    """
-    edges = edges.select(*keys, "src", "dst").distinct()
-    loops = checkpoint(edges.where("src = dst").select(*keys, F.col("src").alias("node"), F.col("src").alias("component")))
-    rest = _trim(checkpoint(edges.where("src <> dst")), keys)
-    found = []
+def _coloured(rest: DataFrame, keys: list[str]) -> DataFrame:
+    """Components over edges without loops. Acyclic parts are trimmed. Then every node learns its largest ancestor and
+    descendant; where the two are equal the node is in that node's component. Edges between nodes with different
+    pairs cannot be inside a component and are cut; the rest repeats on what is left."""
+    rest = _trim(rest, keys)
+    found = [rest.select(*keys, F.col("src").alias("node"), F.col("src").alias("component")).limit(0)]
     while not rest.isEmpty():
         labels = checkpoint(_spread_max(rest, keys))
         found.append(labels.where("f = b").select(*keys, "node", F.col("f").alias("component")))
@@ -251,12 +247,15 @@ def components(edges: DataFrame, keys: list[str]) -> DataFrame:
         dst = open_.select(*keys, F.col("node").alias("dst"), F.struct("f", "b").alias("ld"))
         kept = rest.join(src, [*keys, "src"]).join(dst, [*keys, "dst"]).where("ls = ld").select(*keys, "src", "dst")
         rest = _trim(checkpoint(kept), keys)
-    if not found:
-        return loops
-    found = _union(found)
+    return _union(found)
+
+
+def components(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """Strongly connected components with a cycle: (keys, node, component), component being its largest node."""
+    edges = checkpoint(edges.select(*keys, "src", "dst").distinct())
+    loops = edges.where("src = dst").select(*keys, F.col("src").alias("node"), F.col("src").alias("component"))
     # a node alone in its component is on a cycle only by a self-loop
-    big = found.groupBy(*keys, "component").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
-    inside = found.join(big, [*keys, "component"], "left_semi").select(*keys, "node", "component")
+    inside = checkpoint(contracted_components(edges.where("src <> dst"), keys, lambda rest: _coloured(rest, keys)))
     return inside.unionByName(loops.join(inside, [*keys, "node"], "left_anti"))
 
 

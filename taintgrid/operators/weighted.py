@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from taintgrid.functions import columns as C
 from taintgrid.operators.graph import _union, neighbors
 from taintgrid.operators.prefix import prefix_first
+from taintgrid.operators.state import bucketed, counted
 from taintgrid.session import checkpoint, top_n
 
 # --- fixed values -------------------------------------------------------------------------
@@ -100,19 +101,22 @@ def step_factor(depth: Column, after_partial: Column) -> Column:
     )
 
 
-def propagate_weighted(
+def propagate_counted(
     nodes: DataFrame, edges: DataFrame, sources: DataFrame, keys: list[str], effect: DataFrame | None = None,
     mode: str = "best", max_depth: int | None = None, min_confidence: float = MIN_CONFIDENCE, max_results: int | None = None,
     keep_path: bool = True, sticky_partial: bool = False,
-) -> DataFrame:
-    """Results (keys, source, sink, taint_label, confidence, depth, flags, path).
+) -> tuple[DataFrame, DataFrame]:
+    """Results (keys, source, sink, taint_label, confidence, depth, flags, path) and, per level and source, how many steps had
+    which fate (keys, source, depth, fate, n): go, sink, cycle (the node is on the walk already), weak (below
+    min_confidence), blocked (by a full sanitizer), deep (cut by max_depth).
 
     `sources` has keys, node, taint_label. Walks stop at sinks and end below min_confidence; without max_depth nothing else
-    ends them.
+    ends them, and since steps lose confidence the more the deeper they are, every walk ends within a dozen or two.
 
     mode `best` keeps the best walk per (source, node) and level. It is exact for the best
     confidence per (source, sink): every factor is at most 1 and grows weaker with depth, so the
-    best walk never repeats a node, and an earlier walk at least as good makes a later one useless.
+    best walk never repeats a node. A level is one join of the frontier with the bucketed hops and one aggregate;
+    earlier levels aren't read again.
     mode `all` lists every simple path; only for small graphs. With max_results, the first results
     per source in (depth, path) order are kept, as a report limit.
     """
@@ -120,32 +124,31 @@ def propagate_weighted(
     info = nodes.select(*keys, F.col("node").alias("dst"), "kind", "is_sink", "is_async", "is_in_loop")
     eff = effect if effect is not None else nodes.select(*keys, "node", F.lit(0.0).alias("san_confidence"), F.expr("cast(null as array<string>)").alias("san_kinds")).limit(0)
     via = F.col("via_alias") if "via_alias" in edges.columns else F.lit(None).cast("string").alias("via_alias")
-    hops = checkpoint(
+    hops = bucketed(
         flow.select(*keys, "src", "dst", "edge_kind", "is_conditional", via).distinct().join(info, [*keys, "dst"])
-        .join(eff.withColumnRenamed("node", "dst"), [*keys, "dst"], "left")
-    )
+        .join(eff.withColumnRenamed("node", "dst"), [*keys, "dst"], "left"), [*keys, "src"])
     start = sources.select(
         *keys, F.col("node").alias("source"), "node", "taint_label", F.lit(1.0).alias("confidence"), F.lit(False).alias("has_conditional"),
         F.lit(False).alias("has_async"), F.lit(False).alias("partial"), F.array("node").alias("path"),
         F.expr("cast(array() as array<struct<edge_kind:string,kind:string,is_conditional:boolean>>)").alias("steps"))
     frontier = checkpoint(start)
     ident = [*keys, "source", "node"] + (["partial"] if sticky_partial else [])
-    best = frontier.select(*ident, F.col("confidence").alias("_b"))
-    seen, results = [best], []
+    levels, results = [], []
     for depth in count():
-        if max_depth is not None and depth >= max_depth:
-            break
         raw = frontier.withColumnRenamed("node", "src").join(hops, [*keys, "src"])
-        if mode == "all":
-            raw = raw.where(~F.array_contains("path", F.col("dst")))
-        else:
-            raw = raw.where(F.col("dst") != F.col("source"))
+        cycle = F.col("dst") == F.col("source")
+        if keep_path or mode == "all":
+            cycle = cycle | F.array_contains("path", F.col("dst"))
         stop = sanitizer_decision(F.col("taint_label"), F.col("san_confidence"), F.col("san_kinds"))
         # ties of the fourth place go up, whatever their last binary digit
         conf = F.round(F.col("confidence") * step_factor(F.lit(depth), F.col("partial")) + 1e-9, 4)
         now_partial = F.coalesce(stop == "partial", F.lit(False))
-        step = raw.withColumn("_conf", conf).where(F.col("_conf") >= min_confidence).where(F.coalesce(stop, F.lit("")) != "full").select(
-            *keys, "source", F.col("dst").alias("node"), "taint_label", F.col("_conf").alias("confidence"), "is_sink",
+        deep = F.lit(max_depth is not None and depth >= max_depth)
+        fate = (
+            F.when(deep, "deep").when(cycle, "cycle").when(F.col("_conf") < min_confidence, "weak")
+            .when(F.coalesce(stop == "full", F.lit(False)), "blocked").when(F.col("is_sink"), "sink").otherwise("go"))
+        step = raw.withColumn("_conf", conf).select(
+            *keys, "source", F.col("dst").alias("node"), fate.alias("fate"), "taint_label", F.col("_conf").alias("confidence"), "is_sink",
             F.col("has_conditional").alias("state_conditional"), F.col("has_async").alias("state_async"), F.col("partial").alias("state_partial"),
             (F.col("has_conditional") | F.col("is_conditional")).alias("has_conditional"),
             (F.col("has_async") | F.col("is_async") | (F.col("kind") == "AWAIT_EXPR")).alias("has_async"),
@@ -154,24 +157,31 @@ def propagate_weighted(
             (F.array_append("steps", F.struct("edge_kind", "kind", "is_conditional")) if keep_path else F.col("steps")).alias("steps"),
         )
         if mode != "all":
-            step = top_n(step, ident, [F.col("confidence").desc(), F.col("state_conditional"), F.col("path")], 1).drop("rn")
-            for part in seen:
-                step = step.join(part, ident, "left").where("_b is null or confidence > _b").drop("_b")
-        step = checkpoint(step.withColumn("depth", F.lit(depth)))
-        if step.isEmpty():
+            rest = [c for c in step.columns if c not in (*ident, "fate")]
+            order = F.struct(-F.col("confidence"), "state_conditional", "path", F.xxhash64(*rest))
+            step = step.groupBy(*ident, "fate").agg(F.count(F.lit(1)).alias("_n"), F.min_by(F.struct(*rest), order).alias("_s")).select(*ident, "fate", "_n", "_s.*")
+        else:
+            step = step.withColumn("_n", F.lit(1).cast("bigint"))
+        step, n = counted(step.withColumn("depth", F.lit(depth)))
+        if not n:
+            break
+        levels.append(step.groupBy(*keys, "source", "depth", "fate").agg(F.sum("_n").alias("n")))
+        results.append(step.where("fate = 'sink'").drop("fate", "_n"))
+        frontier = step.where("fate = 'go'").select(*start.columns)
+        if max_depth is not None and depth >= max_depth:
             break
-        results.append(step.where("is_sink"))
-        frontier = step.where("not is_sink").select(*start.columns)
-        if mode != "all":
-            seen.append(step.select(*ident, F.col("confidence").alias("_b")))
-            if len(seen) > 6:
-                seen = [checkpoint(_union(seen).groupBy(*ident).agg(F.max("_b").alias("_b")))]
     if not results:
-        return frontier.limit(0)
+        none = frontier.limit(0)
+        return none.withColumnRenamed("node", "sink").withColumn("depth", F.lit(0)), none.select(*keys, "source", F.lit(0).alias("depth"), F.lit("").alias("fate"), F.lit(0).cast("bigint").alias("n"))
     out = _union(results).withColumnRenamed("node", "sink")
     if max_results is not None:
         out = top_n(out, [*keys, "source"], [F.col("depth"), F.col("path")], max_results).drop("rn")
-    return out
+    return out, _union(levels)
+
+
+def propagate_weighted(nodes: DataFrame, edges: DataFrame, sources: DataFrame, keys: list[str], effect: DataFrame | None = None, **options) -> DataFrame:
+    """The results of `propagate_counted`."""
+    return propagate_counted(nodes, edges, sources, keys, effect, **options)[0]
 
 
 def weighted_results(results: DataFrame, nodes: DataFrame, keys: list[str]) -> DataFrame:
@@ -226,11 +236,22 @@ def path_summary(results: DataFrame) -> DataFrame:
         "advice", F.array_join(F.transform("tags", lambda t: F.try_element_at(advice, t)), " "))
 
 
-def propagation_stats(results: DataFrame, sources: DataFrame, nodes: DataFrame, keys: list[str]) -> DataFrame:
-    """Counters per graph: sources, results, async and loop flows, partial sanitizers."""
-    n_src = sources.groupBy(*keys).agg(F.count(F.lit(1)).alias("sources"))
-    per = results.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("results"), F.count_if("is_async_flow").alias("async_flows"), F.count_if("is_in_loop").alias("loop_flows"),
-        F.count_if("has_partial_sanitizer").alias("partial_sanitizers"), F.max("path_length").alias("longest_path"))
-    out = n_src.join(per, keys, "left") if keys else n_src.join(per)
-    return out.na.fill(0)
+def propagation_stats(results: DataFrame, sources: DataFrame, nodes: DataFrame, keys: list[str], levels: DataFrame | None = None) -> DataFrame:
+    """Counters per graph: sources; results, their async and loop flows, partial sanitizers and flows that return from another method;
+    with the levels of `propagate_counted` also the states visited (sources included), steps blocked by a sanitizer, ending in a
+    cycle, too weak, cut by depth, and the deepest level."""
+    def per(df: DataFrame, *aggs: Column) -> DataFrame:
+        return (df.groupBy(*keys) if keys else df.groupBy(F.lit(0).alias("_g"))).agg(*aggs)
+
+    on = keys or ["_g"]
+    out = per(sources, F.count(F.lit(1)).alias("sources")).join(per(
+        results, F.count(F.lit(1)).alias("results"), F.count_if("is_async_flow").alias("async_flows"), F.count_if("is_in_loop").alias("loop_flows"),
+        F.count_if("has_partial_sanitizer").alias("partial_sanitizers"), F.count_if(F.exists("steps", lambda s: s["edge_kind"] == "returned_by")).alias("inter_procedural"),
+        F.max("path_length").alias("longest_path")), on, "left")
+    if levels is not None:
+        of = lambda fate: F.coalesce(F.sum(F.when(F.col("fate") == fate, F.col("n"))), F.lit(0))
+        out = out.join(per(
+            levels, of("go").alias("_go"), of("blocked").alias("blocked"), of("cycle").alias("cycles"), of("weak").alias("weak"), of("deep").alias("depth_hits"),
+            F.max(F.when(F.col("fate").isin("go", "sink"), F.col("depth") + 1)).alias("deepest")), on, "left")
+        out = out.withColumn("visited", F.col("sources") + F.coalesce("_go", F.lit(0))).drop("_go")
+    return out.na.fill(0).drop("_g")

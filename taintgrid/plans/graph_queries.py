@@ -443,50 +443,76 @@ def step_effect(nodes):
         "method_id", "node", F.when(F.col("value") > 30, 0.95).otherwise(0.7).alias("san_confidence"), F.array(F.lit("SQL_INJECTION")).alias("san_kinds"))
 
 
-_WEIGHT = """wn AS (SELECT method_id, node_id AS node, CASE kind WHEN 'view' THEN 'LAMBDA_CAPTURE' WHEN 'click' THEN 'COLLECTION_ITEM' ELSE 'METHOD_CALL' END AS kind,
-  is_source, is_sink, is_sanitizer, value > 60 AS in_loop, value FROM s_nodes),
-wx AS (SELECT method_id, node AS source, node, CAST(1.0 AS DOUBLE) AS conf, false AS partial, false AS sink, 0 AS depth FROM wn WHERE is_source
-  UNION ALL SELECT * FROM (SELECT x.method_id, x.source, e.dst AS node,
-    round(x.conf * ((CASE WHEN e.is_conditional THEN 0.80 ELSE 1.0 END) * (CASE WHEN e.edge_kind = 'aliases' THEN 0.92 ELSE 1.0 END) * (CASE WHEN n.in_loop THEN 0.90 ELSE 1.0 END)
+_WN = """wn AS MATERIALIZED (SELECT method_id, node_id AS node, CASE kind WHEN 'view' THEN 'LAMBDA_CAPTURE' WHEN 'click' THEN 'COLLECTION_ITEM' ELSE 'METHOD_CALL' END AS kind,
+  is_source, is_sink, is_sanitizer, value > 60 AS in_loop, line % 5 = 0 AS is_async, value FROM s_nodes)"""
+# one hop: from walk x over edge e to node n
+_STEP_CONF = """round(x.conf * ((CASE WHEN e.is_conditional THEN 0.80 ELSE 1.0 END) * (CASE WHEN e.edge_kind = 'aliases' THEN 0.92 ELSE 1.0 END) * (CASE WHEN n.in_loop THEN 0.90 ELSE 1.0 END)
       * (CASE WHEN n.kind = 'COLLECTION_ITEM' THEN 0.85 ELSE 1.0 END) * (CASE WHEN n.kind = 'LAMBDA_CAPTURE' THEN 0.88 ELSE 1.0 END)
-      * (CASE WHEN x.partial THEN 0.75 ELSE 1.0 END) * (CASE WHEN x.depth > 5 THEN pow(0.95, x.depth - 5) ELSE 1.0 END))::DOUBLE + 1e-9, 4) AS conf,
-    n.is_sanitizer AS partial, n.is_sink AS sink, x.depth + 1 AS depth
-    FROM wx x JOIN s_edges e ON e.method_id = x.method_id AND e.src = x.node JOIN wn n ON n.node = e.dst
-    WHERE NOT x.sink AND x.depth < 8 AND NOT (n.is_sanitizer AND n.value > 30)) q WHERE conf >= 0.3)"""
+      * (CASE WHEN x.partial THEN 0.75 ELSE 1.0 END) * (CASE WHEN x.depth > 5 THEN pow(0.95, x.depth - 5) ELSE 1.0 END))::DOUBLE + 1e-9, 4)"""
+# all walks, those of equal state counted: fate as in the operator; walks go forward in time, so none has a cycle
+_WEIGHT = f"""wx AS (SELECT method_id, node AS source, node, CAST(1.0 AS DOUBLE) AS conf, false AS partial, 'go' AS fate, 0 AS depth, 1::BIGINT AS n FROM wn WHERE is_source
+  UNION ALL SELECT method_id, source, node, conf, partial, fate, depth, sum(n)::BIGINT FROM (
+    SELECT x.method_id, x.source, e.dst AS node, {_STEP_CONF} AS conf, n.is_sanitizer AS partial,
+      CASE WHEN {_STEP_CONF} < 0.3 THEN 'weak' WHEN n.is_sanitizer AND n.value > 30 THEN 'blocked' WHEN n.is_sink THEN 'sink' ELSE 'go' END AS fate, x.depth + 1 AS depth, x.n
+    FROM wx x JOIN s_edges e ON e.method_id = x.method_id AND e.src = x.node JOIN wn n ON n.node = e.dst WHERE x.fate = 'go') q GROUP BY ALL)"""
 
 
-@case("tnt_weighted", step_ctes(_WEIGHT) + "SELECT source, node AS sink, max(conf) AS confidence FROM wx WHERE sink GROUP BY 1, 2")
-def tnt_weighted(spark, d):
+def weighted_inputs(spark, d):
     n, edges = step_graph(spark, d)
-    src = n.where("is_source").select("method_id", "node", F.lit("USER_INPUT").alias("taint_label"))
-    out = W.propagate_weighted(n, edges, src, SM, step_effect(n), max_depth=8)
+    return n, edges, n.where("is_source").select("method_id", "node", F.lit("USER_INPUT").alias("taint_label"))
+
+
+@case("tnt_weighted", step_ctes(_WN, _WEIGHT) + "SELECT source, node AS sink, max(conf) AS confidence FROM wx WHERE fate = 'sink' GROUP BY 1, 2")
+def tnt_weighted(spark, d):
+    n, edges, src = weighted_inputs(spark, d)
+    out = W.propagate_weighted(n, edges, src, SM, step_effect(n))
     return W.dedupe_weighted(out, SM).select("source", "sink", "confidence")
 
 
-@case("tnt_weighted_paths", step_ctes(_WEIGHT.replace("x.depth < 8", "x.depth < 4")) + "SELECT source, node AS sink, count(*) AS n, max(conf) AS confidence FROM wx WHERE sink GROUP BY 1, 2")
+@case("tnt_weighted_paths", step_ctes(_WN, _WEIGHT) + "SELECT source, node AS sink, sum(n)::BIGINT AS n, max(conf) AS confidence FROM wx WHERE fate = 'sink' GROUP BY 1, 2")
 def tnt_weighted_paths(spark, d):
-    n, edges = step_graph(spark, d)
-    src = n.where("is_source").select("method_id", "node", F.lit("USER_INPUT").alias("taint_label"))
-    out = W.propagate_weighted(n, edges, src, SM, step_effect(n), mode="all", max_depth=4)
+    n, edges, src = weighted_inputs(spark, d)
+    out = W.propagate_weighted(n, edges, src, SM, step_effect(n), mode="all")
     return out.groupBy("source", "sink").agg(F.count(F.lit(1)).alias("n"), F.max("confidence").alias("confidence"))
 
 
-@case("tnt_weighted_tags")
+# the best walk per source, node and level, with what its tags and texts need
+_BEST = f"""wb AS (SELECT method_id, node AS source, node, 0 AS depth, {{'conf': CAST(1.0 AS DOUBLE), 'cond': false, 'asyn': false, 'partial': false, 'path': [node], 'lam': false, 'coll': false, 'sum': CAST(node AS VARCHAR)}} AS s, false AS stop,
+    false AS was_cond, false AS was_async, false AS was_partial FROM wn WHERE is_source
+  UNION ALL SELECT method_id, source, node, depth, arg_min(s, struct_pack(a := -s.conf, b := was_cond, c := s.path)), stop, arg_min(was_cond, struct_pack(a := -s.conf, b := was_cond, c := s.path)),
+    arg_min(was_async, struct_pack(a := -s.conf, b := was_cond, c := s.path)), arg_min(was_partial, struct_pack(a := -s.conf, b := was_cond, c := s.path)) FROM (
+    SELECT x.method_id, x.source, e.dst AS node, x.depth + 1 AS depth, n.is_sink AS stop, x.cond AS was_cond, x.asyn AS was_async, x.partial AS was_partial,
+      {{'conf': {_STEP_CONF}, 'cond': x.cond OR e.is_conditional, 'asyn': x.asyn OR n.is_async, 'partial': n.is_sanitizer, 'path': list_append(x.path, e.dst),
+        'lam': x.lam OR n.kind = 'LAMBDA_CAPTURE', 'coll': x.coll OR n.kind = 'COLLECTION_ITEM',
+        'sum': x.sum || ' -> ' || e.dst || ' [' || e.edge_kind || ']' || CASE WHEN e.is_conditional THEN ' (conditional)' ELSE '' END}} AS s
+    FROM (SELECT method_id, source, node, depth, stop, unnest(s) FROM wb) x JOIN s_edges e ON e.method_id = x.method_id AND e.src = x.node JOIN wn n ON n.node = e.dst
+    WHERE NOT x.stop AND NOT (n.is_sanitizer AND n.value > 30) AND {_STEP_CONF} >= 0.3) q GROUP BY method_id, source, node, depth, stop),
+bestw AS (SELECT source, node AS sink, s.conf AS conf, s.sum AS summary, was_cond, list_filter([CASE WHEN was_async THEN 'async_taint_flow' END, CASE WHEN s.lam THEN 'lambda_capture_taint' END, CASE WHEN s.coll THEN 'collection_taint_flow' END,
+    CASE WHEN was_partial THEN 'partial_sanitizer_bypass' END, CASE WHEN wn.in_loop THEN 'sink_in_loop' END], lambda t: t IS NOT NULL) AS tags
+  FROM wb JOIN wn USING (node) WHERE stop QUALIFY row_number() OVER (PARTITION BY source, node ORDER BY s.conf DESC, depth, s.path) = 1)"""
+_ADVICE = "CASE t " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in W.TAG_ADVICE.items()) + " END"
+
+
+@case("tnt_weighted_tags", step_ctes(_WN, _BEST) + f"""
+SELECT source, sink, array_to_string(tags, ',') AS tags, summary, array_to_string(list_transform(tags, lambda t: {_ADVICE}), ' ') AS advice, NOT was_cond AND conf >= 0.85 AS is_definitely_reachable FROM bestw""")
 def tnt_weighted_tags(spark, d):
-    n, edges = step_graph(spark, d)
-    src = n.where("is_source").select("method_id", "node", F.lit("USER_INPUT").alias("taint_label"))
-    best = W.dedupe_weighted(W.weighted_results(W.propagate_weighted(n, edges, src, SM, step_effect(n), max_depth=6), n, SM), SM)
+    n, edges, src = weighted_inputs(spark, d)
+    best = W.dedupe_weighted(W.weighted_results(W.propagate_weighted(n, edges, src, SM, step_effect(n)), n, SM), SM)
     return W.path_summary(best).select("source", "sink", F.array_join("tags", ",").alias("tags"), "summary", "advice", "is_definitely_reachable")
 
 
-@case("tnt_weighted_stats", step_ctes(_WEIGHT) + """
-SELECT (SELECT count(*) FROM wn WHERE is_source) AS sources, count(DISTINCT (source, node)) AS results, count(DISTINCT (source, node)) FILTER (n.in_loop) AS loop_flows
-FROM wx JOIN wn n USING (node) WHERE sink""")
+@case("tnt_weighted_stats", step_ctes(_WN, _WEIGHT, _BEST) + """
+SELECT (SELECT count(*) FROM wn WHERE is_source) AS sources, (SELECT count(*) FROM bestw) AS results, (SELECT count(*) FROM bestw WHERE list_contains(tags, 'sink_in_loop')) AS loop_flows,
+  (SELECT count(*) FROM bestw WHERE list_contains(tags, 'async_taint_flow')) AS async_flows, (SELECT count(*) FROM bestw WHERE list_contains(tags, 'partial_sanitizer_bypass')) AS partial_sanitizers,
+  sum(n) FILTER (fate = 'go')::BIGINT AS visited, sum(n) FILTER (fate = 'blocked')::BIGINT AS blocked, 0::BIGINT AS cycles, sum(n) FILTER (fate = 'weak')::BIGINT AS weak, 0::BIGINT AS depth_hits,
+  max(depth) FILTER (fate IN ('go', 'sink')) AS deepest, 0::BIGINT AS inter_procedural FROM wx""")
 def tnt_weighted_stats(spark, d):
-    n, edges = step_graph(spark, d)
-    src = n.where("is_source").select("method_id", "node", F.lit("USER_INPUT").alias("taint_label"))
-    best = W.dedupe_weighted(W.weighted_results(W.propagate_weighted(n, edges, src, SM, step_effect(n), max_depth=8), n, SM), SM)
-    return W.propagation_stats(best, src, n, []).select("sources", "results", "loop_flows")
+    """Counters over all walks; results and their flags over the best walk of each source and sink."""
+    n, edges, src = weighted_inputs(spark, d)
+    every, levels = W.propagate_counted(n, edges, src, SM, step_effect(n), mode="all")
+    best = W.dedupe_weighted(W.weighted_results(every, n, SM), SM)
+    return W.propagation_stats(best, src, n, [], levels).select(
+        "sources", "results", "loop_flows", "async_flows", "partial_sanitizers", "visited", "blocked", "cycles", "weak", "depth_hits", "deepest", "inter_procedural")
 
 
 @case("tnt_sanitizer_effect", fact_ctes("san AS (SELECT DISTINCT full_symbol AS symbol FROM f_role WHERE is_san)") + """

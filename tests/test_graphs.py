@@ -2,8 +2,12 @@
 
 import random
 
+import pytest
+
+from taintgrid.operators import cycles
 from taintgrid.operators import graph as G
 from taintgrid.operators.lines import between_lines, near_lines
+from taintgrid.operators.state import Levels, bucketed, counted
 from taintgrid.session import ranked
 
 K = ["g"]
@@ -42,6 +46,64 @@ def test_components_and_dominators_match_brute_force(spark):
             assert doms[(g, v)] == {u for u in reach(es, 0) if u == v or v not in reach(es, 0, without=u)}
 
 
+def largest_in_component(edges):
+    out = set()
+    for v in {x for e in edges for x in e}:
+        ahead = {y for a, b in edges if a == v for y in reach(edges, b)}
+        if v in ahead:
+            out.add((v, max(y for y in ahead if any(v in reach(edges, b) for a, b in edges if a == y))))
+    return out
+
+
+@pytest.mark.parametrize("small", [62, 3])
+def test_components_of_small_large_and_dense_graphs(spark, small, monkeypatch):
+    monkeypatch.setattr(cycles, "SMALL", small)
+    rnd = random.Random(8)
+    graphs = {}
+    for g in range(14):
+        n = rnd.choice([3, 6, 20, 70])
+        graphs[g] = sorted({(rnd.randrange(n), rnd.randrange(n)) for _ in range(int(n * rnd.choice([0.8, 1.2, 2.5])))})
+    graphs[50] = [(i, (i + 1) % 90) for i in range(90)]  # one ring
+    got = {(r.g, r.node, r.component) for r in G.components(frames(spark, graphs), K).collect()}
+    assert got == {(g, *x) for g, es in graphs.items() for x in largest_in_component(es)}
+    # one graph without keys, with names as nodes
+    names = [(f"n{a:02}", f"n{b:02}") for a, b in graphs[50] + [(90, 91)]]
+    one = spark.createDataFrame(names, "src string, dst string")
+    assert {(r.node, r.component) for r in G.components(one, []).collect()} == {(f"n{i:02}", "n89") for i in range(90)}
+
+
+def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
+    rounds = []
+    monkeypatch.setattr(cycles, "checkpoint", lambda df, real=cycles.checkpoint: rounds.append(1) or real(df))
+    writes = []
+    monkeypatch.setattr(cycles, "counted", lambda df, by=None, real=cycles.counted: writes.append(1) or real(df, by))
+    chain = spark.range(3000).selectExpr("1 as g", "id as src", "id + 1 as dst")
+    assert G.components(chain, K).count() == 0
+    assert len(writes) <= 5 * 14 and len(rounds) <= 14  # five tables a round, one on the way back
+
+
+def test_closure_moves_the_frontier_only(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        edges = bucketed(spark.range(50).selectExpr("1 as g", "id as src", "id + 1 as dst"), ["g", "src"])
+        seen = Levels(["g", "node"])
+        first, n = counted(spark.range(1).selectExpr("1 as g", "id as node"), ["g", "node"])
+        seen.add(first, n)
+        step = first.selectExpr("g", "node as src").join(edges, ["g", "src"]).selectExpr("g", "dst as node").distinct()
+        plan = seen.without(step)._jdf.queryExecution().executedPlan().toString()
+        assert n == 1 and plan.count("Exchange") == 1  # that of distinct: neither edges nor what was seen moves
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_levels_are_merged_and_nothing_is_lost(spark):
+    seen = Levels(["node"])
+    for i in range(20):
+        seen.add(*counted(spark.range(i * 10, i * 10 + 10).withColumnRenamed("id", "node"), ["node"]))
+    assert len(seen.parts) <= Levels.MOST + 1 and sorted(r.node for r in seen.all().collect()) == list(range(200))
+    assert seen.without(spark.range(190, 210).withColumnRenamed("id", "node")).count() == 10
+
+
 def test_all_paths_hit_matches_deletion(spark):
     graphs = {s: random_edges(s + 50) for s in range(12)}
     pairs = spark.createDataFrame([(g, 0, 6) for g in graphs], "g int, source int, target int")

@@ -50,3 +50,23 @@ def test_best_walk_has_the_confidence_of_the_best_path(spark):
     best = W.propagate_weighted(n, e, src, ["g"]).agg(F.max("confidence")).first()[0]
     every = W.propagate_weighted(n, e, src, ["g"], mode="all").agg(F.max("confidence")).first()[0]
     assert best == every == 0.828
+
+
+def test_counters_of_walks_by_fate(spark):
+    n = spark.createDataFrame(
+        [(i, "METHOD_CALL", i == 0, i == 3, i == 4, False, False) for i in range(7)],
+        "node int, kind string, is_source boolean, is_sink boolean, is_sanitizer boolean, is_async boolean, is_in_loop boolean").withColumn("g", F.lit(1))
+    e = spark.createDataFrame(
+        [(0, 1), (1, 2), (2, 0), (2, 1), (2, 3), (1, 4), (4, 5), (3, 6)], "src int, dst int").selectExpr("src", "dst", "'flows_to' as edge_kind", "src = 1 and dst = 2 as is_conditional", "1 as g")
+    src = n.where("is_source").select("g", "node", F.lit("USER_INPUT").alias("taint_label"))
+    effect = n.where("is_sanitizer").select("g", "node", F.lit(0.95).alias("san_confidence"), F.expr("cast(null as array<string>)").alias("san_kinds"))
+    for mode in ("all", "best"):
+        out, levels = W.propagate_counted(n, e, src, ["g"], effect, mode=mode)
+        stats = W.propagation_stats(W.weighted_results(out, n, ["g"]), src, n, ["g"], levels).first()
+        assert (stats.sources, stats.results, stats.visited, stats.blocked, stats.cycles, stats.weak, stats.depth_hits, stats.deepest) == (1, 1, 3, 1, 2, 0, 0, 3)
+    out, levels = W.propagate_counted(n, e, src, ["g"], effect, max_depth=1)
+    assert out.count() == 0 and {(r.depth, r.fate): r.n for r in levels.collect()} == {(0, "go"): 1, (1, "deep"): 2}
+    weak = W.propagate_counted(n, e, src, ["g"], effect, min_confidence=0.9)[1]
+    assert {r.fate for r in weak.collect()} == {"go", "weak", "blocked"}
+    edges = W.taint_edges(W.dedupe_weighted(W.propagate_weighted(n, e, src, ["g"], effect), ["g"]), ["g"]).collect()
+    assert [(r.src, r.dst, r.edge_kind, r.confidence) for r in edges] == [(0, 3, "taints", 0.8)]
