@@ -13,8 +13,9 @@ from itertools import count
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from taintgrid.operators import masks
 from taintgrid.operators.cycles import contracted_components
-from taintgrid.operators.state import Levels, bucketed, counted
+from taintgrid.operators.state import Levels, bucketed, stored
 from taintgrid.session import checkpoint, top_n
 
 
@@ -51,21 +52,21 @@ def closure(
             gone.withColumnRenamed("node", "dst"), [*keys, "dst"], "left_anti"
         )
     edges = bucketed(edges, [*keys, "src"])
-    frontier, n = counted(seeds.select(*ident).distinct().withColumn("depth", F.lit(0)), ident)
+    level = stored(seeds.select(*ident).distinct().withColumn("depth", F.lit(0)), ident)
     seen = Levels(ident)
-    seen.add(frontier, n)
+    seen.add(level)
     for depth in count(1):
-        if not n or (max_depth is not None and depth > max_depth):
+        if not level.rows or (max_depth is not None and depth > max_depth):
             break
         step = (
-            frontier.select(*keys, *tags, F.col("node").alias("src"))
+            level.frame.select(*keys, *tags, F.col("node").alias("src"))
             .join(edges, [*keys, "src"])
             .select(*keys, *tags, F.col("dst").alias("node"))
             .distinct()
         )
-        frontier, n = counted(seen.without(step).withColumn("depth", F.lit(depth)), ident)
-        if n:
-            seen.add(frontier, n)
+        level = stored(seen.without(step).withColumn("depth", F.lit(depth)), ident)
+        if level.rows:
+            seen.add(level)
     return seen.all()
 
 
@@ -317,47 +318,49 @@ def on_all_paths(edges: DataFrame, pairs: DataFrame, keys: list[str]) -> DataFra
 def all_paths_hit(edges: DataFrame, pairs: DataFrame, marked: DataFrame, keys: list[str]) -> DataFrame:
     """Pairs plus `is_hit`: every path source -> target meets a marked node (ends count).
 
-    False without a path. One loop walks two copies of the graph: `clean` rows have met no marked
-    node yet. The pair is hit when the target is reached, but never clean.
+    False without a path. Two masks spread from all sources at once: by `mask` a source reaches a node, by `clean` it does so
+    without a marked node so far. The pair is hit when the target is reached, but never clean.
     """
     marks = marked.select(*keys, "node").distinct().withColumn("_m", F.lit(True))
     # each edge knows whether its end is marked, so a round is one join with the edges
-    edges = checkpoint(
-        edges.select(*keys, "src", "dst").distinct()
-        .join(marks.withColumnRenamed("node", "dst"), [*keys, "dst"], "left")
-        .select(*keys, "src", "dst", F.col("_m").isNull().alias("open"))
-    )
-    starts = pairs.select(*keys, "source").distinct().withColumn("node", F.col("source")).join(marks, [*keys, "node"], "left")
-    ident = [*keys, "source", "node", "clean"]
-    frontier = checkpoint(starts.withColumn("clean", F.col("_m").isNull()).select(*ident))
-    seen = [frontier]
-    while True:
-        step = (
-            frontier.select(*keys, "source", "clean", F.col("node").alias("src")).join(edges, [*keys, "src"])
-            .select(*keys, "source", F.col("dst").alias("node"), (F.col("clean") & F.col("open")).alias("clean")).distinct()
-        )
-        step = step.join(_union(seen), ident, "left_anti")
-        frontier = checkpoint(step)
-        if frontier.isEmpty():
-            break
-        seen = _seen_union([*seen, frontier])
-    met = _union(seen).groupBy(*keys, "source", F.col("node").alias("target")).agg(F.max(F.col("clean").cast("int")).alias("_clean"))
-    return pairs.join(met, [*keys, "source", "target"], "left").withColumn(
-        "is_hit", F.coalesce(F.col("_clean") == 0, F.lit(False))
-    ).drop("_clean")
+    edges = edges.select(*keys, "src", "dst").distinct().join(marks.withColumnRenamed("node", "dst"), [*keys, "dst"], "left").select(
+        *keys, "src", "dst", F.col("_m").isNull().alias("open"))
+    numbers = checkpoint(masks.numbered(pairs, keys, "source"))
+    starts = numbers.withColumn("node", F.col("source")).join(marks, [*keys, "node"], "left")
+    starts = starts.select(*keys, "grp", "node", masks.one_bit().alias("mask"), F.when(F.col("_m").isNull(), masks.one_bit()).otherwise(F.lit(0).cast("bigint")).alias("clean"))
+    met = masks.spread(edges, starts, keys, {"mask": None, "clean": F.col("open")}).withColumnRenamed("node", "target")
+    asked = pairs.select(*keys, "source", "target").distinct().join(numbers, [*keys, "source"])
+    hit = asked.join(met, [*keys, "grp", "target"]).where(masks.holds("mask") & ~masks.holds("clean")).select(*keys, "source", "target", F.lit(True).alias("_hit"))
+    return pairs.join(hit, [*keys, "source", "target"], "left").withColumn("is_hit", F.coalesce("_hit", F.lit(False))).drop("_hit")
 
 
 def on_any_path(edges: DataFrame, pairs: DataFrame, marked: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, source, target, node): marked nodes, other than the ends, on some walk source -> target."""
-    ahead = closure(edges, pairs.select(*keys, "source", F.col("source").alias("node")).distinct(), keys)
-    back = _toward(edges, pairs, keys).withColumnRenamed("goal", "target")
-    hits = ahead.join(marked.select(*keys, "node").distinct(), [*keys, "node"], "left_semi")
+    asked = pairs.select(*keys, "source", "target").distinct()
+    from_, ahead = masks.reach(edges, asked, keys, "source")
+    to, behind = masks.reach(edges, asked, keys, "target", back=True)
+    marks = marked.select(*keys, "node").distinct()
+    # only marked nodes are written out seed by seed
+    sources = masks.met(ahead.join(marks, [*keys, "node"], "left_semi"), from_, keys)
+    targets = masks.met(behind.join(marks, [*keys, "node"], "left_semi"), to, keys)
     return (
-        hits.select(*keys, "source", "node").join(back, [*keys, "node"])
-        .join(pairs.select(*keys, "source", "target").distinct(), [*keys, "source", "target"], "left_semi")
-        .where("node <> source and node <> target")
-        .select(*keys, "source", "target", "node")
-    )
+        sources.join(asked, [*keys, "source"]).join(targets, [*keys, "node", "target"], "left_semi")
+        .where("node <> source and node <> target").select(*keys, "source", "target", "node"))
+
+
+def on_pair_walks(edges: DataFrame, pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, node): nodes on some walk from a source to a target of one of the pairs, its ends included. No pair is written out a node:
+    a source's targets are masks as well, and a node is on a walk if it reaches one of the targets of a source that reaches it."""
+    asked = pairs.select(*keys, "source", "target").distinct()
+    from_, ahead = masks.reach(edges, asked, keys, "source")
+    to, behind = masks.reach(edges, asked, keys, "target", back=True)
+    wanted = asked.join(to, [*keys, "target"]).groupBy(*keys, "source", "grp").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("_wanted"))
+    # sources with the same targets count once, as one mask of sources
+    alike = wanted.join(from_.select(*keys, "source", F.col("grp").alias("_g"), "bit"), [*keys, "source"]).groupBy(*keys, "_g", "grp", "_wanted").agg(
+        F.expr("bit_or(shiftleft(1L, bit))").alias("_sources"))
+    seen = ahead.select(*keys, "node", F.col("grp").alias("_g"), "mask").join(alike, [*keys, "_g"]).where(F.col("mask").bitwiseAND(F.col("_sources")) != 0)
+    open_ = seen.groupBy(*keys, "node", "grp").agg(F.expr("bit_or(_wanted)").alias("_wanted"))
+    return open_.join(behind, [*keys, "node", "grp"]).where(F.col("mask").bitwiseAND(F.col("_wanted")) != 0).select(*keys, "node").distinct()
 
 
 def topo_levels(nodes: DataFrame, edges: DataFrame, keys: list[str], entries: DataFrame | None = None) -> DataFrame:
@@ -400,15 +403,7 @@ def taint_subgraph(nodes: DataFrame, edges: DataFrame, keys: list[str], pairs: D
     """(nodes, edges). With pairs (source, target): the nodes on paths between them. Without: all
     tainted nodes and their direct successors."""
     if pairs is not None:
-        every = nodes.select(*keys, "node")
-        ends = pairs.select(*keys, F.col("source").alias("node")).union(pairs.select(*keys, F.col("target").alias("node")))
-        walks = on_any_path(edges, pairs, every, keys).select(*keys, "node")
-        linked = closure(edges, pairs.select(*keys, "source", F.col("source").alias("node")), keys).join(
-            pairs.select(*keys, "source", F.col("target").alias("node")), [*keys, "source", "node"], "left_semi")
-        ends = ends.join(
-            linked.select(*keys, F.col("source").alias("node")).union(linked.select(*keys, "node")).distinct(),
-            [*keys, "node"], "left_semi")
-        ids = walks.union(ends).distinct()
+        ids = on_pair_walks(edges, pairs, keys)
     else:
         hot = nodes.where("is_tainted").select(*keys, "node")
         ids = hot.union(neighbors(edges, hot, keys).select(*keys, F.col("dst").alias("node"))).distinct()

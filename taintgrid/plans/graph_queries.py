@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from taintgrid.operators import build as B
@@ -65,38 +66,37 @@ def grf_induced(spark, d):
     return G.induced_edges(edges, kept, SM).select("src", "dst", "edge_kind")
 
 
-_PAIRS = """ends AS (SELECT method_id, min(node_id) FILTER (is_source) AS s, max(node_id) FILTER (is_sink) AS t FROM s_nodes GROUP BY 1),
-pairs AS (SELECT method_id, s AS source, t AS target FROM ends WHERE s IS NOT NULL AND t IS NOT NULL)"""
-_WALK = """walk AS (SELECT p.method_id, p.source, p.target, p.source AS node, [p.source] AS path FROM pairs p
-  UNION ALL SELECT w.method_id, w.source, w.target, e.dst, list_append(w.path, e.dst) FROM walk w JOIN s_edges2 e ON e.method_id = w.method_id AND e.src = w.node
-  WHERE w.node <> w.target AND len(w.path) <= {n} AND NOT list_contains(w.path, e.dst))"""
+# every source with every sink of its walk
+_PAIRS = """pairs AS (SELECT a.method_id, a.node_id AS source, b.node_id AS target FROM s_nodes a JOIN s_nodes b ON b.method_id = a.method_id WHERE a.is_source AND b.is_sink)"""
 _E2 = "s_edges2 AS (SELECT DISTINCT method_id, src, dst FROM s_edges)"
 
 
 def step_pairs(nodes):
-    ends = nodes.groupBy("method_id").agg(
-        F.min(F.when(F.col("is_source"), F.col("node_id"))).alias("source"), F.max(F.when(F.col("is_sink"), F.col("node_id"))).alias("target"))
-    return ends.where("source is not null and target is not null")
+    sources = nodes.where("is_source").select("method_id", F.col("node_id").alias("source"))
+    return sources.join(nodes.where("is_sink").select("method_id", F.col("node_id").alias("target")), "method_id")
 
 
-@case("grf_simple_paths", step_ctes(_PAIRS, _E2, _WALK.format(n=5)) + """
-SELECT method_id, path_no, len(path) - 1 AS hops, array_to_string(path, '>') AS path FROM (
-  SELECT *, row_number() OVER (PARTITION BY method_id ORDER BY len(path), path) AS path_no FROM walk WHERE node = target AND len(path) > 1) WHERE path_no <= 5""")
+@case("grf_simple_paths", step_ctes(_E2, """walk AS (SELECT method_id, node_id AS source, node_id AS node, [node_id] AS path FROM s_nodes WHERE is_source
+  UNION ALL SELECT w.method_id, w.source, e.dst, list_append(w.path, e.dst) FROM walk w JOIN s_edges2 e ON e.method_id = w.method_id AND e.src = w.node WHERE NOT list_contains(w.path, e.dst))""") + """
+SELECT w.method_id, w.source, w.node AS target, row_number() OVER (PARTITION BY w.method_id, w.source, w.node ORDER BY len(path), path) AS path_no, len(path) - 1 AS hops, array_to_string(path, '>') AS path
+FROM walk w JOIN s_nodes n ON n.method_id = w.method_id AND n.node_id = w.node WHERE n.is_sink AND len(path) > 1""")
 def grf_simple_paths(spark, d):
     nodes, edges = steps(spark, d)
-    out = G.simple_paths(edges, step_pairs(nodes), SM, cutoff=5, max_paths=5)
-    return out.select("method_id", "path_no", "hops", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
+    out = G.simple_paths(edges, step_pairs(nodes), SM)
+    place = Window.partitionBy("method_id", "source", "target").orderBy("hops", "path")
+    return out.withColumn("path_no", F.row_number().over(place)).select(
+        "method_id", "source", "target", "path_no", "hops", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
 
 
-@case("grf_shortest_paths", step_ctes(_PAIRS, _E2, """bfs AS (SELECT method_id, source, target, source AS node, [source] AS path FROM pairs
-  UNION ALL SELECT b.method_id, b.source, b.target, b.dst, min(b.np) FROM (SELECT b.method_id, b.source, b.target, e.dst, list_append(b.path, e.dst) AS np
-    FROM bfs b JOIN s_edges2 e ON e.method_id = b.method_id AND e.src = b.node) b GROUP BY 1, 2, 3, 4)""") + """
-SELECT method_id, arg_min(len(path) - 1, struct_pack(n := len(path), p := path)) AS hops, array_to_string(arg_min(path, struct_pack(n := len(path), p := path)), '>') AS path
-FROM bfs WHERE node = target GROUP BY method_id""")
+@case("grf_shortest_paths", step_ctes(_E2, """bfs AS (SELECT method_id, node_id AS source, node_id AS node, [node_id] AS path FROM s_nodes WHERE is_source
+  UNION ALL SELECT b.method_id, b.source, b.dst, min(b.np) FROM (SELECT b.method_id, b.source, e.dst, list_append(b.path, e.dst) AS np
+    FROM bfs b JOIN s_edges2 e ON e.method_id = b.method_id AND e.src = b.node) b GROUP BY 1, 2, 3)""") + """
+SELECT b.method_id, b.source, b.node AS target, min(len(path) - 1) AS hops, array_to_string(arg_min(path, struct_pack(n := len(path), p := path)), '>') AS path
+FROM bfs b JOIN s_nodes n ON n.method_id = b.method_id AND n.node_id = b.node WHERE n.is_sink GROUP BY 1, 2, 3""")
 def grf_shortest_paths(spark, d):
     nodes, edges = steps(spark, d)
     out = G.shortest_paths(edges, step_pairs(nodes), SM)
-    return out.select("method_id", "hops", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
+    return out.select("method_id", "source", "target", "hops", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
 
 
 # --- control flow -----------------------------------------------------------------------
@@ -160,8 +160,8 @@ def grf_all_paths_hit(spark, d):
     return G.all_paths_hit(B.clean_cfg(f)[1], cfg_ends(f), marked, M).select("method_id", "target", "is_hit")
 
 
-_FWD = """fwd AS (SELECT method_id, source, source AS node FROM pairs UNION SELECT f.method_id, f.source, e.dst FROM fwd f JOIN s_edges2 e ON e.method_id = f.method_id AND e.src = f.node),
-bwd AS (SELECT method_id, target, target AS node FROM pairs UNION SELECT b.method_id, b.target, e.src FROM bwd b JOIN s_edges2 e ON e.method_id = b.method_id AND e.dst = b.node)"""
+_FWD = """fwd AS (SELECT DISTINCT method_id, source, source AS node FROM pairs UNION SELECT f.method_id, f.source, e.dst FROM fwd f JOIN s_edges2 e ON e.method_id = f.method_id AND e.src = f.node),
+bwd AS (SELECT DISTINCT method_id, target, target AS node FROM pairs UNION SELECT b.method_id, b.target, e.src FROM bwd b JOIN s_edges2 e ON e.method_id = b.method_id AND e.dst = b.node)"""
 
 
 @case("grf_on_any_path", step_ctes(_PAIRS, _E2, _FWD) + """

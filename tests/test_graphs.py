@@ -3,11 +3,12 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from taintgrid.operators import cycles
 from taintgrid.operators import graph as G
 from taintgrid.operators.lines import between_lines, near_lines
-from taintgrid.operators.state import Levels, bucketed, counted
+from taintgrid.operators.state import Levels, bucketed, stored
 from taintgrid.session import ranked
 
 K = ["g"]
@@ -87,11 +88,11 @@ def test_closure_moves_the_frontier_only(spark):
     try:
         edges = bucketed(spark.range(50).selectExpr("1 as g", "id as src", "id + 1 as dst"), ["g", "src"])
         seen = Levels(["g", "node"])
-        first, n = counted(spark.range(1).selectExpr("1 as g", "id as node"), ["g", "node"])
-        seen.add(first, n)
-        step = first.selectExpr("g", "node as src").join(edges, ["g", "src"]).selectExpr("g", "dst as node").distinct()
+        first = stored(spark.range(1).selectExpr("1 as g", "id as node"), ["g", "node"])
+        seen.add(first)
+        step = first.frame.selectExpr("g", "node as src").join(edges, ["g", "src"]).selectExpr("g", "dst as node").distinct()
         plan = seen.without(step)._jdf.queryExecution().executedPlan().toString()
-        assert n == 1 and plan.count("Exchange") == 1  # that of distinct: neither edges nor what was seen moves
+        assert first.rows == 1 and plan.count("Exchange") == 1  # that of distinct: neither edges nor what was seen moves
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
@@ -99,11 +100,37 @@ def test_closure_moves_the_frontier_only(spark):
 def test_levels_are_merged_and_nothing_is_lost(spark):
     seen = Levels(["node"])
     for i in range(20):
-        seen.add(*counted(spark.range(i * 10, i * 10 + 10).withColumnRenamed("id", "node"), ["node"]))
+        seen.add(stored(spark.range(i * 10, i * 10 + 10).withColumnRenamed("id", "node"), ["node"]))
     assert len(seen.parts) <= Levels.MOST + 1 and sorted(r.node for r in seen.all().collect()) == list(range(200))
     assert seen.without(spark.range(190, 210).withColumnRenamed("id", "node")).count() == 10
 
 
+def test_folded_levels_have_each_key_once(spark):
+    seen = Levels(["node"], lambda df: df.groupBy("node").agg(F.bit_or("mask").alias("mask")))
+    for i in range(9):
+        seen.add(stored(spark.range(40).selectExpr("id as node", f"1L << {i} as mask"), ["node"]))
+    assert [(r.node, r.mask) for r in seen.fold(seen.all()).orderBy("node").collect()] == [(i, 511) for i in range(40)]
+
+
+def test_masks_of_many_seeds_match_brute_force(spark):
+    rnd = random.Random(2)
+    graphs = {0: [(i, i + 1) for i in range(90)] + [(rnd.randrange(90), rnd.randrange(90)) for _ in range(20)], 1: random_edges(4)}
+    pairs = [(g, rnd.randrange(n), rnd.randrange(n)) for g, n in ((0, 90), (1, 7)) for _ in range(220)]  # more than 64 seeds a graph
+    marked = [(0, v) for v in range(0, 90, 7)] + [(1, 2), (1, 4)]
+    p, m = spark.createDataFrame(pairs, "g int, source int, target int"), spark.createDataFrame(marked, "g int, node int")
+    df = frames(spark, graphs)
+    ahead = {(g, v): reach(es, v) for g, es in graphs.items() for v in range(91)}
+    want = {(g, s, t, v) for g, s, t in pairs for h, v in marked if g == h and v in ahead[g, s] and t in ahead[g, v] and v not in (s, t)}
+    assert {(r.g, r.source, r.target, r.node) for r in G.on_any_path(df, p, m, K).collect()} == want
+    nodes = {(g, v) for g, s, t in pairs for v in range(91) if v in ahead[g, s] and t in ahead[g, v]}
+    assert {(r.g, r.node) for r in G.on_pair_walks(df, p, K).collect()} == nodes
+    clean = {g: [(a, b) for a, b in es if (g, b) not in marked] for g, es in graphs.items()}
+    got = {(r.g, r.source, r.target): r.is_hit for r in G.all_paths_hit(df, p, m, K).collect()}
+    for g, s, t in pairs:
+        free = (g, s) not in marked and t in reach(clean[g], s)
+        assert got[g, s, t] == (t in ahead[g, s] and not free)
+
+
 def test_all_paths_hit_matches_deletion(spark):
     graphs = {s: random_edges(s + 50) for s in range(12)}
     pairs = spark.createDataFrame([(g, 0, 6) for g in graphs], "g int, source int, target int")
