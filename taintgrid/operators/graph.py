@@ -52,7 +52,7 @@ def closure(
             gone.withColumnRenamed("node", "dst"), [*keys, "dst"], "left_anti"
         )
     edges = bucketed(edges, [*keys, "src"])
-    level = stored(seeds.select(*ident).distinct().withColumn("depth", F.lit(0)), ident)
+    level = stored(seeds.select(*ident).distinct().withColumn("depth", F.lit(0)), ident, dealt=True)
     seen = Levels(ident)
     seen.add(level)
     for depth in count(1):
@@ -64,7 +64,7 @@ def closure(
             .select(*keys, *tags, F.col("dst").alias("node"))
             .distinct()
         )
-        level = stored(seen.without(step).withColumn("depth", F.lit(depth)), ident)
+        level = stored(seen.without(step).withColumn("depth", F.lit(depth)), ident, dealt=True)
         if level.rows:
             seen.add(level)
     return seen.all()

@@ -21,9 +21,9 @@ class Stored(NamedTuple):
     plain: DataFrame  # the same files read without buckets, for unions
 
 
-def stored(df: DataFrame, by: list[str] | None = None) -> Stored:
+def stored(df: DataFrame, by: list[str] | None = None, dealt: bool = False) -> Stored:
     """df written to the checkpoint folder, in buckets of the columns `by` if given, and its number of rows, which the write
-    itself counts.
+    itself counts. dealt: df comes from an aggregate or distinct by these columns, so its rows needn't move again.
 
     Unions must take the plain frame: Spark 4.1 takes a union of bucketed tables to be dealt by the buckets, yet may then
     read the tables without them, and an aggregate over the union would give a key twice.
@@ -38,7 +38,7 @@ def stored(df: DataFrame, by: list[str] | None = None) -> Stored:
         frame = spark.read.schema(df.schema).parquet(path)
         return Stored(frame, seen.get["n"], frame)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    out.repartition(n, *by).write.bucketBy(n, *by).option("path", path).saveAsTable(name)
+    (out if dealt else out.repartition(n, *by)).write.bucketBy(n, *by).option("path", path).saveAsTable(name)
     table = spark.table(name)
     # the frame has resolved its files and buckets; the name isn't needed any more and the files stay
     spark.sql(f"DROP TABLE {name}")

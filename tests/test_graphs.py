@@ -61,16 +61,16 @@ def test_components_of_small_large_and_dense_graphs(spark, small, monkeypatch):
     monkeypatch.setattr(cycles, "SMALL", small)
     rnd = random.Random(8)
     graphs = {}
-    for g in range(14):
-        n = rnd.choice([3, 6, 20, 70])
+    for g in range(10):
+        n = rnd.choice([3, 6, 20, 40])
         graphs[g] = sorted({(rnd.randrange(n), rnd.randrange(n)) for _ in range(int(n * rnd.choice([0.8, 1.2, 2.5])))})
-    graphs[50] = [(i, (i + 1) % 90) for i in range(90)]  # one ring
+    graphs[50] = [(i, (i + 1) % 70) for i in range(70)]  # one ring
     got = {(r.g, r.node, r.component) for r in G.components(frames(spark, graphs), K).collect()}
     assert got == {(g, *x) for g, es in graphs.items() for x in largest_in_component(es)}
     # one graph without keys, with names as nodes
-    names = [(f"n{a:02}", f"n{b:02}") for a, b in graphs[50] + [(90, 91)]]
+    names = [(f"n{a:02}", f"n{b:02}") for a, b in graphs[50] + [(70, 71)]]
     one = spark.createDataFrame(names, "src string, dst string")
-    assert {(r.node, r.component) for r in G.components(one, []).collect()} == {(f"n{i:02}", "n89") for i in range(90)}
+    assert {(r.node, r.component) for r in G.components(one, []).collect()} == {(f"n{i:02}", "n69") for i in range(70)}
 
 
 def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
@@ -78,9 +78,9 @@ def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
     monkeypatch.setattr(cycles, "checkpoint", lambda df, real=cycles.checkpoint: rounds.append(1) or real(df))
     writes = []
     monkeypatch.setattr(cycles, "counted", lambda df, by=None, real=cycles.counted: writes.append(1) or real(df, by))
-    chain = spark.range(3000).selectExpr("1 as g", "id as src", "id + 1 as dst")
+    chain = spark.range(1000).selectExpr("1 as g", "id as src", "id + 1 as dst")
     assert G.components(chain, K).count() == 0
-    assert len(writes) <= 5 * 14 and len(rounds) <= 14  # five tables a round, one on the way back
+    assert len(writes) <= 5 * 11 and len(rounds) <= 11  # five tables a round, one on the way back
 
 
 def test_closure_moves_the_frontier_only(spark):
@@ -114,7 +114,7 @@ def test_folded_levels_have_each_key_once(spark):
 
 def test_masks_of_many_seeds_match_brute_force(spark):
     rnd = random.Random(2)
-    graphs = {0: [(i, i + 1) for i in range(90)] + [(rnd.randrange(90), rnd.randrange(90)) for _ in range(20)], 1: random_edges(4)}
+    graphs = {0: sorted({(i, min(90, i + rnd.choice([17, 23, 31]))) for i in range(90) for _ in range(2)} | {(89, 3), (70, 1)}), 1: random_edges(4)}
     pairs = [(g, rnd.randrange(n), rnd.randrange(n)) for g, n in ((0, 90), (1, 7)) for _ in range(220)]  # more than 64 seeds a graph
     marked = [(0, v) for v in range(0, 90, 7)] + [(1, 2), (1, 4)]
     p, m = spark.createDataFrame(pairs, "g int, source int, target int"), spark.createDataFrame(marked, "g int, node int")
