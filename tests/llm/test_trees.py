@@ -146,8 +146,8 @@ def test_fingerprints(spark):
         q = len(t) // 4
         edited[d] = t[: len(t) - q] + rows[(i + 1) % len(rows)][1][:q]
     got = {r.doc_id: r for r in multiset.compared(docs).collect()}
-    direct = spark.createDataFrame(list(edited.items()), "doc_id bigint, text string").select("doc_id", multiset.written(multiset.vector(F.col("text"))).alias("f"))
-    whole = {r.doc_id: r.f for r in direct.collect()}
+    direct = multiset.vectors(spark.createDataFrame(list(edited.items()), "doc_id bigint, text string"), ["doc_id"], "text")
+    whole = {r.doc_id: r.f for r in direct.select("doc_id", multiset.written(F.col("v")).alias("f")).collect()}
     pieces = lambda t: Counter(x for p in t.split("\n") for x in re.split(r"(?<=[^\w\s])\s+", p))
     apart = []
     for i, (d, t) in enumerate(rows):
@@ -160,11 +160,12 @@ def test_fingerprints(spark):
 
 
 def test_fingerprints_defined_cases(spark, odd, none):
-    v = lambda t: multiset.vector(F.lit(t))
-    one = spark.range(1).select(
-        (v("a\nb c\n\na") == v("b c\na\na\n")).alias("order"), (v("a\nb") == v("a\na")).alias("repeats"),
-        (multiset.plus(v("a\nb"), v("c")) == v("c\nb\na")).alias("put_in"), (multiset.minus(v("a\nb\nc"), v("b\nc")) == v("a")).alias("taken_out"),
-        multiset.likeness(v("a"), v("a")).alias("same")).first()
+    texts = ["a\nb c\n\na", "b c\na\na\n", "a\nb", "a\na", "c", "c\nb\na", "a\nb\nc", "b\nc", "a"]
+    vectors = multiset.vectors(spark.createDataFrame(list(enumerate(texts)), "i int, text string"), ["i"], "text")
+    one = vectors.groupBy().pivot("i", list(range(len(texts)))).agg(F.first("v")).select(*[F.col(str(i)).alias(f"v{i}") for i in range(len(texts))])
+    one = one.select(
+        F.expr("v0 = v1").alias("order"), F.expr("v2 = v3").alias("repeats"), (multiset.plus(F.col("v2"), F.col("v4")) == F.col("v5")).alias("put_in"),
+        (multiset.minus(F.col("v6"), F.col("v7")) == F.col("v8")).alias("taken_out"), multiset.likeness(F.col("v8"), F.col("v8")).alias("same")).first()
     assert (one.order, one.repeats, one.put_in, one.taken_out, one.same) == (True, False, True, True, 1.0)
     got = multiset.compared(odd).collect()
     assert len(got) == odd.count() and all(0 <= x <= 1 for r in got for x in (r.near_edited, r.near_next))
