@@ -219,8 +219,9 @@ def basename(path: str | Column) -> Column:
     return F.substring_index(F.replace(_c(path), F.lit("\\"), F.lit("/")), "/", -1)
 
 
-def short(text: str | Column, n: int) -> Column:
-    return F.substring(_c(text), 1, n)
+def short(text: str | Column, n: int | None = None) -> Column:
+    """The first n characters, or the whole text."""
+    return _c(text) if n is None else F.substring(_c(text), 1, n)
 
 
 def first_items(array: str | Column, n: int) -> Column:

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from taintgrid.functions import columns as C
-from taintgrid.operators.calls import _substrings, resolve_all, resolve_calls
+from taintgrid.operators.calls import resolve_all, resolve_calls
+from taintgrid.operators.grams import contains_pairs
 from taintgrid.operators.graph import closure, cycle_nodes
 from taintgrid.operators.lines import between_lines, near_lines
 from taintgrid.session import KEYS
@@ -128,18 +129,16 @@ def edges_return_value(facts: Facts) -> DataFrame:
     return _edges(hit, node_id("origin_node_id"), node_id(), "flows_to", F.col("position"))
 
 
-def edges_source_text(facts: Facts) -> DataFrame:
-    """Source node to assignments on its line, or whose text holds the first 30 characters of its text."""
-    sources = method_nodes(facts).where("is_known_source").select(*M, "node_id", "line", F.substring("text", 1, 30).alias("piece"))
+def edges_source_text(facts: Facts, head: int | None = None) -> DataFrame:
+    """Source node to assignments on its line, or whose text holds the source's text (or its first `head`
+    characters if given); an empty text is held by none."""
+    sources = method_nodes(facts).where("is_known_source").select(*M, "node_id", "line", C.short("text", head).alias("piece"))
     asg = live_assignments(facts).select(*M, "assignment_id", "line", "source_text").join(
         sources.select(*M).distinct(), M, "left_semi")
-    same_line = sources.join(asg, [*M, "line"])
-    lengths = [r[0] for r in sources.select(F.length("piece")).where(F.length("piece") > 0).distinct().orderBy(1).collect()]
-    found = _edges(same_line, node_id(), assign_id(), "flows_to")
-    if lengths:
-        pieces = asg.select(*M, "assignment_id", F.explode(_substrings(F.col("source_text"), lengths)).alias("piece"))
-        found = found.unionByName(_edges(sources.join(pieces, [*M, "piece"]), node_id(), assign_id(), "flows_to"))
-    return found.distinct()
+    same_line = _edges(sources.join(asg, [*M, "line"]), node_id(), assign_id(), "flows_to")
+    held = contains_pairs(asg, sources, M, "source_text", "piece")
+    inside = held.join(sources, [*M, "piece"]).join(asg, [*M, "source_text"])
+    return same_line.unionByName(_edges(inside, node_id(), assign_id(), "flows_to")).distinct()
 
 
 def edges_variable_to_sink(facts: Facts) -> DataFrame:
@@ -182,11 +181,11 @@ def dfg_nodes(facts: Facts) -> DataFrame:
         *M, param_id().alias("node"), F.lit("PARAMETER").alias("kind"),
         F.concat_ws(".", "method_name", "name").alias("label"), F.col("line_start").alias("line"), "file", *flags())
     sem = method_nodes(facts).select(
-        *M, node_id().alias("node"), F.lit("SEMANTIC_NODE").alias("kind"), C.short("text", 80).alias("label"), "line", "file",
+        *M, node_id().alias("node"), F.lit("SEMANTIC_NODE").alias("kind"), F.col("text").alias("label"), "line", "file",
         "is_known_sink", "is_known_source", "is_known_sanitizer")
     asg = live_assignments(facts).select(
         *M, assign_id().alias("node"), C.dfg_node_kind().alias("kind"),
-        F.concat(F.col("target_name"), F.lit(" = "), C.short("source_text", 50)).alias("label"), "line",
+        F.concat(F.col("target_name"), F.lit(" = "), "source_text").alias("label"), "line",
         F.lit("").alias("file"), *flags())
     return params.unionByName(sem).unionByName(asg)
 
@@ -225,7 +224,7 @@ def unified_graph(facts: Facts, strict_compat: bool = False) -> tuple[DataFrame,
     no = lambda name: F.lit(False).alias(name)
     tail = ["is_async", "is_source", "is_sink", "is_sanitizer"]
     sem = facts["nodes"].withColumnRenamed("containing_method_id", "method_id").join(meth.select(*M, "class_name"), M, "left").select(
-        *M, node_id().alias("node"), C.graph_node_kind().alias("kind"), C.short("text", 80).alias("label"), "file", "line",
+        *M, node_id().alias("node"), C.graph_node_kind().alias("kind"), F.col("text").alias("label"), "file", "line",
         "class_name", "resolved_symbol", F.col("is_async_call").alias("is_async"), F.col("is_known_source").alias("is_source"),
         F.col("is_known_sink").alias("is_sink"), F.col("is_known_sanitizer").alias("is_sanitizer"))
     params = facts["parameters"].join(meth, M).select(
@@ -234,7 +233,7 @@ def unified_graph(facts: Facts, strict_compat: bool = False) -> tuple[DataFrame,
         F.col("method_file").alias("file"), F.col("line_start").alias("line"), "class_name", blank("resolved_symbol"), *[no(t) for t in tail])
     asg = live_assignments(facts).join(meth, M, "left").select(
         *M, assign_id().alias("node"), C.graph_assignment_kind().alias("kind"),
-        F.concat(F.col("target_name"), F.lit(" = "), C.short("source_text", 40)).alias("label"),
+        F.concat(F.col("target_name"), F.lit(" = "), "source_text").alias("label"),
         F.coalesce("method_file", F.lit("")).alias("file"), "line", blank("class_name"), blank("resolved_symbol"), *[no(t) for t in tail])
     flow = build_dfg(facts)
     if strict_compat:

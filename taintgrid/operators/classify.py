@@ -125,7 +125,7 @@ def classify(facts: Facts, taint: DataFrame, patterns: DataFrame, framework: Dat
     kinds = load_kinds(taint.sparkSession)
     none = lambda n: F.lit(None).cast("string").alias(n)
     no = lambda n: F.lit(False).alias(n)
-    snippet = facts["nodes"].select(*KEYS, F.concat(F.lit("n:"), "node_id").alias("sink_node_id"), C.short("text", 120).alias("code_snippet"))
+    snippet = facts["nodes"].select(*KEYS, F.concat(F.lit("n:"), "node_id").alias("sink_node_id"), F.col("text").alias("code_snippet"))
     where = F.concat(C.basename("source_file"), F.lit(":"), F.col("source_line"), F.lit(" -> "), C.basename("sink_file"), F.lit(":"), F.col("sink_line"))
     t = taint.join(snippet, [*KEYS, "sink_node_id"], "left").transform(lambda d: _with_kind(d, kinds)).withColumn(
         "cvss_score", taint_score(F.col("kind_score"), F.col("is_in_loop"), F.col("is_definitely_reachable")))
@@ -145,7 +145,7 @@ def classify(facts: Facts, taint: DataFrame, patterns: DataFrame, framework: Dat
         "method_name", "class_name", "title",
         F.concat_ws("\n", F.concat(F.lit("Pattern "), "pattern_id", F.lit(" at "), C.basename("file"), F.lit(":"), "line"),
                     F.concat(F.lit("Symbol: "), F.coalesce("resolved_symbol", F.lit("N/A")))).alias("description"),
-        F.col("advice").alias("remediation"), none("source_label"), C.short("code_snippet", 60).alias("sink_label"), none("taint_label"),
+        F.col("advice").alias("remediation"), none("source_label"), F.col("code_snippet").alias("sink_label"), none("taint_label"),
         F.col("file").alias("source_file"), no("is_in_loop"), no("has_partial_sanitizer"), C.stable_id("file", "line", "resolved_symbol").alias("vuln_id"),
         _row_id("pattern", "node_id", "pattern_id").alias("finding_id"))
     f = _with_kind(framework, kinds).withColumn("cvss_score", F.round("cvss_base", 1)).select(
@@ -301,8 +301,8 @@ def apply_report_filters(
 
 def apply_overrides(vulns: DataFrame, overrides: DataFrame) -> DataFrame:
     """`overrides(vulnerability_kind, enabled, severity_override)`: drop switched-off kinds, replace
-    severities. One row per kind, so the table is at most as long as the list of kinds."""
-    o = overrides.select("vulnerability_kind", "enabled", "severity_override").dropDuplicates(["vulnerability_kind"])
+    severities; of two rows of a kind the smaller counts. One row per kind, so the table is at most as long as the list of kinds."""
+    o = overrides.groupBy("vulnerability_kind").agg(F.min(F.struct("enabled", "severity_override")).alias("_o")).select("vulnerability_kind", "_o.*")
     return vulns.join(o, "vulnerability_kind", "left").where("coalesce(enabled, true)").withColumn(
         "severity", F.coalesce("severity_override", "severity")).drop("enabled", "severity_override").select(*vulns.columns)
 

@@ -293,7 +293,7 @@ def _node_findings(hits: DataFrame, facts: Facts, rule: str, kind: str, category
     """Finding rows at nodes. `hits` has containing_method_id renamed to method_id."""
     return hits.join(_methods(facts), M, "left").select(
         *M, F.col("node_id").alias("target_id"), F.lit(rule).alias("rule_id"), F.lit(kind).alias("vulnerability_kind"), F.lit(category).alias("category"),
-        F.lit(level).alias("confidence"), "file", "line", C.short("text", 100).alias("code_snippet"), "method_name", "class_name",
+        F.lit(level).alias("confidence"), "file", "line", F.col("text").alias("code_snippet"), "method_name", "class_name",
         F.lit(cwe).alias("cwe"), F.lit(score).alias("cvss_base"), evidence.cast("string").alias("evidence"))
 
 
@@ -314,7 +314,7 @@ def rule_symbols(facts: Facts, families: tuple[str, ...] = ("FW-DEPR", "FW-CRYPT
     hits = prefix_first(_nodes(facts), table, cols, how="inner")
     return hits.join(_methods(facts), M, "left").select(
         *M, F.col("node_id").alias("target_id"), "rule_id", "vulnerability_kind", "category", "confidence", "file", "line",
-        C.short("text", 100).alias("code_snippet"), "method_name", "class_name", "cwe", "cvss_base", F.col("resolved_symbol").alias("evidence"))
+        F.col("text").alias("code_snippet"), "method_name", "class_name", "cwe", "cvss_base", F.col("resolved_symbol").alias("evidence"))
 
 
 def rule_deprecated(facts: Facts) -> DataFrame:
@@ -335,7 +335,7 @@ def rule_secrets(facts: Facts) -> DataFrame:
     return hit.withColumnRenamed("containing_method_id", "method_id").join(meth, M, "left").select(
         *M, F.col("assignment_id").alias("target_id"), F.lit("FW-SECRET-001").alias("rule_id"), F.lit("UNKNOWN").alias("vulnerability_kind"),
         F.lit("secrets").alias("category"), F.lit("medium").alias("confidence"), F.coalesce("file", F.lit("")).alias("file"), "line",
-        F.concat(F.col("target_name"), F.lit(" = "), C.short("source_text", 50)).alias("code_snippet"), "method_name", "class_name",
+        F.concat(F.col("target_name"), F.lit(" = "), "source_text").alias("code_snippet"), "method_name", "class_name",
         F.lit("CWE-798").alias("cwe"), F.lit(7.5).alias("cvss_base"), F.col("target_name").alias("evidence"))
 
 
@@ -351,7 +351,7 @@ def rule_insecure_random(facts: Facts) -> DataFrame:
 def _method_findings(hits: DataFrame, rule: str, kind: str, category: str, level: str, cwe: str, score: float, evidence: Column) -> DataFrame:
     return hits.select(
         *M, F.col("method_id").alias("target_id"), F.lit(rule).alias("rule_id"), F.lit(kind).alias("vulnerability_kind"), F.lit(category).alias("category"),
-        F.lit(level).alias("confidence"), "file", F.col("line_start").alias("line"), C.short("signature", 100).alias("code_snippet"),
+        F.lit(level).alias("confidence"), "file", F.col("line_start").alias("line"), F.col("signature").alias("code_snippet"),
         F.col("name").alias("method_name"), "class_name", F.lit(cwe).alias("cwe"), F.lit(score).alias("cvss_base"), evidence.cast("string").alias("evidence"))
 
 

@@ -15,6 +15,11 @@ from taintgrid.session import top_n
 P = ["project_name", "scan_id"]
 
 
+def _by(given: DataFrame) -> list[str]:
+    """What names a scan in a table given by the user: project and scan, or the scan alone where it has no project."""
+    return [c for c in P if c in given.columns]
+
+
 def _newest() -> list[Column]:
     return [F.col("scan_started_at").desc(), F.col("scan_id").desc()]
 
@@ -41,7 +46,7 @@ def complete_scans(scans: DataFrame, vulns: DataFrame, finished_at: str | Column
     done = scans.drop("total_vulns", "critical", "high", "medium", "low", "info").join(severity_summary(vulns), P, "left").na.fill(
         0, ["total_vulns", "critical", "high", "medium", "low", "info"])
     if failed is not None:
-        done = done.join(failed.groupBy("scan_id").agg(F.min("error").alias("error_message")), "scan_id", "left")
+        done = done.join(failed.groupBy(*_by(failed)).agg(F.min("error").alias("error_message")), _by(failed), "left")
     else:
         done = done.withColumn("error_message", F.lit(None).cast("string"))
     status = F.when(F.col("error_message").isNull(), "completed").when(F.col("total_vulns") > 0, "partial").otherwise("failed")
@@ -55,15 +60,16 @@ def severity_summary(vulns: DataFrame) -> DataFrame:
     return vulns.groupBy(*P).agg(F.count(F.lit(1)).alias("total_vulns"), *counts)
 
 
-def to_stored(vulns: DataFrame) -> DataFrame:
-    """The stored shape of a finding; a missing id is made from file, line and cwe."""
+def to_stored(vulns: DataFrame, snippet_chars: int | None = None, text_chars: int | None = None) -> DataFrame:
+    """The stored shape of a finding, its texts whole or cut to so many characters; a missing id is made from
+    file, line and cwe."""
     key = F.concat_ws(":", F.coalesce("file", F.lit("")), F.col("sink_line").cast("string"), F.coalesce("cwe", F.lit("")))
     vid = F.when(F.length("vuln_id") > 0, F.col("vuln_id")).otherwise(F.substring(F.sha2(key, 256), 1, 16))
     return vulns.select(
         F.col("project_id").alias("project_name"), "scan_id", vid.alias("vuln_id"), "vulnerability_kind", "severity", "confidence", "finding_source", "cwe",
         F.struct(F.col("cvss_score").alias("base_score"), F.col("vector").alias("vector_string")).alias("cvss"), F.col("cvss_score").alias("cvss_base"),
-        "file", "line", "sink_line", C.short("code_snippet", 200).alias("code_snippet"), "method_name", "class_name", "title",
-        C.short("description", 500).alias("description"), C.short("remediation", 500).alias("remediation"), "source_label", "sink_label", "is_in_loop",
+        "file", "line", "sink_line", C.short("code_snippet", snippet_chars).alias("code_snippet"), "method_name", "class_name", "title",
+        C.short("description", text_chars).alias("description"), C.short("remediation", text_chars).alias("remediation"), "source_label", "sink_label", "is_in_loop",
         "has_partial_sanitizer", "is_entry_point")
 
 
@@ -212,26 +218,28 @@ def blocking_list(vulns: DataFrame, fail_on: str = "HIGH", n: int = 20) -> DataF
 
 
 def archive(scans: DataFrame, ids: DataFrame) -> DataFrame:
-    hit = ids.select("scan_id").distinct().withColumn("_hit", F.lit(True))
-    return scans.join(hit, "scan_id", "left").withColumn(
+    hit = ids.select(*_by(ids)).distinct().withColumn("_hit", F.lit(True))
+    return scans.join(hit, _by(ids), "left").withColumn(
         "is_archived", F.coalesce("is_archived", F.lit(False)) | F.coalesce("_hit", F.lit(False))).drop("_hit").select(*scans.columns)
 
 
 def add_tags(scans: DataFrame, tags: DataFrame) -> DataFrame:
     """`tags(scan_id, tags)`: added as a set, in order of first use; several lists of a scan in their sort order."""
-    t = tags.groupBy("scan_id").agg(F.array_distinct(F.flatten(F.array_sort(F.collect_list("tags")))).alias("_more"))
+    t = tags.groupBy(*_by(tags)).agg(F.array_distinct(F.flatten(F.array_sort(F.collect_list("tags")))).alias("_more"))
     none = F.expr("cast(array() as array<string>)")
-    return scans.join(t, "scan_id", "left").withColumn(
+    return scans.join(t, _by(tags), "left").withColumn(
         "tags", F.array_union(F.coalesce("tags", none), F.coalesce("_more", none))).drop("_more").select(*scans.columns)
 
 
-def progress(updates: DataFrame) -> DataFrame:
-    """The last state of each scan from `updates(scan_id, updated_at, status, message)`."""
-    return updates.groupBy("scan_id").agg(F.max_by(F.struct("status", F.substring("message", 1, 500).alias("message"), "updated_at"), F.struct("updated_at", "status")).alias("_u")).select("scan_id", "_u.*")
+def progress(updates: DataFrame, message_chars: int | None = None) -> DataFrame:
+    """The last state of each scan from `updates(scan_id, updated_at, status, message)`; of equal times the
+    largest status and message. Messages are whole unless a length is given."""
+    last = F.max(F.struct("updated_at", "status", "message")).alias("_u")
+    return updates.groupBy("scan_id").agg(last).select("scan_id", "_u.status", C.short("_u.message", message_chars).alias("message"), "_u.updated_at")
 
 
 def delete_scans(scans: DataFrame, ids: DataFrame) -> DataFrame:
-    return scans.join(ids.select("scan_id").distinct(), "scan_id", "left_anti").select(*scans.columns)
+    return scans.join(ids.select(*_by(ids)).distinct(), _by(ids), "left_anti").select(*scans.columns)
 
 
 def retain(scans: DataFrame, n: int = 10) -> DataFrame:

@@ -138,7 +138,7 @@ def match_patterns(facts: Facts, patterns: DataFrame, rules: DataFrame) -> DataF
     meth = methods_with_class(facts).select(*M, F.col("name").alias("method_name"), "class_name")
     return hit.join(meth, M, "left").select(
         *M, "node_id", "pattern_id", "vulnerability_kind", adjusted_confidence().alias("confidence"), "file", "line", "column",
-        C.short("text", 120).alias("code_snippet"), "resolved_symbol", "matched_prefix", "method_name", "class_name",
+        F.col("text").alias("code_snippet"), "resolved_symbol", "matched_prefix", "method_name", "class_name",
         C.has_tainted_args().alias("has_tainted_args"), F.transform(C.tainted_args(), lambda a: a["position"]).alias("tainted_positions"),
         "cwe", "cvss_base", "always_vulnerable")
 

@@ -136,15 +136,15 @@ def sarif_rules(vulns: DataFrame) -> DataFrame:
         sarif_level(F.col("_rank")).alias("level"), F.col("_f.cwe").alias("cwe"), "finding_sources")
 
 
-def _place(line: Column, snippet: Column | None = None) -> Column:
+def _place(line: Column, snippet: Column | None = None, chars: int | None = None) -> Column:
     region = [line.alias("startLine"), line.alias("endLine")]
     if snippet is not None:
-        region.append(F.when(F.length(snippet) > 0, F.struct(F.substring(snippet, 1, 500).alias("text"))).alias("snippet"))
+        region.append(F.when(F.length(snippet) > 0, F.struct(C.short(snippet, chars).alias("text"))).alias("snippet"))
     uri = F.replace(F.coalesce("file", F.lit("")), F.lit("\\"), F.lit("/"))
     return F.struct(F.struct(uri.alias("uri")).alias("artifactLocation"), F.struct(*region).alias("region"))
 
 
-def sarif_results(vulns: DataFrame) -> DataFrame:
+def sarif_results(vulns: DataFrame, snippet_chars: int | None = None) -> DataFrame:
     """(keys, vuln_id, sort columns, result): one SARIF result per finding."""
     sink, src = F.coalesce("sink_line", F.lit(0)), F.coalesce("line", F.lit(0))
     line = F.when(sink > 0, sink).when(src > 0, src).otherwise(1)
@@ -163,7 +163,7 @@ def sarif_results(vulns: DataFrame) -> DataFrame:
     result = F.struct(
         F.col("vulnerability_kind").alias("ruleId"), sarif_level(C.severity_rank()).alias("level"), F.lit("fail").alias("kind"),
         F.struct(F.col("title").alias("text"), F.col("description").alias("markdown")).alias("message"),
-        F.array(F.struct(_place(line, F.col("code_snippet")).alias("physicalLocation"))).alias("locations"), related.alias("relatedLocations"), props.alias("properties"))
+        F.array(F.struct(_place(line, F.col("code_snippet"), snippet_chars).alias("physicalLocation"))).alias("locations"), related.alias("relatedLocations"), props.alias("properties"))
     return vulns.select(*KEYS, "vuln_id", C.severity_rank().alias("severity_rank"), "file", "sink_line", result.alias("result"))
 
 
@@ -178,7 +178,7 @@ def _pages(rows: DataFrame, item: Column, name: str) -> DataFrame:
     return rows.groupBy(*KEYS, "page").agg(listed.alias(name))
 
 
-def report_documents(vulns: DataFrame, generated_at: str, page_rows: int = PAGE_ROWS) -> DataFrame:
+def report_documents(vulns: DataFrame, generated_at: str, page_rows: int = PAGE_ROWS, snippet_chars: int | None = None) -> DataFrame:
     """(keys, page, document): JSON report documents. A scan of at most `page_rows` findings has one;
     a larger one has numbered pages that share the header, so no finding is dropped and no value
     grows without bound."""
@@ -188,7 +188,7 @@ def report_documents(vulns: DataFrame, generated_at: str, page_rows: int = PAGE_
         F.struct(F.col("cvss_score").alias("base_score"), F.col("vector").alias("vector_string")).alias("cvss"), "title", "description", "remediation",
         F.struct("file", C.basename("file").alias("file_short"), F.col("line").alias("source_line"), "sink_line", F.col("method_name").alias("method"),
                  F.col("class_name").alias("class")).alias("location"),
-        C.short("code_snippet", 300).alias("code_snippet"), F.struct("source_label", "sink_label").alias("taint_flow"),
+        C.short("code_snippet", snippet_chars).alias("code_snippet"), F.struct("source_label", "sink_label").alias("taint_flow"),
         F.struct("is_in_loop", "has_partial_sanitizer", "is_entry_point").alias("context"), references(F.col("cwe")).alias("references"))
     pages = _pages(rows, item, "vulnerabilities")
     head = scan_header(vulns)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from taintgrid.functions import columns as C
-from taintgrid.session import ranked, top_n
+from taintgrid.session import one_per, ranked, top_n
 
 # --- fixed values -------------------------------------------------------------------------
 KIND_NAMES = """
@@ -233,13 +233,13 @@ def assign_ids(new: DataFrame, existing: DataFrame, order: str = "ordinal") -> D
     return kept.unionByName(counted.withColumn("assigned_id", made).select(*kept.columns))
 
 
-def collisions(new: DataFrame, existing: DataFrame) -> DataFrame:
-    """(new_id, existing_symbol, kind): equal symbols, and existing symbols that start with the first 40
-    characters of a new one longer than 20."""
+def collisions(new: DataFrame, existing: DataFrame, head: int | None = None) -> DataFrame:
+    """(new_id, existing_symbol, kind): equal symbols, and existing symbols that start with a new one longer
+    than 20 characters, or with its first `head` characters if given."""
     n = new.where("length(symbol) > 0").select(F.col("id").alias("new_id"), "symbol")
     e = existing.where("length(symbol) > 0").select(F.col("symbol").alias("existing_symbol")).distinct()
     exact = n.join(e, n.symbol == e.existing_symbol).select("new_id", "existing_symbol", F.lit("exact").alias("kind"))
-    heads = n.where(F.length("symbol") > 20).withColumn("_head", F.substring("symbol", 1, 40))
+    heads = n.where(F.length("symbol") > 20).withColumn("_head", C.short("symbol", head))
     lengths = [r[0] for r in heads.select(F.length("_head")).distinct().orderBy(1).collect()]
     if not lengths:
         return exact
@@ -297,7 +297,7 @@ def upsert_rules(store: DataFrame, new: DataFrame, now: str) -> DataFrame:
     created_at, updated_at.
     """
     payload = [c for c in new.columns if c != "rule_id"]
-    n = new.dropDuplicates(["rule_id"]).select("rule_id", F.lit(True).alias("_new"), *[F.col(c).alias(f"_{c}") for c in payload])
+    n = one_per(new, ["rule_id"]).select("rule_id", F.lit(True).alias("_new"), *[F.col(c).alias(f"_{c}") for c in payload])
     j = store.join(n, "rule_id", "full_outer")
     hit, fresh = F.coalesce("_new", F.lit(False)), F.col("version").isNull()
     cols = []
@@ -325,7 +325,7 @@ def insert_rules(store: DataFrame, new: DataFrame, now: str) -> tuple[DataFrame,
 
 def review_rules(store: DataFrame, decisions: DataFrame, now: str) -> DataFrame:
     """`decisions(rule_id, decision, reviewer, notes)`: approved, rejected or pending (a reset)."""
-    d = decisions.dropDuplicates(["rule_id"]).select("rule_id", F.col("decision").alias("_d"), F.col("reviewer").alias("_r"), F.col("notes").alias("_n"))
+    d = one_per(decisions, ["rule_id"]).select("rule_id", F.col("decision").alias("_d"), F.col("reviewer").alias("_r"), F.col("notes").alias("_n"))
     j = store.join(d, "rule_id", "left")
     hit, reset = F.col("_d").isNotNull(), F.col("_d") == "pending"
     return j.withColumns({

@@ -14,7 +14,7 @@ from taintgrid.operators.calls import resolve_all, resolve_calls
 from taintgrid.operators.graph import _first_paths, all_paths_hit, closure
 from taintgrid.operators.lines import between_lines, near_lines
 from taintgrid.operators.prefix import contains_first, prefix_first
-from taintgrid.session import KEYS, checkpoint, top_n
+from taintgrid.session import KEYS, checkpoint, one_per, top_n
 
 # --- fixed values -------------------------------------------------------------------------
 BODY_READERS = ["readrequestbody", "readbody", "getrequestbody"]
@@ -155,7 +155,7 @@ FINDING = [
 
 
 def sink_label() -> Column:
-    return F.concat(C.short("text", 50), F.lit(" ["), F.coalesce(C.last_segment("resolved_symbol"), F.lit("")), F.lit("]"))
+    return F.concat("text", F.lit(" ["), F.coalesce(C.last_segment("resolved_symbol"), F.lit("")), F.lit("]"))
 
 
 def _kinds(df: DataFrame, sink_kinds: DataFrame, symbol: str = "resolved_symbol") -> DataFrame:
@@ -172,7 +172,8 @@ def taint_seeds(facts: Facts, rules: DataFrame, callee_params: DataFrame) -> Dat
     fed = callee_params.select(*M, param_id(name="parameter_name").alias("node"), F.lit("USER_INPUT").alias("taint_label"))
     # only the first parameter of that name in the method is a graph node
     fed = fed.join(own, [*M, "node"], "left_anti")
-    return own.unionByName(fed).unionByName(seed_nodes(facts, rules)).dropDuplicates([*M, "node"])
+    every = own.unionByName(fed).unionByName(seed_nodes(facts, rules))
+    return one_per(every, [*M, "node"])
 
 
 def flow_findings(facts: Facts, rules: DataFrame, sink_kinds: DataFrame, edges: DataFrame, seeds: DataFrame, max_path_edges: int | None = None) -> DataFrame:
@@ -203,7 +204,7 @@ def flow_findings(facts: Facts, rules: DataFrame, sink_kinds: DataFrame, edges:
     return _names(out, facts).select(
         *M, F.col("source").alias("source_node_id"), F.col("node").alias("sink_node_id"), "vulnerability_kind",
         C.path_confidence(length, is_param).alias("confidence"), "source_file", "source_line",
-        F.when(is_param, param_label).otherwise(C.short("source_text", 60)).alias("source_label"), "taint_label",
+        F.when(is_param, param_label).otherwise(F.col("source_text")).alias("source_label"), "taint_label",
         F.col("resolved_symbol").alias("sink_symbol"), F.col("file").alias("sink_file"), F.col("line").alias("sink_line"),
         sink_label().alias("sink_label"), "sink_arg_position", "method_name", "class_name",
         F.when(length > 0, F.col("path")).otherwise(F.expr("cast(array() as array<string>)")).alias("path"),
@@ -276,7 +277,7 @@ def string_injection(facts: Facts, sink_kinds: DataFrame) -> DataFrame:
     return _names(free, facts).select(
         *M, F.concat(F.lit("a:"), "assignment_id").alias("source_node_id"), node_id().alias("sink_node_id"), "vulnerability_kind",
         F.lit("high").alias("confidence"), F.col("file").alias("source_file"), F.col("line_a").alias("source_line"),
-        F.concat(F.lit("String building: "), C.short("source_text", 60)).alias("source_label"), F.lit("USER_INPUT").alias("taint_label"),
+        F.concat(F.lit("String building: "), "source_text").alias("source_label"), F.lit("USER_INPUT").alias("taint_label"),
         F.col("resolved_symbol").alias("sink_symbol"), F.col("file").alias("sink_file"), F.col("line_b").alias("sink_line"),
         sink_label().alias("sink_label"), F.lit(None).cast("int").alias("sink_arg_position"), "method_name", "class_name",
         F.expr("cast(array() as array<string>)").alias("path"), F.lit(False).alias("has_partial_sanitizer"),
@@ -315,5 +316,5 @@ def taint_paths(findings: DataFrame, facts: Facts, seeds: DataFrame) -> DataFram
         .otherwise("call")
     )
     return marked.select(
-        *M, "source_node_id", "sink_node_id", "step_no", "node", kind.alias("step_kind"), C.short("label", 80).alias("label"), "file", "line",
+        *M, "source_node_id", "sink_node_id", "step_no", "node", kind.alias("step_kind"), "label", "file", "line",
         F.coalesce("_seed", F.lit("USER_INPUT")).alias("taint_label"))

@@ -46,10 +46,10 @@ def route_review(selected: DataFrame, n: int = BATCH) -> DataFrame:
         "index", F.when(is_batch, (F.col("_rn") - 1) % n + 1).otherwise(1).cast("int")).drop("_rn")
 
 
-def method_context(nodes: DataFrame, n: int) -> DataFrame:
+def method_context(nodes: DataFrame, n: int, text_chars: int | None = None) -> DataFrame:
     """(keys, method_id, context): the first n nodes by line with role marks, as one text."""
     mark = F.when(F.col("is_known_source"), "[SOURCE] ").when(F.col("is_known_sink"), "[SINK] ").when(F.col("is_known_sanitizer"), "[SANITIZER] ").otherwise("")
-    line = F.concat(F.lit("L"), F.col("line"), F.lit(": "), mark, C.short("text", 100))
+    line = F.concat(F.lit("L"), F.col("line"), F.lit(": "), mark, C.short("text", text_chars))
     part = nodes.where("containing_method_id is not null").select(*KEYS, F.col("containing_method_id").alias("method_id"), "line", "node_id", line.alias("t"))
     first = top_n(part, [*KEYS, "method_id"], [F.col("line"), F.col("node_id")], n)
     listed = F.transform(F.array_sort(F.collect_list(F.struct("rn", "t"))), lambda x: x["t"])  # at most n
@@ -81,12 +81,12 @@ def build_prompts(routed: DataFrame, contexts: DataFrame, primary: DataFrame | N
         "\n", F.lit("Review this finding in C# code."), F.concat(F.lit("Kind: "), "vulnerability_kind", F.lit(" ("), "cwe", F.lit(")")),
         F.concat(F.lit("Severity: "), "severity"), F.concat(F.lit("Confidence: "), "confidence"), F.concat(F.lit("Framework: "), _na("primary_framework")),
         F.concat(F.lit("Found by: "), "finding_source"), F.concat(F.lit("Place: "), C.basename("file"), F.lit(":"), "sink_line", F.lit(" in "), where),
-        F.concat(F.lit("Source: "), _na("source_label")), F.concat(F.lit("Sink: "), F.coalesce("sink_label", C.short("code_snippet", 80))),
+        F.concat(F.lit("Source: "), _na("source_label")), F.concat(F.lit("Sink: "), F.coalesce("sink_label", "code_snippet")),
         F.concat(F.lit("Code:\n"), F.coalesce("context", "code_snippet", F.lit(""))),
         F.concat(F.lit("In a loop: "), F.col("is_in_loop").cast("string"), F.lit("; partial sanitizer: "), F.col("has_partial_sanitizer").cast("string"),
                  F.lit("; entry point: "), F.col("is_entry_point").cast("string")),
         F.lit(SINGLE_REPLY))
-    item = F.concat(F.col("index").cast("string"), F.lit(". ["), F.col("vulnerability_kind"), F.lit("] "), where, F.lit(" L"), F.col("sink_line"), F.lit(": "), C.short("code_snippet", 60))
+    item = F.concat(F.col("index").cast("string"), F.lit(". ["), F.col("vulnerability_kind"), F.lit("] "), where, F.lit(" L"), F.col("sink_line"), F.lit(": "), "code_snippet")
     ones = rows.where("route = 'single'").select(*KEYS, "route", "batch_no", single.alias("prompt"), F.array("vuln_id").alias("vuln_ids"))
     many = rows.where("route = 'batch'").select(*KEYS, "route", "batch_no", "index", "vuln_id", item.alias("item")).groupBy(*KEYS, "route", "batch_no").agg(
         F.array_sort(F.collect_list(F.struct("index", "item", "vuln_id"))).alias("_i"))  # at most one batch
@@ -179,7 +179,7 @@ def parse_verdicts(replies: DataFrame, column: str = "reply") -> DataFrame:
         "is_false_positive": F.coalesce(F.when(ok, _truth(F.col("_j.is_false_positive"))).when(partial, loose_flag), F.lit(False)),
         "confidence_adjusted": _one_of(pick("confidence_adjusted"), C.CONFIDENCES, F.lower),
         "severity_adjusted": _one_of(pick("severity_adjusted"), C.SEVERITIES, F.upper),
-        "reasoning": F.coalesce(C.short(pick("reasoning"), 300), F.when(ok, F.lit("")), F.lit("reply not readable; kept as real")),
+        "reasoning": F.coalesce(pick("reasoning"), F.when(ok, F.lit("")), F.lit("reply not readable; kept as real")),
         "enriched_description": pick("enriched_description"), "enriched_remediation": pick("enriched_remediation"), "suggested_fix": pick("suggested_fix"),
     }).drop("_c", "_j")
 
@@ -203,13 +203,13 @@ def parse_batch(replies: DataFrame, routed: DataFrame, column: str = "reply") ->
     df = df.withColumn("_mode", F.when(F.col("_ok"), "json").when(F.size("_items") > 0, "fields").otherwise("keep"))
     modes = df.select(*KEYS, "batch_no", "_mode")
     answers = df.select(*KEYS, "batch_no", F.explode("_items").alias("i")).groupBy(*KEYS, "batch_no", F.col("i.index").alias("index")).agg(
-        F.first(F.struct("i.is_likely_fp", "i.reason")).alias("_a"))
+        F.min(F.struct("i.is_likely_fp", "i.reason")).alias("_a"))  # of two answers the smaller, whatever the task order
     asked = routed.where("route = 'batch'").select(*KEYS, "batch_no", "index", "vuln_id")
     out = asked.join(modes, [*KEYS, "batch_no"]).join(answers, [*KEYS, "batch_no", "index"], "left")
     out = out.where((F.col("_mode") != "fields") | F.col("_a").isNotNull())
     return out.select(
         *KEYS, "vuln_id", _truth(F.col("_a.is_likely_fp")).alias("is_false_positive"),
-        F.coalesce(C.short("_a.reason", 200), F.when(F.col("_a").isNotNull(), F.lit("")), F.lit("not answered; kept as real")).alias("reasoning"),
+        F.coalesce("_a.reason", F.when(F.col("_a").isNotNull(), F.lit("")), F.lit("not answered; kept as real")).alias("reasoning"),
         F.when(F.col("_a").isNull(), "keep").otherwise(F.col("_mode")).alias("verdict_source"))
 
 
@@ -228,7 +228,7 @@ def apply_verdicts(vulns: DataFrame, verdicts: DataFrame) -> DataFrame:
     the fields it fills. Adds is_reviewed, fp_suggested, review_reasoning, suggested_fix."""
     fields = ["is_false_positive", "confidence_adjusted", "severity_adjusted", "reasoning", "enriched_description", "enriched_remediation", "suggested_fix"]
     have = [F.col(f) if f in verdicts.columns else F.lit(None).cast("string").alias(f) for f in fields]
-    v = verdicts.select(*KEYS, "vuln_id", F.struct(*have).alias("_v")).dropDuplicates([*KEYS, "vuln_id"])
+    v = verdicts.select(*KEYS, "vuln_id", F.struct(*have).alias("_v")).groupBy(*KEYS, "vuln_id").agg(F.min("_v").alias("_v"))  # of two verdicts the smaller
     j = vulns.join(v, [*KEYS, "vuln_id"], "left")
     seen = F.col("_v").isNotNull()
     doubt = F.coalesce(F.col("_v.is_false_positive"), F.lit(False))

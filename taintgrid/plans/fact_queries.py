@@ -293,7 +293,7 @@ _BLD = {
         WHERE NOT a.lit AND a.origin = 'field' AND contains(a.text, '.')""",
     "return_value": "SELECT 'n:' || a.onode AS src, 'n:' || a.node_id AS dst FROM args a WHERE NOT a.lit AND a.origin = 'return_value' AND a.onode IS NOT NULL",
     "source_text": f"""SELECT DISTINCT 'n:' || s.node_id AS src, 'a:' || a.assignment_id AS dst FROM f_role s JOIN live a ON {same('s', 'a')}
-        WHERE s.is_source AND (a.line = s.line OR contains(a.source_text, substr(s.text, 1, 30)))""",
+        WHERE s.is_source AND (a.line = s.line OR contains(a.source_text, s.text))""",
     "variable_to_sink": f"""SELECT DISTINCT 'a:' || l.assignment_id AS src, 'n:' || a.node_id AS dst FROM args a JOIN lasta l ON {same('a', 'l')} AND l.target_name = a.text
         WHERE a.is_sink AND NOT a.lit AND NOT a.first_lit AND NOT EXISTS (SELECT 1 FROM args z WHERE {same('z', 'a')} AND z.is_san AND NOT z.lit
           AND z.text = a.text AND z.line BETWEEN l.asgn_line AND a.line)""",

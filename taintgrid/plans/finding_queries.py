@@ -483,7 +483,7 @@ def src_complete_scans(spark, d):
     return H.complete_scans(running, v, "2024-03-01T00:00:00", failed).select("scan_id", "total_vulns", "scan_status")
 
 
-@case("his_stored_shape", docs(_DEDUPE) + "SELECT project_id AS project_name, scan_id, vuln_id, substr(code_snippet, 1, 200) AS code_snippet, cvss_score AS base FROM dd")
+@case("his_stored_shape", docs(_DEDUPE) + "SELECT project_id AS project_name, scan_id, vuln_id, code_snippet, cvss_score AS base FROM dd")
 def his_stored_shape(spark, d):
     return H.to_stored(deduped(spark, d)).select("project_name", "scan_id", "vuln_id", "code_snippet", F.col("cvss.base_score").alias("base"))
 
@@ -513,7 +513,7 @@ def vrd_route(spark, d):
 
 
 @case("vrd_method_context", fact_ctes() + """
-SELECT method_id, string_agg('L' || CAST(line AS STRING) || ': ' || CASE WHEN is_source THEN '[SOURCE] ' WHEN is_sink THEN '[SINK] ' WHEN is_san THEN '[SANITIZER] ' ELSE '' END || substr(text, 1, 100), chr(10) ORDER BY line, node_id) AS context
+SELECT method_id, string_agg('L' || CAST(line AS STRING) || ': ' || CASE WHEN is_source THEN '[SOURCE] ' WHEN is_sink THEN '[SINK] ' WHEN is_san THEN '[SANITIZER] ' ELSE '' END || text, chr(10) ORDER BY line, node_id) AS context
 FROM (SELECT *, row_number() OVER (PARTITION BY project_id, method_id ORDER BY line, node_id) AS rn FROM f_role) WHERE rn <= 20 GROUP BY project_id, method_id""")
 def vrd_method_context(spark, d):
     return D.method_context(facts(spark, d)["nodes"], 20).select("method_id", "context")

@@ -89,7 +89,7 @@ _COLL = """nw AS (SELECT 'N' || CAST(ordinal AS STRING) AS new_id, symbol FROM p
 
 
 @case("rul_collisions", f"""WITH {_PR}, {_COLL} SELECT new_id, existing_symbol, CASE WHEN symbol = existing_symbol THEN 'exact' ELSE 'similar' END AS kind
-FROM nw JOIN ex ON symbol = existing_symbol OR (length(symbol) > 20 AND starts_with(existing_symbol, substr(symbol, 1, 40)))""")
+FROM nw JOIN ex ON symbol = existing_symbol OR (length(symbol) > 20 AND starts_with(existing_symbol, symbol))""")
 def rul_collisions(spark, d):
     r = part_rules(spark, d)
     new = r.where("ordinal % 7 = 0").withColumn("id", F.concat(F.lit("N"), F.col("ordinal").cast("string")))

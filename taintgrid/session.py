@@ -133,6 +133,12 @@ def top_n(df: DataFrame, keys: list[str], order: list[Column], n: int, name: str
     return df.withColumn(name, F.row_number().over(w)).filter(F.col(name) <= n)
 
 
+def one_per(df: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per key: of several the smallest by the other columns in their order, whatever the task order."""
+    rest = [c for c in df.columns if c not in keys]
+    return df.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_one")).select(*[f"_one.{c}" if c in rest else c for c in df.columns])
+
+
 def best_per(df: DataFrame, keys: list[str], order: Column, worst: bool = False) -> DataFrame:
     """The row with the smallest (or largest) order value per key, by a partial aggregate."""
     pick = F.max_by if worst else F.min_by
