@@ -156,6 +156,43 @@ def test_boosting_adds_numbers_that_run_into_each_other(spark):
     assert sum("555-" in r.text for r in redacted) <= 10
 
 
+def test_spellings_no_pattern_expresses_are_added_and_clean_texts_left_alone(spark):
+    r = np.random.default_rng(31)
+    pick = lambda *of: of[r.integers(0, len(of))]
+    word = lambda: "".join(r.choice(list("aeioulnrst"), r.integers(3, 9)))
+    prose = lambda: " ".join(word() for _ in range(r.integers(4, 12)))
+    taught = [f"{prose()} {pick(word() + str(r.integers(9, 99)) + '@' + word() + '.com', f'+1 ({r.integers(200, 999)}) 555-{r.integers(1000, 9999)}')} {prose()}" for _ in range(400)]
+    planted, clean = [], []
+    for i in range(240):
+        if i % 2:
+            at, dot = pick((" (at) ", " (dot) "), ("[at]", "[dot]"), (" [at] ", " [dot] "), (" at ", " dot "))
+            s, kind = f"{word()}{pick('', '.', '_')}{word()}{at}{dot.join([word(), pick('org', 'net', 'de', 'com')])}", 0
+        else:
+            a, b, c = r.integers(200, 999), r.integers(200, 999), r.integers(1000, 9999)
+            s, kind = pick(f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a} {b} {c}"), 3
+        before = prose() + " "
+        planted.append((before + s + pick(" ", ", ", ". ") + prose().capitalize(), (len(before), kind, len(before) + len(s))))
+        look = pick(f"{1990 + i % 30}/{1 + i % 12}/{1 + i % 28}", f"{1990 + i % 30}-{1 + i % 12:02}-{1 + i % 28:02}", f"no. {r.integers(10**8, 10**10)}", f"{word()} (at) {word()}",
+                    f"{word()} @ {r.integers(1, 99)}.50", f"v{r.integers(0, 9)}.{r.integers(0, 99)}.{r.integers(0, 9999)}", f"pp. {100 + i}-{180 + i}", f"{i} 000 000")
+        clean.append(f"{prose()} {look} {prose()}")
+    rows = list(enumerate([*taught, *[t for t, _ in planted], *clean]))
+    got = {x.doc_id: x for x in pii.find(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    want = {len(taught) + i: f"{pii.KINDS[k]}:{a}:{b}" for i, (_, (a, k, b)) in enumerate(planted)}
+    added = [(i, s) for i, t in rows for s in set(got[i].spans.split(",")) - set(got[i].base.split(","))]
+    right = sum(want.get(i) == s for i, s in added)
+    assert right >= 0.95 * len(want) and right >= 0.98 * len(added), (right, len(added), len(want))
+    for i, t in rows:
+        assert got[i].base == ",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in base_by_brute_force(t))
+
+
+def test_what_a_text_gives_the_sample_is_bounded():
+    many = " ".join(f"u{i}@host{i}.org and +1 (269) 555-{1000 + i % 9000} or 9.9.9.{i}" for i in range(20_000))
+    width = len(pii.describe("0", 0, 0, 1)) + 1
+    got = np.array(pii._learn(pa.array([many, None, ""])).to_pylist()[0]).reshape(-1, width)
+    assert 0 < len(got) < 400 and set(got[:, 0]) == {pii.NEGATIVE, pii.BASE, pii.REWRITTEN}
+    assert len(pii.candidates("a at b dot " * 50_000)) >= 0
+
+
 def test_personal_data_defined_cases(odd, none):
     got = pii.find(odd).collect()
     assert len(got) == len(DOCS)
