@@ -89,11 +89,12 @@ _COLL = """nw AS (SELECT 'N' || CAST(ordinal AS STRING) AS new_id, symbol FROM p
 
 
 @case("rul_collisions", f"""WITH {_PR}, {_COLL} SELECT new_id, existing_symbol, CASE WHEN symbol = existing_symbol THEN 'exact' ELSE 'similar' END AS kind
-FROM nw JOIN ex ON symbol = existing_symbol OR (length(symbol) > 20 AND starts_with(existing_symbol, symbol))""")
+FROM nw JOIN ex ON symbol = existing_symbol OR (length(symbol) > 20 AND starts_with(existing_symbol, substr(symbol, 1, 40)))""")
 def rul_collisions(spark, d):
     r = part_rules(spark, d)
     new = r.where("ordinal % 7 = 0").withColumn("id", F.concat(F.lit("N"), F.col("ordinal").cast("string")))
-    return R.collisions(new, r.where("ordinal % 7 <> 0"))
+    # symbols that agree in as many characters as this are similar, whatever follows
+    return R.collisions(new, r.where("ordinal % 7 <> 0"), head=40)
 
 
 @case("rul_ai_confidence", f"""WITH {_PR}, {_VAL} SELECT ordinal, CAST(round(100 * greatest(0, 1 - 0.15 * ne - 0.05 * nw - CASE WHEN ordinal % 10 = 0 THEN 0.2 ELSE 0 END

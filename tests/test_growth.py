@@ -92,3 +92,11 @@ def test_pairs_of_returned_nodes_and_calls_are_not_moved(spark):
     assert set(rows) == {(f"n:n{i}", f"n:n{j}") for i in range(30) for j in range(30)}
     top = out._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
     assert "Aggregate" not in top
+
+
+def test_symbols_alike_in_their_first_40_characters_collide(spark, tmp_path):
+    from __spark_entry__ import queries
+
+    rows = [(7, "Brand#11", "PROMO BURNISHED COPPER", "red one", 3), (8, "Brand#11", "PROMO BURNISHED COPPER", "blue two", 4), (9, "Brand#12", "SMALL TIN", "blue two", 4)]
+    spark.createDataFrame(rows, "p_partkey long, p_brand string, p_type string, p_name string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    assert [(r.new_id, r.kind) for r in queries()["rul_collisions"](spark, str(tmp_path)).collect()] == [("N7", "similar")]
