@@ -100,3 +100,19 @@ def test_symbols_alike_in_their_first_40_characters_collide(spark, tmp_path):
     rows = [(7, "Brand#11", "PROMO BURNISHED COPPER", "red one", 3), (8, "Brand#11", "PROMO BURNISHED COPPER", "blue two", 4), (9, "Brand#12", "SMALL TIN", "blue two", 4)]
     spark.createDataFrame(rows, "p_partkey long, p_brand string, p_type string, p_name string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
     assert [(r.new_id, r.kind) for r in queries()["rul_collisions"](spark, str(tmp_path)).collect()] == [("N7", "similar")]
+
+
+def test_dominators_of_small_graphs_take_no_rounds(spark, monkeypatch):
+    """Against the rounds, on graphs with loops, parts out of reach, an entry without edges and two entries."""
+    from taintgrid.operators import graph
+
+    edges = spark.createDataFrame(
+        [(g, a, b) for g in range(4) for a, b in [(1, 2), (2, 3), (2, 4), (3, 5), (4, 5), (5, 2), (5, 6), (7, 6), (6, 6), (3, 1)][g:]], "g int, src int, dst int")
+    entries = spark.createDataFrame([(g, n, n) for g in range(4) for n in (1, 2)] + [(1, 9, 9), (8, 1, 1)], "g int, source int, node int")
+    want = {(r.g, r.source, r.node, tuple(r.doms)) for r in graph._spread_dominators(edges, entries, ["g"]).collect()}
+
+    def refuse(*_):
+        raise AssertionError("rounds")
+
+    monkeypatch.setattr(graph, "_first_paths", refuse)
+    assert {(r.g, r.source, r.node, tuple(r.doms)) for r in graph.dominators(edges, entries, ["g"]).collect()} == want
