@@ -116,3 +116,13 @@ def test_dominators_of_small_graphs_take_no_rounds(spark, monkeypatch):
 
     monkeypatch.setattr(graph, "_first_paths", refuse)
     assert {(r.g, r.source, r.node, tuple(r.doms)) for r in graph.dominators(edges, entries, ["g"]).collect()} == want
+
+
+def test_exports_are_written_compressed(spark, tmp_path):
+    """Every export is smaller than a quarter of its text."""
+    from taintgrid.plans import exports, views
+
+    exports.write_exports(views.facts(spark, "/root/testdata/sf0.001", roles=False), f"{tmp_path}/e")
+    on_disk = sum(p.stat().st_size for p in (tmp_path / "e").rglob("part-*"))
+    text = spark.read.text(f"{tmp_path}/e").agg(F.sum(F.length("value"))).first()[0]
+    assert 0 < on_disk < text / 4
