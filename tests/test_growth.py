@@ -126,3 +126,31 @@ def test_exports_are_written_compressed(spark, tmp_path):
     on_disk = sum(p.stat().st_size for p in (tmp_path / "e").rglob("part-*"))
     text = spark.read.text(f"{tmp_path}/e").agg(F.sum(F.length("value"))).first()[0]
     assert 0 < on_disk < text / 4
+
+
+def made_rows(df, kind):
+    """The most rows that one step of a kind gave in a frame's executed plan."""
+    plan = df._jdf.queryExecution().executedPlan()
+    df.collect()
+    most, todo = 0, [plan.executedPlan() if plan.nodeName() == "AdaptiveSparkPlan" else plan]
+    while todo:
+        p = todo.pop()
+        if kind in p.nodeName():
+            most = max(most, p.metrics().apply("numOutputRows").value())
+        if "QueryStage" in p.nodeName():
+            todo.append(p.plan())
+        todo.extend(p.children().apply(i) for i in range(p.children().size()))
+    return most
+
+
+def test_points_are_copied_to_levels_that_intervals_have(spark):
+    """1,000 points and intervals of four lines: 32,000 copies before."""
+    from taintgrid.operators.lines import between_lines
+
+    points = spark.range(1000).select(F.lit("m").alias("method"), (F.col("id") * 7).cast("int").alias("line"))
+    pairs = spark.range(7000).select(F.lit("m").alias("method"), "id", F.col("id").cast("int").alias("lo"), (F.col("id") + 3).cast("int").alias("hi"))
+    hit = between_lines(pairs, points, ["method"], ["id"], "lo", "hi")
+    assert {r.id for r in hit.collect()} == {i for i in range(7000) if (i + 3) // 7 * 7 >= i and (i + 3) // 7 < 1000}
+    assert made_rows(between_lines(pairs, points, ["method"], ["id"], "lo", "hi"), "Generate") <= 20000
+    none = between_lines(pairs.where("id < 0"), points, ["method"], ["id"], "lo", "hi")
+    assert none.count() == 0 and between_lines(pairs.withColumn("hi", F.col("lo") - 1), points, ["method"], ["id"], "lo", "hi", anti=True).count() == 7000
