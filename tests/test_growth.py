@@ -154,3 +154,31 @@ def test_points_are_copied_to_levels_that_intervals_have(spark):
     assert made_rows(between_lines(pairs, points, ["method"], ["id"], "lo", "hi"), "Generate") <= 20000
     none = between_lines(pairs.where("id < 0"), points, ["method"], ["id"], "lo", "hi")
     assert none.count() == 0 and between_lines(pairs.withColumn("hi", F.col("lo") - 1), points, ["method"], ["id"], "lo", "hi", anti=True).count() == 7000
+
+
+def source_facts(spark, per):
+    """Methods m<i> of per[i] sources `call<k>()` on line k, and assignments on line 1000 + k that hold the first ones; an empty text, too."""
+    rows = [(f"m{i}", k) for i, n in enumerate(per) for k in range(n)]
+    at = keyed(spark, spark.createDataFrame(rows, "m string, k int"))
+    text = F.when(F.col("k") == 3, F.lit("")).otherwise(F.concat(F.lit("call"), "k", F.lit("()")))
+    nodes = at.select("project_id", "scan_id", F.col("m").alias("containing_method_id"), F.concat_ws("_", F.lit("n"), "m", "k").alias("node_id"),
+                      F.col("k").alias("line"), text.alias("text"), F.lit(True).alias("is_known_source"))
+    asg = at.where("k < 5").select("project_id", "scan_id", F.col("m").alias("containing_method_id"), F.concat_ws("_", F.lit("a"), "m", "k").alias("assignment_id"),
+                                   F.when(F.col("k") == 4, 7).otherwise(F.col("k") + 1000).alias("line"), F.concat(F.lit("x + call"), "k", F.lit("()")).alias("source_text"), F.lit(False).alias("is_literal"))
+    return {"nodes": nodes, "assignments": asg}
+
+
+def test_texts_of_methods_with_few_sources_are_not_cut(spark):
+    """Every text was cut into grams, a row each, however few sources its method had."""
+    from taintgrid.operators.build import FEW_SOURCES, edges_source_text
+
+    def want(per):
+        held = {(f"n:n_m{i}_{k}", f"a:a_m{i}_{k}") for i, n in enumerate(per) for k in range(min(n, 5)) if k != 3}
+        return held | {(f"n:n_m{i}_7", f"a:a_m{i}_4") for i, n in enumerate(per) if n > 7}
+
+    few = edges_source_text(source_facts(spark, [1, 5, 9]))
+    assert {(r.src, r.dst) for r in few.collect()} == want([1, 5, 9])
+    assert "Generate" not in few._jdf.queryExecution().executedPlan().toString()
+    both = [2, 9, FEW_SOURCES + 8]
+    got = edges_source_text(source_facts(spark, both)).select("src", "dst").collect()
+    assert {tuple(r) for r in got} == want(both) and len(got) == len(want(both))
