@@ -172,3 +172,31 @@ def test_ranked_numbers_a_hot_key_exactly(spark):
     for r in sorted(out, key=lambda r: (r.k, r.v)):
         by.setdefault(r.k, []).append(r.rn)
     assert all(v == list(range(1, len(v) + 1)) for v in by.values()) and len(by["hot"]) == 500
+
+
+def test_graphs_of_few_edges_need_no_rounds(spark, monkeypatch):
+    """Components and hit paths of small graphs went through rounds of joins; both ways give the same rows."""
+    import random
+
+    from taintgrid.operators import cycles, masks
+    from taintgrid.operators import graph as G
+
+    rnd = random.Random(7)
+    edges = spark.createDataFrame([(g, rnd.randrange(8), rnd.randrange(8)) for g in range(25) for _ in range(rnd.randrange(1, 16))], "g int, src int, dst int")
+    pairs = spark.createDataFrame([(g, rnd.randrange(9), rnd.randrange(9)) for g in range(27) for _ in range(6)], "g int, source int, target int")
+    marks = spark.createDataFrame([(g, rnd.randrange(9)) for g in range(27) for _ in range(2)], "g int, node int")
+
+    def rows():
+        return (sorted(map(tuple, G.components(edges, ["g"]).collect())), sorted(map(tuple, G.all_paths_hit(edges, pairs, marks, ["g"]).collect())))
+
+    def fail(*_):
+        raise AssertionError("a round was made")
+
+    with monkeypatch.context() as m:
+        m.setattr(masks, "spread", fail)
+        m.setattr(G, "contracted_components", fail)
+        few = rows()
+    with monkeypatch.context() as m:
+        m.setattr(cycles, "SMALL", 10)  # graphs of more than five edges go through rounds
+        mixed = rows()
+    assert few == mixed and any(r[-1] for r in few[1]) and not all(r[-1] for r in few[1])
