@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import regex
+from pyspark.sql import functions as F
 
 from taintgrid.llm import bpe, jaccard, licenses, lm, mixing, packing, pii, quality
 from taintgrid.llm import words as W
@@ -255,6 +256,69 @@ def test_language_model_beats_the_base_on_held_out_texts(spark):
     assert sum(r.score for r in got) > 0.8 * sum(r.base_score for r in got) and len(got) > 20
 
 
+def chain_texts(n):
+    """Texts of 21 frequent words and, one after the other in a fixed order, 60 words of one form that are rarer."""
+    r = np.random.default_rng(9)
+    often, rare = [f"t{chr(97 + i)}" for i in range(21)], [f"m{chr(97 + i // 26)}{chr(97 + i % 26)}pqrs" for i in range(60)]
+    out = []
+    for i in range(n):
+        at = r.integers(0, 60)
+        out.append((i, " ".join([*r.choice(often, 30), *[rare[(at + k) % 60] for k in range(30)]])))
+    return out, rare
+
+
+@pytest.mark.parametrize("known", [lm.KNOWN, 30])
+def test_words_of_one_form_follow_their_context(spark, known):
+    rows, rare = chain_texts(500)
+    held = [i for i in range(10_000, 10_100) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
+    shuffled = [rare[k * 17 % 60] for k in range(60)]  # the same words, none after its own
+    rows += [(held[0], " ".join(rare)), (held[1], " ".join(shuffled))]
+    got = {r.doc_id: r for r in lm.score(spark.createDataFrame(rows, "doc_id bigint, text string"), known).where(F.col("doc_id").isin(held)).collect()}
+    assert abs(got[held[0]].base_score - got[held[1]].base_score) < 1e-6
+    assert got[held[0]].score > got[held[1]].score + 25  # 11 where context chooses forms only
+
+
+def test_language_model_against_plain_loops(spark):
+    rows, rare = chain_texts(60)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    counts = lm.token_counts(docs)
+    m = lm.train(docs, counts, 40)
+    texts = ["ta tb", f"tc {rare[5]} {rare[6]} never", ""]
+    t = lm.tokens(*W.text_bytes(pa.array(texts)))
+    own = m.classes(t)
+    _, leaf, log_leaf = m.find(t, own)
+    hashes = t.contexts()
+    masks = [w.shape[1] - 1 for w in m.weights]
+
+    def softmax(level, i, node, prior):
+        h = [int(x[i]) for x in hashes]
+        if level:
+            h = [(((x ^ ((node + 1) * 0x9E3779B97F4A7C15 % 2**64)) * 0xBF58476D1CE4E5B9) % 2**64) >> 40 for x in h]
+        z = [float(p) + sum(float(m.weights[level][k][h[k] & masks[level]][c]) for k in range(3)) for c, p in enumerate(prior)]
+        e = [math.exp(x) for x in z]
+        return [x / sum(e) for x in e]
+
+    def of_leaf(i, k):
+        p, node, slot = 1.0, int(m.tree.node[k]), int(m.tree.slot[k])
+        while node >= 0:
+            p *= softmax(1, i, node, m.tree.prior[node])[slot]
+            node, slot = int(m.tree.up[node]), int(m.tree.up_slot[node])
+        return p
+
+    want = np.zeros(len(texts))
+    for i in range(len(t.key)):
+        classes = softmax(0, i, 0, m.prior)
+        want[t.row[i]] += math.log10(classes[own[i]] * (of_leaf(i, leaf[i]) if leaf[i] >= 0 else 1)) - log_leaf[i]
+        whole = sum(classes[: lm.TOP])
+        for form in range(lm.FORMS):
+            inside = [k for k in range(len(m.form)) if m.leaf[k] >= 0 and m.form[k] == form] + [len(m.form) + k for k in range(m.shared[form], m.shared[form + 1])]
+            whole += classes[lm.TOP + form] * sum(of_leaf(i, k) for k in inside)
+        assert abs(whole - 1) < 1e-4
+    ids = pa.array(range(len(texts)))
+    part = pa.Table.from_batches(lm._score(iter([pa.RecordBatch.from_arrays([ids, ids, pa.array([False] * len(texts)), pa.array(texts)], ["row", "doc_id", "held_out", "text"])]), m))
+    assert np.allclose(part["term"].to_numpy(), want, atol=1e-3)
+
+
 def test_language_model_of_no_rows(none):
     assert lm.score(none).count() == 0
 
