@@ -182,3 +182,30 @@ def test_texts_of_methods_with_few_sources_are_not_cut(spark):
     both = [2, 9, FEW_SOURCES + 8]
     got = edges_source_text(source_facts(spark, both)).select("src", "dst").collect()
     assert {tuple(r) for r in got} == want(both) and len(got) == len(want(both))
+
+
+def test_flows_of_small_methods_take_no_rounds(spark, monkeypatch):
+    """Spread and nearest origin of each method went through rounds of joins; both ways give the same paths."""
+    import random
+
+    from taintgrid.operators import graph as G
+
+    rnd = random.Random(3)
+    edges = spark.createDataFrame([(g, rnd.randrange(9), rnd.randrange(9)) for g in range(40) for _ in range(rnd.randrange(1, 20))], "g int, src int, dst int")
+    marks = lambda n: spark.createDataFrame([(g, rnd.randrange(10)) for g in range(42) for _ in range(n)], "g int, node int")
+    seeds, wanted, blocked = marks(2), marks(5), marks(1)
+
+    def rows():
+        return sorted((r.g, r.node, list(r.path)) for r in G.nearest_paths(edges, seeds, wanted, blocked, ["g"]).collect())
+
+    def fail(*_, **__):
+        raise AssertionError("a round was made")
+
+    with monkeypatch.context() as m:
+        m.setattr(G, "closure", fail)
+        m.setattr(G, "_first_paths", fail)
+        few = rows()
+    with monkeypatch.context() as m:
+        m.setattr(G, "ROW_MARKS", 18)  # about half of the graphs go through rounds
+        mixed = rows()
+    assert few == mixed and {len(p) for _, _, p in few} >= {1, 2, 3, 4}
