@@ -209,3 +209,30 @@ def test_flows_of_small_methods_take_no_rounds(spark, monkeypatch):
         m.setattr(G, "ROW_MARKS", 18)  # about half of the graphs go through rounds
         mixed = rows()
     assert few == mixed and {len(p) for _, _, p in few} >= {1, 2, 3, 4}
+
+
+def test_levels_of_small_graphs_take_no_rounds(spark, monkeypatch):
+    """A round of the peeling wrote all nodes of all graphs again; both ways give the same levels."""
+    import random
+
+    from taintgrid.operators import graph as G
+
+    rnd = random.Random(5)
+    ends = [(g, *sorted(rnd.sample(range(12), 2))) for g in range(40) for _ in range(rnd.randrange(1, 14))]
+    edges = spark.createDataFrame([(g, b, a) if g % 2 and rnd.random() < 0.2 else (g, a, b) for g, a, b in ends] + [(3, 5, 5)], "g int, src int, dst int")
+    nodes = spark.createDataFrame([(g, n) for g in range(42) for n in range(12) if n or g != 4], "g int, node int")
+    entries = spark.createDataFrame([(g, rnd.randrange(3)) for g in range(42)], "g int, node int")
+
+    def rows():
+        return [sorted(map(tuple, G.topo_levels(nodes, edges, ["g"], e).select("g", "node", "level", "is_cyclic").collect())) for e in (entries, None)]
+
+    def fail(*_, **__):
+        raise AssertionError("a round was made")
+
+    with monkeypatch.context() as m:
+        m.setattr(G, "_spread_levels", fail)
+        few = rows()
+    with monkeypatch.context() as m:
+        m.setattr(G, "ROW_MARKS", 19)  # about half of the graphs go through rounds
+        mixed = rows()
+    assert few == mixed and {r[3] for r in few[0]} == {True, False} and {r[3] for r in few[1]} == {False}
