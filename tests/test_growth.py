@@ -1,5 +1,7 @@
 """Work that grows no faster than its input: hot names, hot keys, and facts made only where they are read."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -236,3 +238,41 @@ def test_levels_of_small_graphs_take_no_rounds(spark, monkeypatch):
         m.setattr(G, "ROW_MARKS", 19)  # about half of the graphs go through rounds
         mixed = rows()
     assert few == mixed and {r[3] for r in few[0]} == {True, False} and {r[3] for r in few[1]} == {False}
+
+
+def test_checks_of_edge_rules_are_one_join_each(spark):
+    """Seven rules asked for the parameters or nodes of their methods, each by a join of its own."""
+    from taintgrid.operators import build as B
+    from taintgrid.plans.views import facts
+
+    f = dict(facts(spark, "/root/testdata/sf0.001"))
+    dfg = B.build_dfg(f)
+    plan = dfg._jdf.queryExecution().optimizedPlan().toString()
+    checks = [line for line in plan.splitlines() if re.search(r"Join .*[( ]_(name|node)#", line)]
+    assert len(checks) == 3, checks
+    one_by_one = [{tuple(r) for r in B.RULES[name](f).select("src", "dst").collect()} for name in B.RULES]
+    assert {tuple(r) for r in dfg.select("src", "dst").collect()} == set().union(*one_by_one)
+
+
+def test_few_points_of_a_key_are_looked_through(spark, monkeypatch):
+    """Points were copied to levels and intervals cut into ranges, however few points a key had; both ways give the same rows."""
+    import random
+
+    from taintgrid.operators import lines
+
+    rnd = random.Random(2)
+    points = spark.createDataFrame([(rnd.randrange(30), rnd.choice([None, *range(60)])) for _ in range(200)], "m int, line int")
+    pairs = spark.createDataFrame(
+        [(rnd.randrange(33), rnd.randrange(40), rnd.choice([None, *range(60)]), rnd.randrange(60)) for _ in range(300)], "m int, id int, lo int, hi int")
+
+    def rows(anti):
+        return lines.between_lines(pairs, points, ["m"], ["m", "id"], "lo", "hi", anti=anti)
+
+    few = [rows(anti) for anti in (False, True)]
+    assert not any("Generate" in df._jdf.queryExecution().executedPlan().toString() for df in few)
+    with monkeypatch.context() as m:
+        m.setattr(lines, "FEW_POINTS", 0)
+        cut = [rows(anti) for anti in (False, True)]
+        assert all("Generate" in df._jdf.queryExecution().executedPlan().toString() for df in cut)
+    key = lambda df: sorted(map(repr, df.select("m", "id", "lo", "hi").collect()))
+    assert [key(df) for df in few] == [key(df) for df in cut] and sum(df.count() for df in few) == 300
